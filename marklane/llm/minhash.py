@@ -26,8 +26,8 @@ BANDS, ROWS = 32, 4
 BITS = 4
 #: How far an estimate may lie below the threshold before a pair is not confirmed; over five standard deviations.
 SLACK = 0.2
-#: Bucket leaders that a class is compared with in the first pass.
-LEADERS = 2
+#: Bucket leaders that a class is compared with in a round, and rounds.
+LEADERS, LEADER_ROUNDS = 2, 3
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -174,6 +174,43 @@ def smallest_reachable(edges: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _unsettled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Rows (id, sig, h, c) of the buckets that hold more than one component ``c``."""
+    if labels is None:
+        return shared.withColumn("c", F.col("id"))
+    bucket = W.partitionBy("h")
+    named = shared.join(labels, "id", "left").select("id", "sig", "h", F.coalesce("component", "id").alias("c"))
+    return named.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo < hi").select("id", "sig", "h", "c")
+
+
+def _with_leaders(rows: DataFrame, likely: float) -> DataFrame:
+    """Pairs (a, b) of each member with leaders of its buckets in other components: the LEADERS likeliest for each member.
+
+    A bucket's leader is the member that meets most others over all its buckets,
+    so a text that many copies were made from leads nearly all of theirs.
+    """
+    bucket = W.partitionBy("h")
+    sized = rows.withColumn("n", F.count(F.lit(1)).over(bucket))
+    degree = sized.groupBy("id").agg(F.sum("n").alias("degree"))
+    lead = F.max(F.struct("degree", (-F.col("id")).alias("minus"), "sig", "c")).over(bucket)
+    met = rows.join(degree, "id").withColumn("lead", lead).where(F.col("c") != F.col("lead.c"))
+    pairs = met.select("id", (-F.col("lead.minus")).alias("to"), similarity(F.col("sig"), F.col("lead.sig")).alias("est")).where(F.col("est") >= likely).distinct()
+    best = W.partitionBy("id").orderBy(F.desc("est"), "to")
+    chosen = pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS)
+    return chosen.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
+
+
+def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """(id, component) after ``edges`` (a, b) joined more ids or components."""
+    if labels is None:
+        return smallest_reachable(edges)
+    of = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct().checkpoint()
+    moved = smallest_reachable(ends).select(F.col("id").alias("component"), F.col("component").alias("final"))
+    all_ids = labels.unionByName(moved.select(F.col("component").alias("id"), "component").join(labels, "id", "left_anti"))
+    return all_ids.join(moved, "component", "left").select("id", F.coalesce("final", "component").alias("component")).checkpoint()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", n: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -187,16 +224,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", n: i
     spark = docs.sparkSession
     signed = materialise(signature(docs.select("doc_id", text), text, n).drop(text))
     classes = signed.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
-    # one row per class: its smallest doc_id carries signature and bands
-    heads = signed.join(classes, "fp").where(F.col("doc_id") == F.col("id")).select("id", "fp", "n_shingles", "sig", "bands").dropDuplicates(["fp"])
-    # a doc_id that repeats with different texts may head several classes; its classes are then one node
+    # one row per class: its smallest doc_id carries signature and bands; a doc_id that heads several classes is one node
+    heads = signed.join(classes, "fp").where(F.col("doc_id") == F.col("id")).select("id", "fp", "sig", "bands").dropDuplicates(["fp"])
     rows = heads.select("id", "sig", F.posexplode("bands").alias("k", "h")).select("id", "sig", F.xxhash64("k", "h").alias("h"))
     bucket = W.partitionBy("h")
-    shared = materialise(rows.withColumn("lead", F.min(F.struct("id", "sig")).over(bucket)).withColumn("last", F.max("id").over(bucket)).where(F.col("last") > F.col("lead.id")).drop("last"))
+    shared = materialise(rows.withColumn("lo", F.min("id").over(bucket)).withColumn("hi", F.max("id").over(bucket)).where("lo < hi").select("id", "sig", "h"))
     likely = percent / 100 - SLACK
-    star = shared.where(F.col("id") > F.col("lead.id")).select(F.col("lead.id").alias("a"), F.col("id").alias("b"), similarity(F.col("sig"), F.col("lead.sig")).alias("est")).where(F.col("est") >= likely).distinct()
-    best = W.partitionBy("b").orderBy(F.desc("est"), "a")
-    star = star.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS).select("a", "b").checkpoint()
 
     def pack(batch_docs: DataFrame) -> DataFrame:
         def make():
@@ -213,22 +246,24 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", n: i
         texts = docs.select("doc_id", text).join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
         return pack(texts).withColumnRenamed("doc_id", "id").dropDuplicates(["id", "s"])
 
-    sets = materialise(sets_of(star))
-    linked = confirm(star, sets, percent).checkpoint()
-    first = smallest_reachable(linked)
+    labels, tested = None, None
+    for _ in range(LEADER_ROUNDS):
+        star = _with_leaders(_unsettled(shared, labels), likely)
+        star = (star if tested is None else star.join(tested, ["a", "b"], "left_anti")).checkpoint()
+        if star.isEmpty():
+            break
+        tested = star if tested is None else tested.unionByName(star)
+        labels = _merged(labels, confirm(star, materialise(sets_of(star)), percent).checkpoint())
 
     # what is left: pairs of one bucket that are in different components and were not compared
-    named = shared.select("id", "sig", "h").join(first, "id", "left").select("id", "sig", "h", F.coalesce("component", "id").alias("c"))
-    split = named.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo < hi").select("id", "sig", "h", "c")
+    split = _unsettled(shared, labels)
     left, right = split.withColumnsRenamed({"id": "a", "sig": "sa", "c": "ca"}), split.withColumnsRenamed({"id": "b", "sig": "sb", "c": "cb"})
     open_ = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (similarity(F.col("sa"), F.col("sb")) >= likely))
-    rest = open_.select("a", "b", "ca", "cb").distinct().join(star, ["a", "b"], "left_anti").checkpoint()
+    rest = open_.select("a", "b").distinct()
+    rest = (rest if tested is None else rest.join(tested, ["a", "b"], "left_anti")).checkpoint()
     if not rest.isEmpty():
-        more = confirm(rest.select("a", "b"), materialise(sets_of(rest)), percent)
-        across = rest.join(more, ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-        joined = smallest_reachable(across).select(F.col("id").alias("component"), F.col("component").alias("final"))
-        first = first.unionByName(across.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(first, "id", "left_anti").select("id", F.col("id").alias("component")))
-        first = first.join(joined, "component", "left").select("id", F.coalesce("final", "component").alias("component"))
+        labels = _merged(labels, confirm(rest, materialise(sets_of(rest)), percent).checkpoint())
+    first = labels if labels is not None else spark.createDataFrame([], "id long, component long")
     return (
         signed.select("doc_id", "n_shingles", "fp")
         .join(classes, "fp", "left")
