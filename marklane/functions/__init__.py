@@ -1,0 +1,6 @@
+"""Column helpers for marks and times."""
+
+from ..model import duration, in_marks, is_empty, is_pause, of_tiers, text_of
+from ..operators.stats import percentile
+
+__all__ = ["duration", "in_marks", "is_empty", "is_pause", "of_tiers", "percentile", "text_of"]

@@ -1,0 +1,53 @@
+"""Interval joining over an unbounded stream of events.
+
+Events of a key become intervals up to the next event. Runs between given marks
+close when the next run starts or the watermark passes; what is open is state.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+OUT = "grid_id long, t0 timestamp, t1 timestamp, mark string, n long"
+STATE = "t0 timestamp, last timestamp, marks string, n long, seen timestamp"
+
+
+def join_between_marks_stream(events: DataFrame, marks: list[str], join_with: str = " ", delay: str = "10 minutes") -> DataFrame:
+    """(grid_id, t0, t1, mark, n): joined spans of events (grid_id, ts, mark) between events with one of the marks.
+
+    Only the open span of each key is held. Events arrive in order within a micro-batch's key after sorting;
+    events older than what a key has closed are left out (late data). An event with one of the marks is a span of its own.
+    """
+    chosen = frozenset(marks)
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        t0, last, text, n, seen = state.get if state.exists else (None, None, "", 0, None)
+        out = []
+        if state.hasTimedOut:
+            if n:
+                out.append((key[0], t0, last, text, n))
+            state.remove()
+            yield pd.DataFrame(out, columns=["grid_id", "t0", "t1", "mark", "n"])
+            return
+        rows = pd.concat(list(batches)).sort_values("ts")
+        for ts, mark in zip(rows["ts"], rows["mark"], strict=True):
+            if seen is not None and ts < seen:
+                continue
+            seen = ts
+            if mark in chosen:
+                if n:
+                    out.append((key[0], t0, ts, text, n))
+                out.append((key[0], ts, ts, mark, 1))
+                t0, last, text, n = None, None, "", 0
+            else:
+                t0 = ts if not n else t0
+                text, n, last = (f"{text}{join_with}{mark}" if n else mark or ""), n + 1, ts
+        state.update((t0, last, text, n, seen))
+        state.setTimeoutTimestamp(max(int(seen.timestamp() * 1000), state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame(out, columns=["grid_id", "t0", "t1", "mark", "n"])
+
+    return events.withWatermark("ts", delay).groupBy("grid_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
