@@ -36,7 +36,7 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
 class PieceCache:
     """Ids of texts; ``encode(pieces)`` gives (all ids in one array, number of ids of each piece)."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable, limit: int = 1_200_000) -> None:
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable, limit: int = 500_000) -> None:
         self.split, self.encode, self.limit = split, encode, limit
         self._clear()
 
