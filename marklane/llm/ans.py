@@ -43,8 +43,8 @@ _TOKENIZERS: dict[str, PieceCache] = {}
 def library_ids(path: str) -> PieceCache:
     """Ids by the tokenizers library, one encoding for each distinct space-separated piece.
 
-    Holds for tokenizers whose pre-tokenizer drops white space and whose
-    normalizer works inside words. Pieces are encoded many at once, parted by a
+    Holds for tokenizers that lower-case, whose pre-tokenizer drops white space and
+    parts letters from the rest, and whose normalizer works inside words. Pieces are encoded many at once, parted by a
     control character that forms one id of its own.
     """
     if path in _TOKENIZERS:
@@ -76,7 +76,26 @@ def library_ids(path: str) -> PieceCache:
             ids, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
         return ids, sizes
 
-    _TOKENIZERS[path] = PieceCache(lambda t: t.split(" "), encode)
+    tails = {c: int(tok.encode(c, add_special_tokens=False).ids[0]) for c in ".," if len(tok.encode(c, add_special_tokens=False).ids) == 1}
+    bases = PieceCache(lambda t: [t], encode, 600_000)
+
+    def encode_by_base(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A word with a stop behind it is encoded as the word and the stop: letters and other characters never share an id."""
+        base, tail = list(pieces), np.full(len(pieces), -1, np.int64)
+        for i, p in enumerate(pieces):
+            if p[-1:] in tails and p[:-1].isalpha():
+                base[i], tail[i] = p[:-1], tails[p[-1]]
+            if base[i].isascii():
+                base[i] = base[i].lower()
+        ids, ends = bases.ids(base)
+        sizes = np.diff(ends) + (tail >= 0)
+        out, stop = np.empty(int(sizes.sum()), np.int32), np.zeros(int(sizes.sum()), bool)
+        at = np.cumsum(sizes)[tail >= 0] - 1
+        stop[at] = True
+        out[at], out[~stop] = tail[tail >= 0], ids
+        return out, sizes
+
+    _TOKENIZERS[path] = PieceCache(lambda t: t.split(" "), encode_by_base, 900_000)
     return _TOKENIZERS[path]
 
 
@@ -227,8 +246,8 @@ def histogram(df: DataFrame, vocabulary: int, ids: str = "ids") -> np.ndarray:
 def write_corpus(docs: DataFrame, path: str, end_id: int, vocabulary: int, parts: int | None = None) -> tuple[DataFrame, np.ndarray]:
     """Tokenise all documents and write them as rANS files in ascending doc_id order.
 
-    Returns (files, frequencies). ``files`` has a row per file: part, file, first,
-    n_ids, content; it lies in the shared folder. Documents are dealt to parts by
+    Returns (files, frequencies). ``files`` has a row per file: part, file, first (ids of the part
+    before it), n_ids, content; it lies in the shared folder. Documents are dealt to parts by
     doc_id quantiles, so no part holds an unbounded share unless one doc_id does;
     rows with equal doc_id follow each other by their ids. Null doc_ids come first.
     An empty table gives no files.
@@ -247,19 +266,20 @@ def write_corpus(docs: DataFrame, path: str, end_id: int, vocabulary: int, parts
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
         held: list = []
-        part, no, size = None, 0, 0
+        part, no, size, before = None, 0, 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, no, size
+            nonlocal held, no, size, before
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([no], pa.int64()), pa.array([size], pa.int64()), pa.array([write_file(coder, held)], pa.binary())], names=["part", "file", "n_ids", "content"])
-                held, no, size = [], no + 1, 0
+                numbers = [pa.array([x], pa.int64()) for x in (no, before, size)]
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *numbers, pa.array([write_file(coder, held)], pa.binary())], names=["part", "file", "first", "n_ids", "content"])
+                held, no, size, before = [], no + 1, 0, before + size
 
         for batch in batches:
             for p, i, x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 if p != part:
                     yield from flush()
-                    part, no = p, 0
+                    part, no, before = p, 0, 0
                 x = np.frombuffer(x, "<u2").astype(np.uint32)
                 held.append((i, x))
                 size += len(x)
@@ -268,7 +288,7 @@ def write_corpus(docs: DataFrame, path: str, end_id: int, vocabulary: int, parts
         yield from flush()
 
     ordered = ids.repartition(n, "part").sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_first(), F.length("ids"), "ids")
-    out = ordered.select("part", "doc_id", "ids").mapInArrow(images, "part int, file long, n_ids long, content binary")
+    out = ordered.select("part", "doc_id", "ids").mapInArrow(images, "part int, file long, first long, n_ids long, content binary")
     target = scratch(spark)
     out.write.parquet(target)
     return spark.read.schema(out.schema).parquet(target), freq
@@ -278,26 +298,24 @@ def read_corpus(files: DataFrame, freq: np.ndarray) -> DataFrame:
     """Decode all files: doc_id, start, n_tokens, ids (unsigned 32-bit, binary).
 
     ``start`` counts the ids of all documents before: the totals of the parts
-    (their number is bounded) and a running sum over the files of a part.
+    (as many rows as there are parts, a bounded number, so they are broadcast),
+    what the part's earlier files hold, and what comes before in the file.
     """
     from pyspark.sql import Window as W
 
     shared = files.sparkSession.sparkContext.broadcast(freq)
-    sizes = files.select("part", "file", "n_ids")
-    base = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
-    inside = W.partitionBy("part").orderBy("file")
-    first = sizes.select("part", "file", (F.sum("n_ids").over(inside) - F.col("n_ids")).alias("inside")).join(F.broadcast(base), "part").select("part", "file", (F.col("base") + F.col("inside")).alias("first"))
+    base = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
         for batch in batches:
-            for part, file, image in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for part, first, image in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 found = list(read_file(coder, image))
                 size = np.fromiter((len(x) for _, x in found), np.int64, len(found))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(found), pa.int32()), pa.array([file] * len(found), pa.int64()), pa.array([i for i, _ in found], pa.int64()), pa.array(np.cumsum(size) - size), pa.array(size), pa.array([x.astype("<u4").tobytes() for _, x in found], pa.binary())],
-                    names=["part", "file", "doc_id", "at", "n_tokens", "ids"],
+                    [pa.array([part] * len(found), pa.int32()), pa.array([i for i, _ in found], pa.int64()), pa.array(np.cumsum(size) - size + first), pa.array(size), pa.array([x.astype("<u4").tobytes() for _, x in found], pa.binary())],
+                    names=["part", "doc_id", "at", "n_tokens", "ids"],
                 )
 
-    docs = files.select("part", "file", "content").mapInArrow(documents, "part int, file long, doc_id long, at long, n_tokens long, ids binary")
-    return docs.join(first, ["part", "file"]).select("doc_id", (F.col("first") + F.col("at")).alias("start"), "n_tokens", "ids")
+    docs = files.select("part", "first", "content").mapInArrow(documents, "part int, doc_id long, at long, n_tokens long, ids binary")
+    return docs.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
