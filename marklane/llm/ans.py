@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -83,7 +84,7 @@ def library_ids(path: str) -> PieceCache:
         """A word with a stop behind it is encoded as the word and the stop: letters and other characters never share an id."""
         base, tail = list(pieces), np.full(len(pieces), -1, np.int64)
         for i, p in enumerate(pieces):
-            if p[-1:] in tails and p[:-1].isalpha():
+            if p[-1:] in tails and unicodedata.normalize("NFC", p[:-1]).lower().isalpha():  # still letters only, no mark that would join the stop
                 base[i], tail[i] = p[:-1], tails[p[-1]]
             if base[i].isascii():
                 base[i] = base[i].lower()

@@ -170,8 +170,8 @@ def _vbr_table(frame: bytes, h: Header, out: Stream) -> bool:
 def read_stream(data: bytes | None, carried: bool = False) -> Stream:
     """Parse a whole file; null and empty files have no frames.
 
-    A header counts if the next frame starts where it says, or the stream ends
-    there. Else the search goes on a byte further; skipped bytes are counted. A
+    A header counts if its checksum holds, the next frame starts where it says, or
+    the stream ends there. Else the search goes on a byte further; skipped bytes are counted. A
     cut last frame is skipped. Checksums of Layer I and III frames are
     verified (in Layer II the protected span depends on decoded data).
     """
@@ -185,17 +185,18 @@ def read_stream(data: bytes | None, carried: bool = False) -> Stream:
         stop = at + h.length if h else 0
         if h and kind and (h.layer, h.version1, h.rate) != kind:
             h = None
-        if not h or stop > end or stop + 4 <= end and header(data[stop : stop + 4]) is None and data[stop : stop + 3] != b"TAG":
+        checkable = h is not None and h.protected and h.layer != 2
+        span = 0 if not checkable else h.side if h.layer == 3 else 16 * h.channels
+        sound = checkable and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + span]) == int.from_bytes(data[at + 4 : at + 6], "big")
+        if not h or stop > end or not sound and stop + 4 <= end and header(data[stop : stop + 4]) is None:
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
             out.skipped += nxt - at
             at = nxt
             continue
         kind = (h.layer, h.version1, h.rate)
-        if h.protected and h.layer != 2:
-            span = h.side if h.layer == 3 else 16 * h.channels
-            out.checked += 1
-            out.bad += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + span]) != int.from_bytes(data[at + 4 : at + 6], "big")
+        out.checked += checkable
+        out.bad += checkable and not sound
         out.rate = h.rate
         if not (first and _vbr_table(data[at:stop], h, out)):
             out.offsets.append(at)
