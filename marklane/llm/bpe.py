@@ -73,7 +73,10 @@ class NumpyBPE:
         self._rare = re.compile(f"[{WHITE}]".replace("\\t-\\r ", "\\t\\x0b-\\r"))
         self._cut = regex.compile(f" (?=[^{WHITE}])")
         self._special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.cache = PieceCache(self._pieces, self._encode_pieces)
+        self.cache = self.new_cache()
+
+    def new_cache(self, limit: int = 250_000) -> PieceCache:
+        return PieceCache(self._pieces, self._encode_pieces, limit)
 
     def _pieces(self, text: str) -> list[str]:
         """Parts of a text that no pre-token crosses: a pre-token starts at each space before a visible character."""
@@ -200,10 +203,10 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     at = df.columns.index(text)
 
     def make():
-        model = loaded(path)
+        cache = loaded(path).new_cache()  # of one task, so that idle workers hold no pieces
 
         def fn(batch: pa.RecordBatch):
-            flat, ends = model.encode(texts_of(batch, at))
+            flat, ends = cache.ids(texts_of(batch, at))
             flat = flat.astype("<u4")
             return [pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
 

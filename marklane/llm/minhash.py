@@ -57,7 +57,7 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > 1_000_000:
+    if len(_WORDS) > 250_000:
         _WORDS.clear()
     h = np.array(list(map(_WORDS.__getitem__, words)), np.uint64)
     m = min(n, len(words))
