@@ -21,9 +21,11 @@ def scratch(spark: SparkSession) -> str:
     Where the setting is absent (local tests) a folder in the warehouse is set and used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = spark.sparkContext.getCheckpointDir()  # set by an earlier call
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -7,6 +7,8 @@ over the full minima give candidates. Every link is confirmed on full sets.
 Work stays linear in a bucket: copies with equal sets are one class from the
 start, every class is compared with its best few bucket leaders, and after the
 components of those links are known only pairs across components are left.
+For those a second, wider signature of one bit a lane narrows the estimate, and
+a pair is named in the first bucket that it shares and in no other.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ BITS = 4
 SLACK = 0.2
 #: Bucket leaders that a class is compared with in a round, and rounds.
 LEADERS, LEADER_ROUNDS = 2, 3
+#: Lanes of one bit for pairs that leaders did not settle, and the slack that goes with them; 4.8 standard deviations.
+WIDE_LANES, WIDE_SLACK = 2048, 0.07
 _MIX1, _MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -137,6 +141,50 @@ def similarity(x: Column, y: Column) -> Column:
     return (equal - chance) / (1 - chance)
 
 
+def _wide(sets: DataFrame) -> DataFrame:
+    """Append w0, w1, ...: the low bits of WIDE_LANES minima of the sets ``s``, 64 to a column."""
+    at = sets.columns.index("s")
+
+    def make():
+        a, b = parameters(WIDE_LANES)
+
+        def fn(batch: pa.RecordBatch):
+            low = [minima(np.frombuffer(x.as_py(), np.uint64), a, b).astype(np.uint8) & 1 for x in batch.column(at)]
+            packed = np.packbits(np.array(low, np.uint8).reshape(-1, WIDE_LANES), axis=1).view(np.int64)
+            return [pa.array(np.ascontiguousarray(column)) for column in packed.T]
+
+        return fn
+
+    return map_rows(sets, make, [field(w, T.LongType()) for w in WIDE_WORDS], "s")
+
+
+WIDE_WORDS = [f"w{i}" for i in range(WIDE_LANES // 64)]
+
+
+def _wide_similarity(x: DataFrame, y: DataFrame) -> Column:
+    """Estimated similarity of two wide signatures: equal bits, corrected for equality by chance."""
+    different = None
+    for w in WIDE_WORDS:
+        n = F.bit_count(x[w].bitwiseXOR(y[f"{w}b"]))
+        different = n if different is None else different + n
+    return 1 - 2 * different / WIDE_LANES
+
+
+def _open_pairs(split: DataFrame, wide: DataFrame, least: float) -> DataFrame:
+    """(a, b) of every two ids that share a bucket, lie in different components and have an estimate of ``least`` or more.
+
+    ``split``: id, h, c; ``wide``: id and the words of its signature. All buckets
+    of an id travel with its rows, so that the smallest common bucket alone names a pair.
+    """
+    words = [F.coalesce(w, F.lit(0)).alias(w) for w in WIDE_WORDS]
+    buckets = split.groupBy("id").agg(F.sort_array(F.collect_set("h")).alias("all"))
+    rows = split.join(buckets.join(wide, "id").select("id", "all", *words), "id").select("id", "h", "c", "all", *WIDE_WORDS)
+    left, right = rows, rows.select(*[F.col(c).alias(f"{c}b") for c in rows.columns])
+    apart = (left["h"] == right["hb"]) & (left["id"] < right["idb"]) & (left["c"] != right["cb"])
+    near = left.join(right, apart & (_wide_similarity(left, right) >= least) & (F.array_min(F.array_intersect(left["all"], right["allb"])) == left["h"]))
+    return near.select(F.col("id").alias("a"), F.col("idb").alias("b"))
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union. ``sets``: id, s (sorted hashes, binary)."""
     joined = pairs.join(sets.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(sets.withColumnsRenamed({"id": "b", "s": "sb"}), "b").select("a", "b", "sa", "sb")
@@ -242,7 +290,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", n: i
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         """Full sets of the ids in ``pairs``, made again from their texts alone."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        return sets_named(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+
+    def sets_named(ids: DataFrame) -> DataFrame:
+        wanted = ids.distinct()
         texts = docs.select("doc_id", text).join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
         return pack(texts).withColumnRenamed("doc_id", "id").dropDuplicates(["id", "s"])
 
@@ -256,13 +307,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", n: i
         labels = _merged(labels, confirm(star, materialise(sets_of(star)), percent).checkpoint())
 
     # what is left: pairs of one bucket that are in different components and were not compared
-    split = _unsettled(shared, labels)
-    left, right = split.withColumnsRenamed({"id": "a", "sig": "sa", "c": "ca"}), split.withColumnsRenamed({"id": "b", "sig": "sb", "c": "cb"})
-    open_ = left.join(right, "h").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (similarity(F.col("sa"), F.col("sb")) >= likely))
-    rest = open_.select("a", "b").distinct()
-    rest = (rest if tested is None else rest.join(tested, ["a", "b"], "left_anti")).checkpoint()
-    if not rest.isEmpty():
-        labels = _merged(labels, confirm(rest, materialise(sets_of(rest)), percent).checkpoint())
+    split = _unsettled(shared, labels).drop("sig").distinct().checkpoint()
+    if not split.isEmpty():
+        sets = materialise(_wide(sets_named(split.select("id")).where(F.length("s") > 0)))
+        rest = _open_pairs(split, sets.drop("s"), percent / 100 - WIDE_SLACK).distinct()
+        rest = (rest if tested is None else rest.join(tested, ["a", "b"], "left_anti")).checkpoint()
+        if not rest.isEmpty():
+            labels = _merged(labels, confirm(rest, sets.select("id", "s"), percent).checkpoint())
     first = labels if labels is not None else spark.createDataFrame([], "id long, component long")
     return (
         signed.select("doc_id", "n_shingles", "fp")
