@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import byte_characters
 from .common import field, map_rows, materialise, scratch, texts_of
 from .pieces import PieceCache
 
@@ -45,8 +46,9 @@ def library_ids(path: str) -> PieceCache:
     """Ids by the tokenizers library, one encoding for each distinct space-separated piece.
 
     Holds for tokenizers that lower-case, whose pre-tokenizer drops white space and
-    parts letters from the rest, and whose normalizer works inside words. Pieces are encoded many at once, parted by a
-    control character that forms one id of its own.
+    parts letters from the rest, and whose normalizer works inside words. Pieces of Latin letters only are one word for
+    the pre-tokenizer and go straight to the library's model; others are encoded many at once, parted by a control
+    character that forms one id of its own.
     """
     if path in _TOKENIZERS:
         return _TOKENIZERS[path]
@@ -58,9 +60,29 @@ def library_ids(path: str) -> PieceCache:
     tok.no_truncation()
     mark = "\x01"
     (bar,) = tok.encode(f" {mark} ", add_special_tokens=False).ids
-    step = 500
+    step, model = 500, tok.model.tokenize
+    shown_bytes = dict(enumerate(byte_characters()))
+
+    def letters(piece: str) -> str | None:
+        """The piece as the model wants it, if it is made of Latin letters only."""
+        if piece.isascii():
+            return piece.lower() if piece.isalpha() else None
+        low = unicodedata.normalize("NFC", piece).lower()
+        return low.encode().decode("latin-1").translate(shown_bytes) if low.isalpha() and max(low) < "\u0250" else None
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        words = list(map(letters, pieces))
+        direct = np.fromiter((w is not None for w in words), bool, len(words))
+        found = [[t.id for t in model(w)] for w in words if w is not None]
+        rest = [p for p, w in zip(pieces, words, strict=True) if w is None]
+        rest_ids, rest_sizes = encode_joined(rest) if rest else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        sizes = np.empty(len(pieces), np.int64)
+        sizes[direct], sizes[~direct] = list(map(len, found)), rest_sizes
+        out, of_direct = np.empty(int(sizes.sum()), np.int32), np.repeat(direct, sizes)
+        out[of_direct], out[~of_direct] = [i for x in found for i in x], rest_ids
+        return out, sizes
+
+    def encode_joined(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         alone = [i for i, p in enumerate(pieces) if mark in p]
         shown = ["" if mark in p else p for p in pieces] if alone else pieces
         joined = [f" {mark} ".join(shown[i : i + step]) + f" {mark} " for i in range(0, len(shown), step)]
