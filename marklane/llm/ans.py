@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import byte_characters
-from .common import field, map_rows, materialise, scratch, texts_of
+from .common import field, map_rows, materialise, scratch
 from .pieces import PieceCache
 
 MAGIC = b"RANS\x00\x01"
@@ -227,7 +227,7 @@ def tokenise(df: DataFrame, path: str, end_id: int, text: str = "text", ids: str
         cache = library_ids(path)
 
         def fn(batch: pa.RecordBatch):
-            flat, ends = cache.ids(texts_of(batch, at))
+            flat, ends = cache.ids_of(batch.column(at))
             flat, end = flat.astype("<u2"), np.array([end_id], "<u2").tobytes()
             return [pa.array([flat[a:b].tobytes() + end for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
 

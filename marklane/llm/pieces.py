@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 class _Index(dict):
@@ -55,10 +57,26 @@ class PieceCache:
                 pieces = self.split(t)
                 counts[i] = len(pieces)
                 at.extend(map(get, pieces))
+        return self._gathered(np.array(at, np.int64), counts)
+
+    def ids_of(self, texts: pa.Array, mark: str = " ") -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` of an Arrow column whose texts are cut at every ``mark``; null counts as empty.
+
+        Arrow cuts and counts the distinct pieces, so a piece that repeats inside the column is looked up once.
+        """
+        if len(self.index) > self.limit:
+            self._clear()
+        parts = pc.split_pattern(pc.fill_null(texts, ""), mark)
+        coded = parts.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        number = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+        return self._gathered(number[coded.indices.to_numpy()], parts.value_lengths().to_numpy())
+
+    def _gathered(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets) of texts that have ``counts`` pieces each, ``at`` their numbers; new pieces are encoded first."""
         if self.index.new:
             self._add(self.index.new)
             self.index.new = []
-        at = np.array(at, np.int64)
         size = self.size[at]
         ends = np.cumsum(size)
         total = int(ends[-1]) if len(ends) else 0
