@@ -14,10 +14,12 @@ File layout, little-endian: header (magic, blocks, documents, ids), directory
 from __future__ import annotations
 
 import os
+import re
 import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +41,18 @@ _HEAD = struct.Struct("<6sHIQQ")
 _ENTRY = np.dtype([("offset", "<u8"), ("size", "<u8"), ("first", "<u8"), ("ids", "<u4"), ("lanes", "<u4"), ("crc", "<u4"), ("crc_ids", "<u4")])
 _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("ids", "<u4")])
 
+# The pre-tokenizer pattern of the word vocabulary, as it is for lower-case ASCII.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+"
+
 _TOKENIZERS: dict[str, PieceCache] = {}
 
 
 def library_ids(path: str) -> PieceCache:
     """Ids by the tokenizers library, one encoding for each distinct space-separated piece.
 
-    Holds for tokenizers that lower-case, whose pre-tokenizer drops white space and
-    parts letters from the rest, and whose normalizer works inside words. Pieces of Latin letters only are one word for
-    the pre-tokenizer and go straight to the library's model; others are encoded many at once, parted by a control
-    character that forms one id of its own.
+    Holds for tokenizers that compose and lower-case and whose pre-tokenizer is WORDS. Most pieces are cut into its words
+    here, which go straight to the library's model: printable ASCII, and Latin letters with or without a stop. Others
+    are encoded whole, many at once, parted by a control character that forms one id of its own.
     """
     if path in _TOKENIZERS:
         return _TOKENIZERS[path]
@@ -61,25 +65,28 @@ def library_ids(path: str) -> PieceCache:
     mark = "\x01"
     (bar,) = tok.encode(f" {mark} ", add_special_tokens=False).ids
     step, model = 500, tok.model.tokenize
-    shown_bytes = dict(enumerate(byte_characters()))
+    shown_bytes, ascii_words = dict(enumerate(byte_characters())), re.compile(WORDS).findall
 
-    def letters(piece: str) -> str | None:
-        """The piece as the model wants it, if it is made of Latin letters only."""
+    def words(piece: str) -> list[str] | None:
+        """The words of a piece as the model wants them, or None if only the library can tell."""
         if piece.isascii():
-            return piece.lower() if piece.isalpha() else None
+            if piece.isalpha():
+                return [piece.lower()]
+            return ascii_words(piece.lower()) if piece.isprintable() and "<|" not in piece else None  # no special token
         low = unicodedata.normalize("NFC", piece).lower()
-        return low.encode().decode("latin-1").translate(shown_bytes) if low.isalpha() and max(low) < "\u0250" else None
+        stem, stop = (low[:-1], [low[-1]]) if low[-1] in ".," else (low, [])
+        return [stem.encode().decode("latin-1").translate(shown_bytes), *stop] if stem.isalpha() and max(stem) < "\u0250" else None
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        words = list(map(letters, pieces))
-        direct = np.fromiter((w is not None for w in words), bool, len(words))
-        found = [[t.id for t in model(w)] for w in words if w is not None]
-        rest = [p for p, w in zip(pieces, words, strict=True) if w is None]
+        cut = list(map(words, pieces))
+        direct = np.fromiter((c is not None for c in cut), bool, len(cut))
+        found = [[t.id for w in c for t in model(w)] for c in cut if c is not None]
+        rest = [p for p, c in zip(pieces, cut, strict=True) if c is None]
         rest_ids, rest_sizes = encode_joined(rest) if rest else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         sizes = np.empty(len(pieces), np.int64)
         sizes[direct], sizes[~direct] = list(map(len, found)), rest_sizes
         out, of_direct = np.empty(int(sizes.sum()), np.int32), np.repeat(direct, sizes)
-        out[of_direct], out[~of_direct] = [i for x in found for i in x], rest_ids
+        out[of_direct], out[~of_direct] = list(chain.from_iterable(found)), rest_ids
         return out, sizes
 
     def encode_joined(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,26 +106,7 @@ def library_ids(path: str) -> PieceCache:
             ids, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
         return ids, sizes
 
-    tails = {c: int(tok.encode(c, add_special_tokens=False).ids[0]) for c in ".," if len(tok.encode(c, add_special_tokens=False).ids) == 1}
-    bases = PieceCache(lambda t: [t], encode, 600_000)
-
-    def encode_by_base(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A word with a stop behind it is encoded as the word and the stop: letters and other characters never share an id."""
-        base, tail = list(pieces), np.full(len(pieces), -1, np.int64)
-        for i, p in enumerate(pieces):
-            if p[-1:] in tails and unicodedata.normalize("NFC", p[:-1]).lower().isalpha():  # still letters only, no mark that would join the stop
-                base[i], tail[i] = p[:-1], tails[p[-1]]
-            if base[i].isascii():
-                base[i] = base[i].lower()
-        ids, ends = bases.ids(base)
-        sizes = np.diff(ends) + (tail >= 0)
-        out, stop = np.empty(int(sizes.sum()), np.int32), np.zeros(int(sizes.sum()), bool)
-        at = np.cumsum(sizes)[tail >= 0] - 1
-        stop[at] = True
-        out[at], out[~stop] = tail[tail >= 0], ids
-        return out, sizes
-
-    _TOKENIZERS[path] = PieceCache(lambda t: t.split(" "), encode_by_base, 900_000)
+    _TOKENIZERS[path] = PieceCache(lambda t: t.split(" "), encode, 900_000)
     return _TOKENIZERS[path]
 
 

@@ -4,6 +4,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,8 +102,12 @@ def test_library_pieces_equal_whole_texts(spark):
     path = tokenizer("word_bpe_49k.json")
     tok, cache = Tokenizer.from_file(path), ans.library_ids(path)
     texts = [t for t in HARD if t] + ["ΑΣ. ΑΣ, İ.", "e ́", "word.. word., 'tis. <|startoftext|>.", "q \x01 \x01."] + [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    marks = [chr(c) for c in range(1, 0x300)]
+    texts += [" ".join(a + b for a in marks for b in ("", "a", ".", "'s", " ")), "don't 'S !'re x1y22 user@site.org <|ENDOFTEXT|> <| |> ŒUVRE, ß. ﬁ ǅ ʹ"]
     for t in texts:
         assert cache.ids([t])[0].tolist() == tok.encode(t, add_special_tokens=False).ids
+    flat, ends = cache.ids_of(pa.array([None, *texts, ""]))
+    assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [[], *(tok.encode(t, add_special_tokens=False).ids for t in texts), []]
 
 
 def test_multi_index_against_brute_force(spark):
