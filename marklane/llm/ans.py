@@ -19,7 +19,6 @@ import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -78,15 +77,22 @@ def library_ids(path: str) -> PieceCache:
         return [stem.encode().decode("latin-1").translate(shown_bytes), *stop] if stem.isalpha() and max(stem) < "\u0250" else None
 
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        cut = list(map(words, pieces))
-        direct = np.fromiter((c is not None for c in cut), bool, len(cut))
-        found = [[t.id for w in c for t in model(w)] for c in cut if c is not None]
-        rest = [p for p, c in zip(pieces, cut, strict=True) if c is None]
+        flat, ends, rest = [], [], []  # flat lists: a list for each piece would keep the garbage collector busy
+        direct = np.ones(len(pieces), bool)
+        for i, piece in enumerate(pieces):
+            cut = words(piece)
+            if cut is None:
+                direct[i] = False
+                rest.append(piece)
+                continue
+            for w in cut:
+                flat += [t.id for t in model(w)]
+            ends.append(len(flat))
         rest_ids, rest_sizes = encode_joined(rest) if rest else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         sizes = np.empty(len(pieces), np.int64)
-        sizes[direct], sizes[~direct] = list(map(len, found)), rest_sizes
+        sizes[direct], sizes[~direct] = np.diff([0, *ends]), rest_sizes
         out, of_direct = np.empty(int(sizes.sum()), np.int32), np.repeat(direct, sizes)
-        out[of_direct], out[~of_direct] = list(chain.from_iterable(found)), rest_ids
+        out[of_direct], out[~of_direct] = flat, rest_ids
         return out, sizes
 
     def encode_joined(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
