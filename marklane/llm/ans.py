@@ -112,6 +112,9 @@ def library_ids(path: str) -> PieceCache:
             ids, sizes = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
         return ids, sizes
 
+    probe = "Don't WE'LL !'s x1y22 a-b. Été, ŒUVRE."
+    if encode(probe.split(" "))[0].tolist() != tok.encode(probe, add_special_tokens=False).ids:
+        raise ValueError("this tokenizer cuts or changes words by other rules")
     _TOKENIZERS[path] = PieceCache(lambda t: t.split(" "), encode, 900_000)
     return _TOKENIZERS[path]
 

@@ -110,6 +110,11 @@ def test_library_pieces_equal_whole_texts(spark):
     assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [[], *(tok.encode(t, add_special_tokens=False).ids for t in texts), []]
 
 
+def test_library_pieces_refuse_other_rules():
+    with pytest.raises(ValueError):
+        ans.library_ids(tokenizer("byte_bpe_50k.json"))
+
+
 def test_multi_index_against_brute_force(spark):
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     bad = [(10_000, None), (10_020, [0.0] * 64), (10_040, [float("nan")] * 64), (10_060, [None] * 64), (10_080, [float("inf")] * 64), (10_100, []), (10_120, [1.0])]
