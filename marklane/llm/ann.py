@@ -3,7 +3,9 @@
 Vectors are cut into two halves, each quantised by its own codebook, so a cell
 is a pair of centroids. For a query the cells are visited by rising summed
 distance with a heap until enough entries are named; those entries are
-reranked by the exact inner product on the original vectors.
+reranked by the exact inner product on the original vectors. How many are
+enough is measured on the table itself: some queries are compared with every
+entry, and the budget is the one that finds RECALL of their true neighbours.
 
 Largest inner products become smallest distances by one more component,
 sqrt(M^2 - |x|^2) for entries and 0 for queries, so norms may differ.
@@ -26,6 +28,10 @@ from .common import materialise
 SAMPLE, MOST_CENTROIDS = 20_000, 256
 #: Entries of a cell that one block holds on average.
 BLOCK = 2048
+#: Queries that are compared with every entry to measure the budget, and the share of their true neighbours that it finds.
+PROBES, RECALL = 256, 0.95
+#: A cell counts in a budget for this many times the mean cell at most, so that a hot cell does not use it up.
+HOT = 4
 
 
 def usable(v: Column) -> Column:
@@ -64,6 +70,11 @@ class Index:
         self.first, self.second, self.norm2, self.half = first, second, norm2, half
         self.counts = np.zeros((len(first), len(second)), np.int64)
 
+    def weights(self) -> np.ndarray:
+        """What each cell counts in a budget: its entries, but for hot cells."""
+        filled = max(1, int((self.counts > 0).sum()))
+        return np.minimum(self.counts, HOT * -(-int(self.counts.sum()) // filled))
+
     def halves(self, x: np.ndarray, entry: bool) -> tuple[np.ndarray, np.ndarray]:
         extra = np.sqrt(np.maximum(self.norm2 - (x * x).sum(1), 0)) if entry else np.zeros(len(x))
         return x[:, : self.half], np.hstack([x[:, self.half :], extra[:, None]])
@@ -72,15 +83,15 @@ class Index:
         a, b = self.halves(x, True)
         return assign(a, self.first) * len(self.second) + assign(b, self.second)
 
-    def visit(self, da: np.ndarray, db: np.ndarray, entries: int) -> list[int]:
-        """Cells by rising da[i] + db[j] until ``entries`` entries are named or no cell is left."""
+    def visit(self, da: np.ndarray, db: np.ndarray, entries: int, weights: np.ndarray) -> list[int]:
+        """Cells by rising da[i] + db[j] until their ``weights`` reach ``entries`` or no cell is left."""
         ia, ib = np.argsort(da, kind="stable"), np.argsort(db, kind="stable")
         out, found = [], 0
         heap, seen = [(da[ia[0]] + db[ib[0]], 0, 0)], {(0, 0)}
         while heap and found < entries:
             _, i, j = heapq.heappop(heap)
             cell = (int(ia[i]), int(ib[j]))
-            if n := int(self.counts[cell]):
+            if n := int(weights[cell]):
                 out.append(cell[0] * len(db) + cell[1])
                 found += n
             for p in ((i + 1, j), (i, j + 1)):
@@ -125,14 +136,56 @@ def build(vectors: DataFrame) -> tuple[Index | None, DataFrame, int]:
     return index, entries, width
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, entries: int = 4000, share: float = 0.0) -> DataFrame:
+def measured(index: Index, stored: DataFrame, queries: Column, width: int, k: int, recall: float) -> int:
+    """The budget with which PROBES queries (chosen by a hash) find ``recall`` of their true ``k`` neighbours.
+
+    One pass compares them with every entry; k rows a query come to the driver.
+    """
+    from pyspark.sql import Window as W
+
+    asked = stored.where(queries).select("vec_id", "x").orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(PROBES).collect()
+    if not asked:
+        return 0
+    y = np.frombuffer(b"".join(bytes(r["x"]) for r in asked), np.float64).reshape(-1, width)
+    shared = stored.sparkSession.sparkContext.broadcast((np.array([r["vec_id"] for r in asked], np.int64), y))
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, y = shared.value
+        best, cells = np.full((len(y), k), -np.inf), np.zeros((len(y), k), np.int64)
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float64).reshape(-1, width)
+            s = np.where(own[:, None] == ids[None, :], -np.inf, y @ x.T)
+            s = np.hstack([best, s])
+            c = np.hstack([cells, np.broadcast_to(batch.column(2).to_numpy(zero_copy_only=False), (len(y), len(ids)))])
+            top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+            best, cells = np.take_along_axis(s, top, 1), np.take_along_axis(c, top, 1)
+        q, at = np.nonzero(best > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(best[q, at]), pa.array(cells[q, at])], names=["q", "score", "cell"])
+
+    found = stored.select("vec_id", "x", "cell").mapInArrow(nearest, "q int, score double, cell long")
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "cell"))
+    true = found.withColumn("r", rank).where(F.col("r") <= k).select("q", "cell").collect()
+    weights = index.weights().reshape(-1)
+    a, b = index.halves(y, False)
+    da, db = distances(a, index.first), distances(b, index.second)
+    before = []  # what a search has counted when it comes to each neighbour's cell
+    for i in range(len(y)):
+        order = np.argsort((da[i][:, None] + db[i][None, :]).reshape(-1), kind="stable")
+        ahead = np.zeros(len(order), np.int64)
+        ahead[order] = np.cumsum(weights[order]) - weights[order]
+        before += [int(ahead[r["cell"]]) for r in true if r["q"] == i]
+    return sorted(before)[max(0, math.ceil(recall * len(before)) - 1)] + 1 if before else 0
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 20, entries: int = 4000, share: float = 0.0, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` entries of largest inner product found for each query row.
 
     ``vectors``: vec_id, v. Queries are the rows where ``queries`` holds; a query is
     no candidate of its own. Unusable vectors (see ``usable``), null ids and vectors of another
     width than the widest take no part. Ties go to the smaller vec_id. Cells are visited until ``entries`` entries,
-    or ``share`` of all entries if that is more, are named. Rows with equal
-    vec_id are entries of their own.
+    or ``share`` of all entries, or as many as ``recall`` needs (see ``measured``) are named, whichever is most;
+    a hot cell's entries count in part only. Rows with equal vec_id are entries of their own.
 
     Entries are packed into blocks of about BLOCK rows of one cell, and queries
     into blocks for each cell they visit, so a hot cell spreads over many tasks
@@ -146,7 +199,12 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, entries: int = 4000
     schema = "query_id long, rank int, vec_id long, score double"
     if index is None:
         return spark.createDataFrame([], schema)
-    wanted = max(entries, math.ceil(share * int(index.counts.sum()))) + 1
+    rows = int(index.counts.sum())
+    wanted = max(entries, math.ceil(share * rows))
+    if wanted < rows:
+        wanted = max(wanted, measured(index, stored, queries, width, k, recall))
+    wanted += 1
+    weights = index.weights()
     blocks_of = np.maximum(1, -(-index.counts // BLOCK)).reshape(-1)
     shared = spark.sparkContext.broadcast((index, blocks_of))
     chosen = queries
@@ -159,7 +217,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, entries: int = 4000
             a, b = index.halves(x, False)
             da, db = distances(a, index.first), distances(b, index.second)
             for i, q in enumerate(batch.column(0).to_pylist()):
-                cells = index.visit(da[i], db[i], wanted)
+                cells = index.visit(da[i], db[i], wanted, weights)
                 yield pa.RecordBatch.from_arrays([pa.array([q] * len(cells), pa.int64()), pa.array([raw[i]] * len(cells), pa.binary()), pa.array(cells, pa.int64())], names=["vec_id", "x", "cell"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
