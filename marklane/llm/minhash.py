@@ -1,6 +1,6 @@
 """Near-duplicates by b-bit MinHash.
 
-Signatures keep the low bits of the minima, packed into 64-bit words; the share
+Signatures keep some bits of a mix of the minima, packed into 64-bit words; the share
 of equal lanes, corrected for chance equality, estimates the similarity. Bands
 over the full minima give candidates. Every link is confirmed on full sets.
 
@@ -85,6 +85,14 @@ def minima(sets: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return low
 
 
+def lane_bits(low: np.ndarray, bits: int) -> np.ndarray:
+    """``bits`` bits of a mix of each whole minimum.
+
+    The low bits of x * a + b depend on those of x alone, whatever the lane, so they are no draws of their own.
+    """
+    return _mixed(low.astype(np.uint64)) >> np.uint64(64 - bits)
+
+
 def signature(df: DataFrame, text: str = "text", n: int = SHINGLE) -> DataFrame:
     """Append n_shingles, fp (16 bytes that name the set), sig (array of packed longs) and bands (array of longs).
 
@@ -108,7 +116,7 @@ def signature(df: DataFrame, text: str = "text", n: int = SHINGLE) -> DataFrame:
                     continue
                 low = minima(s, a, b)
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                packed = ((low & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(-1, per) << shift).sum(axis=1, dtype=np.uint64)
+                packed = (lane_bits(low, BITS).reshape(-1, per) << shift).sum(axis=1, dtype=np.uint64)
                 sigs.append(packed.view(np.int64))
                 h = salt
                 for row in low.reshape(BANDS, ROWS).T:
@@ -142,14 +150,14 @@ def similarity(x: Column, y: Column) -> Column:
 
 
 def _wide(sets: DataFrame) -> DataFrame:
-    """Append w0, w1, ...: the low bits of WIDE_LANES minima of the sets ``s``, 64 to a column."""
+    """Append w0, w1, ...: a bit of each of WIDE_LANES minima of the sets ``s``, 64 to a column."""
     at = sets.columns.index("s")
 
     def make():
         a, b = parameters(WIDE_LANES)
 
         def fn(batch: pa.RecordBatch):
-            low = [minima(np.frombuffer(x.as_py(), np.uint64), a, b).astype(np.uint8) & 1 for x in batch.column(at)]
+            low = [lane_bits(minima(np.frombuffer(x.as_py(), np.uint64), a, b), 1).astype(np.uint8) for x in batch.column(at)]
             packed = np.packbits(np.array(low, np.uint8).reshape(-1, WIDE_LANES), axis=1).view(np.int64)
             return [pa.array(np.ascontiguousarray(column)) for column in packed.T]
 

@@ -377,3 +377,19 @@ def test_estimate_is_near_the_similarity(spark):
     a, b = minhash.signature(rows).orderBy("doc_id").select("sig").collect()
     est = spark.createDataFrame([(a[0], b[0])], "a array<long>, b array<long>").select(minhash.similarity(F.col("a"), F.col("b"))).first()[0]
     assert abs(est - 896 / 996) < 0.12
+
+
+def test_open_pairs_of_short_texts_at_the_threshold(spark):
+    """Sets of 6 to 40 shingles whose similarity is exactly 0.75 stay above the bar of the estimate."""
+    rng = np.random.default_rng(7)
+    sets, split = [], []
+    for both, union in ((6, 8), (9, 12), (12, 16), (24, 32), (30, 40)):
+        for _ in range(60):
+            u = rng.integers(0, 1 << 63, union).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, union).astype(np.uint64)
+            one = both + (union - both) // 2
+            for s in (u[:one], np.r_[u[:both], u[one:]]):
+                split.append((len(sets), len(sets) // 2, len(sets)))
+                sets.append((len(sets), bytearray(np.sort(s).tobytes())))
+    wide = minhash._wide(spark.createDataFrame(sets, "id long, s binary")).drop("s")
+    pairs = minhash._open_pairs(spark.createDataFrame(split, "id long, h long, c long"), wide, 0.75 - minhash.WIDE_SLACK)
+    assert pairs.count() == len(sets) // 2
