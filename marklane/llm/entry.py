@@ -80,7 +80,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=False)
-    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+    mixed = materialise(mixed.withColumn("_row", F.monotonically_increasing_id()))  # written once, so that a row keeps its number
+    copies = materialise(mixing.schedule(mixed))
+    taken = copies.groupBy("_row").agg(F.sum("copy_words").alias("taken"))
+    rows = mixed.drop("taken").join(taken, "_row", "left")
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -393,3 +393,21 @@ def test_open_pairs_of_short_texts_at_the_threshold(spark):
     wide = minhash._wide(spark.createDataFrame(sets, "id long, s binary")).drop("s")
     pairs = minhash._open_pairs(spark.createDataFrame(split, "id long, h long, c long"), wide, 0.75 - minhash.WIDE_SLACK)
     assert pairs.count() == len(sets) // 2
+
+
+def test_query_op9_takes_what_the_schedule_gives(spark, monkeypatch):
+    made, whole = [], mixing.schedule
+
+    def kept(mixed):
+        made.append(whole(mixed))
+        return made[-1]
+
+    monkeypatch.setattr(mixing, "schedule", kept)
+    rows = QUERIES["op9_curriculum_mix"](spark, SF).collect()
+    copies = made[0].collect()
+    spots = [(r["position"], r["doc_id"], r["copy"]) for r in copies]
+    assert spots == sorted(spots) and len({r["copy"] for r in copies}) == 2
+    want = {(r["doc_id"], r["taken"]) for r in mixing.mix(spark.read.parquet(f"{SF}/documents.parquet")).select("doc_id", "taken").collect()}
+    assert {(r["doc_id"], r["taken"]) for r in rows} == want and sum(r["copy_words"] for r in copies) == sum(r["taken"] for r in rows)
+    monkeypatch.setattr(mixing, "schedule", lambda mixed: whole(mixed).where("copy = 0"))
+    assert all(r["taken"] <= r["size"] for r in QUERIES["op9_curriculum_mix"](spark, SF).collect())
