@@ -221,7 +221,10 @@ def _text_frame(key: str, value: str) -> bytes:
 
 
 def write_stream(payload: bytes, notes: dict[str, str] | None = None) -> bytes:
-    """A variable-bitrate file that carries ``payload``; equal arguments give equal bytes."""
+    """A variable-bitrate file that carries ``payload``; equal arguments give equal bytes.
+
+    An empty closing tag is written only where the payload itself has ``TAG`` at the place of one.
+    """
     room = _LENGTHS[_FULL] - _BODY
     whole, rest = divmod(len(payload), room)
     frames = np.zeros((whole, _LENGTHS[_FULL]), np.uint8)
@@ -240,7 +243,9 @@ def write_stream(payload: bytes, notes: dict[str, str] | None = None) -> bytes:
     tags = b"".join(_text_frame(k, v) for k, v in {"payload_bytes": str(len(payload)), "payload_crc32": str(zlib.crc32(payload)), **(notes or {})}.items())
     size = len(tags)
     head = b"ID3\x03\0\0" + bytes([size >> 21 & 127, size >> 14 & 127, size >> 7 & 127, size & 127])
-    return head + tags + table + frames.tobytes() + last
+    out = head + tags + table + frames.tobytes() + last
+    # what a reader would take for a closing tag is followed by one, an empty one
+    return out + b"TAG".ljust(128, b"\0") if out[-128:-125] == b"TAG" else out
 
 
 def read_payload(data: bytes | None) -> tuple[bytes, Stream]:

@@ -411,3 +411,12 @@ def test_query_op9_takes_what_the_schedule_gives(spark, monkeypatch):
     assert {(r["doc_id"], r["taken"]) for r in rows} == want and sum(r["copy_words"] for r in copies) == sum(r["taken"] for r in rows)
     monkeypatch.setattr(mixing, "schedule", lambda mixed: whole(mixed).where("copy = 0"))
     assert all(r["taken"] <= r["size"] for r in QUERIES["op9_curriculum_mix"](spark, SF).collect())
+
+
+def test_mpeg_payload_like_a_closing_tag():
+    for n in (937, 5000, 100_000):
+        payload = b"TAG" * (n // 3 + 1)
+        for shift in range(3):
+            text = payload[shift : shift + n]
+            back, s = mpeg.read_payload(mpeg.write_stream(text))
+            assert back == text and s.skipped == 0
