@@ -6,7 +6,10 @@ text: good, near good, short or bad. The second pass decides the near good and
 short ones by the nearest decided blocks on both sides.
 
 What a page itself marks as no article (navigation, footers, forms, scripts,
-elements whose class, id or role names such a part) is bad from the start.
+hidden parts) is bad from the start. Other marks weigh: article and main elements
+lead where they hold at least as much text as the good blocks outside of them,
+and an element whose class, id or role names no article is bad unless it lies around
+an article or main element or holds nearly all good text of the page.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ LINKS_HIGH, LENGTH_LOW, LENGTH_HIGH = 0.4, 60, 180
 STOPS_LOW, STOPS_HIGH = 0.2, 0.3
 #: Blocks to either side in which a heading looks for a good block.
 HEADING_REACH = 6
+#: Share of a page's good text from which an element is its wrapper, whatever its class says.
+WRAPPER = 0.9
 
 # Frequent function words of four languages.
 STOP_WORDS = frozenset(
@@ -60,6 +65,7 @@ class Block:
     heading: bool
     inside: bool  # in an article or main element
     barred: bool  # in a part that is marked as no article
+    hints: tuple[int, ...] = ()  # elements around it, up to an article or main element, whose class, id or role says no article
 
 
 def _named(attributes: str) -> tuple[bool, bool]:
@@ -76,17 +82,17 @@ def _named(attributes: str) -> tuple[bool, bool]:
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order. Unclosed and stray tags are tolerated; comments and raw elements give no text."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, barred, inside
+    stack: list[tuple[str, bool, bool, tuple[int, ...]]] = []  # name, barred, inside, hints
     parts: list[str] = []
-    links = depth_a = breaks = 0
+    links = depth_a = breaks = hinted = 0
     heading = False
 
     def flush() -> None:
         nonlocal parts, links, breaks
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
-            barred, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            out.append(Block(text, links, heading, inside, barred))
+            barred, inside, hints = stack[-1][1:] if stack else (False, False, ())
+            out.append(Block(text, links, heading, inside, barred, hints))
         parts, links, breaks = [], 0, 0
 
     def add(text: str) -> None:
@@ -148,20 +154,21 @@ def blocks(page: str) -> list[Block]:
                 if stack[i][0] in ("ul", "ol", "div", "article", "section", "main", "td", "body", "blockquote"):
                     break
         if name in BLOCK or name in DROPPED or name in ("span", "ins"):
-            barred, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+            barred, inside, hints = stack[-1][1:] if stack else (False, False, ())
             if name in ("article", "main"):
-                inside = True
+                inside, hints = True, ()
             if name == "body" and stack and stack[-1][0] == "head":
                 stack.pop()
-                barred = stack[-1][1] if stack else False
+                barred, _, hints = stack[-1][1:] if stack else (False, False, ())
             hint, header = _named(m[4]) if m[4] else (False, False)
             if name in NOT_ARTICLE or name in DROPPED or name == "header" and not inside:
                 barred = True
             elif name not in ("html", "body", "article", "main") and (hint or header and not inside):
-                barred = True
+                hinted += 1
+                hints = (*hints, hinted)
             if m[4] and _HIDDEN.search(m[4]):
                 barred = True
-            stack.append((name, barred, inside))
+            stack.append((name, barred, inside, hints))
             if name in ("h1", "h2", "h3", "h4", "h5", "h6"):
                 heading = True
             elif name in BLOCK:
@@ -190,10 +197,21 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    marked = any(b.inside and not b.barred for b in found)
+    plain = [alone(b, False) for b in found]
+    sizes = [len(b.text) * (c in ("good", "near")) for b, c in zip(found, plain, strict=True)]
+    held: dict[int, int] = {}
+    for b, n in zip(found, sizes, strict=True):
+        for e in b.hints:
+            held[e] = held.get(e, 0) + n
+    most = max(1, WRAPPER * sum(sizes))
+    for b in found:
+        b.barred |= any(held[e] < most for e in b.hints)
+    within = sum(len(b.text) for b in found if b.inside and alone(b, True) != "bad")
+    outside = sum(len(b.text) for b, c in zip(found, plain, strict=True) if c == "good" and not b.inside and not b.barred)
+    marked = within > 0 and within >= outside
     first = [alone(b, marked and b.inside) for b in found]
-    if marked:  # the page says where its article is: outside, only long good blocks could count, and they are other articles' teasers
-        first = [c if b.inside else "bad" for b, c in zip(found, first, strict=True)]
+    if marked:  # the page says where its article is: outside, only what is good alone counts
+        first = [c if b.inside or c == "good" else "bad" for b, c in zip(found, first, strict=True)]
     decided = [i for i, c in enumerate(first) if c in ("good", "bad")]
     near_good = any(c in ("good", "near") for c in first)
     label = list(first)

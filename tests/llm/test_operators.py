@@ -420,3 +420,13 @@ def test_mpeg_payload_like_a_closing_tag():
             text = payload[shift : shift + n]
             back, s = mpeg.read_payload(mpeg.write_stream(text))
             assert back == text and s.skipped == 0
+
+
+def test_html_marks_weigh():
+    good = ("The house of the old man is on the hill and that is what he had for all of his life. " * 4).strip()
+    card = "<article><h2>Other</h2><p>A card of another page that is short.</p></article>"
+    assert good in html.main_text(f"<body><div>{good}</div><div>{good}</div>{card}</body>")
+    assert html.main_text(f'<div class="layout has-sidebar"><article><p>{good}</p></article><div class="sidebar">{good}</div></div>') == good
+    assert html.main_text(f'<div class="layout has-sidebar"><div><p>{good}</p><p>{good}</p></div><div class="sidebar">And more</div></div>') == f"{good}\n{good}"
+    assert html.main_text(f"<article><p>{good}</p><p>{good}</p></article><div>{good}</div><div>Short and of no use.</div>") == f"{good}\n{good}\n{good}"
+    assert html.main_text(f'<article><p>{good}</p><p>{good}</p></article><div id="comments">{good}</div><aside><article>{good}</article></aside>') == f"{good}\n{good}"
