@@ -34,6 +34,8 @@ MAGIC = b"RANS\x00\x01"
 SCALE_BITS = 22
 LANES = 1024
 BLOCK_IDS = 1 << 18
+#: Bytes that a worker's cache of encoded pieces holds at most between two steps.
+CACHE_BYTES = 160 << 20
 FILE_IDS = 1 << 20
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<6sHIQQ")
@@ -115,7 +117,7 @@ def library_ids(path: str) -> PieceCache:
     probe = "Don't WE'LL !'s x1y22 a-b. Été, ŒUVRE."
     if encode(probe.split(" "))[0].tolist() != tok.encode(probe, add_special_tokens=False).ids:
         raise ValueError("this tokenizer cuts or changes words by other rules")
-    _TOKENIZERS[path] = PieceCache(lambda t: t.split(" "), encode, 900_000)
+    _TOKENIZERS[path] = PieceCache(lambda t: t.split(" "), encode, CACHE_BYTES)
     return _TOKENIZERS[path]
 
 

@@ -27,6 +27,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^WS\p{L}\p{N}]+|[WS]+(?
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 _NONE = np.iinfo(np.int32).max
+#: Bytes that a task's cache of encoded pieces holds at most between two steps.
+CACHE_BYTES = 48 << 20
 
 
 def byte_characters() -> list[str]:
@@ -73,9 +75,8 @@ class NumpyBPE:
         self._rare = re.compile(f"[{WHITE}]".replace("\\t-\\r ", "\\t\\x0b-\\r"))
         self._cut = regex.compile(f" (?=[^{WHITE}])")
         self._special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.cache = self.new_cache()
 
-    def new_cache(self, limit: int = 250_000) -> PieceCache:
+    def new_cache(self, limit: int = CACHE_BYTES) -> PieceCache:
         return PieceCache(self._pieces, self._encode_pieces, limit)
 
     def _pieces(self, text: str) -> list[str]:
@@ -170,7 +171,7 @@ class NumpyBPE:
         return sym[order].astype(np.int32), np.bincount(word, minlength=len(words))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.cache.ids(texts)
+        return self.new_cache().ids(texts)
 
     def decode_bytes(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of all ids, number of bytes of each id), gathered from one flat table."""
@@ -193,30 +194,38 @@ def loaded(path: str) -> NumpyBPE:
     return _LOADED[path]
 
 
+def _packed(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binaries of little-endian unsigned 32-bit integers, cut at ``ends``."""
+    raw = flat.astype("<u4").tobytes()
+    return pa.array([raw[4 * a : 4 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+
+
+def _texts(model: NumpyBPE, flat: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The text of each span of ids."""
+    raw, size = model.decode_bytes(flat)
+    at = np.r_[0, np.cumsum(size)][ends]
+    raw = raw.tobytes()
+    return [raw[a:b].decode("utf-8", errors="replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Append ``ids``, the token ids of ``text`` as little-endian unsigned 32-bit integers (binary).
 
     Null and empty texts give empty binaries; special tokens written out in a
-    text become their id. Rows, order inside a partition and other columns
+    text become their id. Rows (repeated ones too), order inside a partition and other columns
     stay; a column already named like ``ids`` is replaced. No shuffle.
     """
     at = df.columns.index(text)
 
     def make():
-        cache = loaded(path).new_cache()  # of one task, so that idle workers hold no pieces
-
-        def fn(batch: pa.RecordBatch):
-            flat, ends = cache.ids(texts_of(batch, at))
-            flat = flat.astype("<u4")
-            return [pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
-
-        return fn
+        cache = loaded(path).new_cache()
+        return lambda batch: [_packed(*cache.ids(texts_of(batch, at)))]
 
     return map_rows(df, make, [field(ids, T.BinaryType())], text)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Append ``text``, the text of the binary ``ids``; special tokens are kept. Null ids give an empty text."""
+    """Append ``text``, the text of the binary ``ids``; special tokens are kept. Null ids give an empty text; a column named like ``text`` is replaced."""
     at = df.columns.index(ids)
 
     def make():
@@ -224,11 +233,37 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
         def fn(batch: pa.RecordBatch):
             parts = [x or b"" for x in batch.column(at).to_pylist()]
-            flat, size = model.decode_bytes(np.frombuffer(b"".join(parts), "<u4").astype(np.int64))
-            ends = np.r_[0, np.cumsum(size)][np.cumsum([0, *(len(x) // 4 for x in parts)])]
-            raw = flat.tobytes()
-            return [pa.array([raw[a:b].decode("utf-8", errors="replace") for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())]
+            flat = np.frombuffer(b"".join(parts), "<u4").astype(np.int64)
+            return [pa.array(_texts(model, flat, np.cumsum([0, *(len(x) // 4 for x in parts)])), pa.string())]
 
         return fn
 
     return map_rows(df, make, [field(text, T.StringType())], ids)
+
+
+def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", exact: str | None = "exact") -> DataFrame:
+    """``encode`` and ``decode`` in one step, so that a task has one Python worker and a text crosses to it once.
+
+    ``text`` gives way to ``ids``, ``decoded`` (the text decoded from them) and ``exact`` (whether that is the text, null
+    counting as empty); the last two may be None and are left out then. Columns of those names are replaced, others stay.
+    """
+    at = df.columns.index(text)
+    kinds = ((ids, T.BinaryType()), (decoded, T.StringType()), (exact, T.BooleanType()))
+    fields = [field(name, kind) for name, kind in kinds if name]
+
+    def make():
+        model, cache = loaded(path), loaded(path).new_cache()
+
+        def fn(batch: pa.RecordBatch):
+            texts = texts_of(batch, at)
+            flat, ends = cache.ids(texts)
+            out, back = [_packed(flat, ends)], _texts(model, flat.astype(np.int64), ends)
+            if decoded:
+                out.append(pa.array(back, pa.string()))
+            if exact:
+                out.append(pa.array([x == y for x, y in zip(texts, back, strict=True)], pa.bool_()))
+            return out
+
+        return fn
+
+    return map_rows(df, make, fields, text, (text,))

@@ -55,6 +55,7 @@ def map_rows(df: DataFrame, make: Callable, fields: list[T.StructField], text: s
     """Append ``fields`` to every row; ``make()`` gives a function from a record batch to the new arrays.
 
     Columns of ``df`` named like a new field or in ``drop`` give way; all others pass unchanged.
+    What ``make()`` sets up (caches of words or pieces) belongs to one task and goes with it.
     """
     new = {f.name for f in fields}
     keep = [i for i, f in enumerate(df.schema.fields) if f.name not in new and f.name not in drop]
@@ -66,6 +67,7 @@ def map_rows(df: DataFrame, make: Callable, fields: list[T.StructField], text: s
         for batch in batches:
             for part in slices(batch, at):
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in keep] + list(fn(part)), names=names)
+        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no buffers
 
     return df.mapInArrow(run, T.StructType([df.schema.fields[i] for i in keep] + list(fields)))
 

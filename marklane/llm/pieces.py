@@ -14,16 +14,22 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
+#: What a piece takes besides its letters: the string's head, its place in the index, its start and size.
+PIECE_BYTES = 180
+
+
 class _Index(dict):
     """piece -> number; a new piece gets the next number and is noted."""
 
     def __init__(self) -> None:
         super().__init__()
         self.new: list[str] = []
+        self.held = 0  # bytes, about
 
     def __missing__(self, piece: str) -> int:
         n = self[piece] = len(self)
         self.new.append(piece)
+        self.held += PIECE_BYTES + 2 * len(piece)
         return n
 
 
@@ -36,9 +42,12 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
 
 
 class PieceCache:
-    """Ids of texts; ``encode(pieces)`` gives (all ids in one array, number of ids of each piece)."""
+    """Ids of texts; ``encode(pieces)`` gives (all ids in one array, number of ids of each piece).
+
+    ``limit``: bytes that the pieces and their ids may hold when a call begins; beyond it the cache starts empty.
+    """
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable, limit: int = 500_000) -> None:
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable, limit: int) -> None:
         self.split, self.encode, self.limit = split, encode, limit
         self._clear()
 
@@ -49,7 +58,7 @@ class PieceCache:
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets of the texts in them)."""
-        if len(self.index) > self.limit:
+        if self.index.held + 4 * self.used > self.limit:
             self._clear()
         at, counts, get = [], np.zeros(len(texts), np.int64), self.index.__getitem__
         for i, t in enumerate(texts):
@@ -64,7 +73,7 @@ class PieceCache:
 
         Arrow cuts and counts the distinct pieces, so a piece that repeats inside the column is looked up once.
         """
-        if len(self.index) > self.limit:
+        if self.index.held + 4 * self.used > self.limit:
             self._clear()
         parts = pc.split_pattern(pc.fill_null(texts, ""), mark)
         coded = parts.flatten().dictionary_encode()
