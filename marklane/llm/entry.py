@@ -33,8 +33,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer("byte_bpe_50k.json")
-    docs = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    docs = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), exact=None)
     n = F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens")
     return docs.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -79,17 +78,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=False)
-    mixed = materialise(mixed.withColumn("_row", F.monotonically_increasing_id()))  # written once, so that a row keeps its number
-    copies = materialise(mixing.schedule(mixed))
-    taken = copies.groupBy("_row").agg(F.sum("copy_words").alias("taken"))
-    rows = mixed.drop("taken").join(taken, "_row", "left")
-    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    """A row per document with what the range-sorted training copies take of it, and the time of its first copy (null: not taken)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    mixed = materialise(mixing.mix(docs, carry=False).withColumn("_row", F.monotonically_increasing_id()))  # written once, so that a row keeps its number
+    copies = mixing.schedule(mixed.select("_row", "doc_id", "mix"))
+    taken = copies.groupBy("_row").agg(F.sum("mix.size").alias("taken"), F.min("mix.position").alias("first_position"))
+    rows = mixed.select("_row", "doc_id", "mix.size", "mix.source_size", "mix.target").join(taken, "_row", "left")
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.round("first_position", 9).alias("first_position"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found.drop("group_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,13 +162,25 @@ WITH d AS (
 ), t AS (
   SELECT source, n, CASE WHEN is_full THEN cap ELSE
     (total - coalesce(sum(cap) FILTER (is_full) OVER (), 0)) * w / sum(w) FILTER (NOT is_full) OVER () END AS target FROM f
+), u AS (
+  SELECT source, n, target, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i, count(*) OVER () AS k FROM t
 ), p AS (
-  SELECT d.*, t.n, t.target, CAST(round(t.target) AS BIGINT) AS whole,
+  SELECT d.*, u.n, u.target, CASE WHEN k < 2 THEN 0.0::DOUBLE ELSE 1.6::DOUBLE * i / (k - 1) - 0.8::DOUBLE END AS slope,
     CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS ahead
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+  FROM d JOIN u ON d.source IS NOT DISTINCT FROM u.source
+), e AS (
+  SELECT *, size > 0 AND ahead + size <= target AS one, size > 0 AND ahead + n + size <= target AS two FROM p
+), g AS (
+  SELECT *, max(CASE WHEN two THEN ahead + n + size WHEN one THEN ahead + size ELSE 0 END) OVER (PARTITION BY source) AS reached FROM e
+), m AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN size > 0 AND NOT two AND size < 2 * (target - reached) THEN abs(target - reached - size) END NULLS LAST, ahead) = 1
+    AND size > 0 AND NOT two AND size < 2 * (target - reached) AS more FROM g
+), q AS (
+  SELECT *, least(1.0::DOUBLE, (CASE WHEN one THEN ahead ELSE reached END + size / 2.0::DOUBLE) / target) AS x FROM m
 )
-SELECT doc_id, size, n AS source_size, target,
-  greatest(0, least(size, whole - ahead)) + greatest(0, least(size, whole - n - ahead)) AS taken FROM p
+SELECT doc_id, size, n AS source_size, target, CAST(size * (CAST(one AS INTEGER) + CAST(two AS INTEGER) + CAST(more AS INTEGER)) AS BIGINT) AS taken,
+  round(CASE WHEN NOT one AND NOT more THEN NULL WHEN abs(slope) < 1e-12 THEN x ELSE 2 * x / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * x)) END, 9) AS first_position
+FROM q
 """,
     "op10_bbit_minhash": rf"""
 WITH RECURSIVE w AS (

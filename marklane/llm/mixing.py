@@ -9,10 +9,14 @@ source's share, so integral and inverse are closed forms.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -21,32 +25,31 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0) -> dict[str | None, float]:
-    """Words that each source gives: ``share`` of all words by weight, no source above ``limit`` times its size.
+def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0) -> DataFrame:
+    """(source, source_size, target, slope) from ``sizes`` (source, source_size): ``share`` of all words by weight, no source above ``limit`` times its size.
 
-    Weights repeat along the sources in code point order, null last. What a full
-    source leaves goes to the others by weight until none is above its limit.
+    Weights repeat along the sources in code point order, null last. What a full source leaves goes to the others by
+    weight until none is above its limit: sources fill in the order of limit / weight, so running sums along that order tell which are full.
+    Slopes of the schedules run from rising to falling in source order. A row per source passes through one task, as sorted
+    windows that stream.
     """
-    order = sorted(sizes, key=lambda x: (x[0] is None, (x[0] or "").encode("utf-32-be")))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    size = dict(sizes)
-    left, open_, out = share * sum(size.values()), dict(weight), {}
-    while open_:
-        total = sum(open_.values())
-        full = [s for s in open_ if left * open_[s] / total > limit * size[s]]
-        if not full:
-            out |= {s: left * w / total for s, w in open_.items()}
-            break
-        for s in full:
-            out[s] = limit * size[s]
-            del open_[s]
-        left -= sum(out[s] for s in full)
-    return out
-
-
-def slopes(n: int) -> list[float]:
-    """Start-to-end slope of each source's schedule, from rising to falling, in source order."""
-    return [0.0] if n < 2 else [1.6 * i / (n - 1) - 0.8 for i in range(n)]
+    spread = F.array(*[F.lit(w) for w in weights])
+    by_name = W.orderBy(F.col("source").asc_nulls_last())
+    n_sources = F.count(F.lit(1)).over(W.partitionBy())
+    rank = F.row_number().over(by_name) - 1
+    named = sizes.withColumn("_w", F.get(spread, (rank % len(weights)).cast("int"))).withColumn("slope", F.when(n_sources < 2, 0.0).otherwise(1.6 * rank / (n_sources - 1) - 0.8))
+    cap = limit * F.col("source_size").cast("double")
+    capped = named.withColumn("_cap", cap).withColumn("_total", share * F.sum("source_size").over(W.partitionBy()))
+    by_fill = W.orderBy(F.col("_cap") / F.col("_w"), F.col("source").asc_nulls_last())
+    gone = F.coalesce(F.sum("_cap").over(by_fill.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    open_weight = F.sum("_w").over(by_fill.rowsBetween(W.currentRow, W.unboundedFollowing))
+    over = capped.withColumn("_over", (F.col("_total") - gone) * F.col("_w") / open_weight > F.col("_cap"))
+    full = over.withColumn("_full", F.min(F.col("_over").cast("int")).over(by_fill.rowsBetween(W.unboundedPreceding, W.currentRow)) == 1)
+    everywhere = W.partitionBy()
+    filled = F.coalesce(F.sum(F.when(F.col("_full"), F.col("_cap"))).over(everywhere), F.lit(0.0))
+    rest = F.sum(F.when(~F.col("_full"), F.col("_w"))).over(everywhere)
+    target = F.when(F.col("_full"), F.col("_cap")).otherwise((F.col("_total") - filled) * F.col("_w") / rest)
+    return full.select("source", "source_size", target.alias("target"), "slope")
 
 
 def position(share: Column, slope: Column) -> Column:
@@ -64,60 +67,81 @@ def order_key(doc_id: Column, source: Column) -> Column:
     return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, text: str = "text", size: str = "size", rows_per_bucket: int = 2000, carry: bool = True) -> DataFrame:
-    """Decide for every document how many of its words the mix takes, and when.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, text: str = "text", out: str = "mix", rows_per_bucket: int = 2000, carry: bool = True) -> DataFrame:
+    """Decide for every document how often the mix takes it, and when.
+
+    Appends the struct ``out``: size, source_size, target, taken and positions (one training time per copy). All columns
+    of ``docs`` stay, whatever their names; only one named like ``out`` gives way. Without ``carry`` the text is left out.
 
-    Appends size, source_size, target, taken and positions (one training time
-    per copy). Each source's stream repeats its documents in one fixed hashed
-    order until the target is reached; the last document is taken in part, so a
-    source gives its target to the word and no document more than ``limit``
-    times its size. Repeated and tied rows are rows of their own; null texts
-    have size 0 and are never taken; null is a source like any other.
+    Each source's stream repeats its documents in one fixed hashed order. Copies are taken whole: all that end before the
+    source's target, and one more, untaken so far, whose size comes nearest to what is left (ties to the earlier one), if
+    that is nearer to the target than none. No document is taken more than ``limit`` times (rounded down).
+    Repeated and tied rows are rows of their own; null and empty texts have size 0 and are never taken; null is a source like
+    any other; an empty table gives an empty result.
 
-    The source totals (a row per source) go through the driver. Running sums are
-    taken in two steps, over (source, hash bucket) totals and inside a bucket,
-    so that no task holds a whole source. Without ``carry`` the texts are left
-    out of the result and of every shuffle.
+    Running sums are taken in two steps, over (source, hash bucket) totals and inside a bucket, so that no task holds a
+    whole source, and words are counted once. Nothing but a row count comes to the driver.
     """
-    spark = docs.sparkSession
-    clash = [c for c in ("source_size", "target", "taken", "positions", "_h", "_b", "_inside", "_before", "_slope", "_k", size) if c in docs.columns]
-    docs = docs.drop(*clash)
-    sized = docs.withColumn(size, word_count(F.col(text))).withColumn("_k", F.xxhash64(text))
-    if not carry:
-        sized = sized.drop(text)
-    totals = sized.groupBy("source").agg(F.sum(size).alias("n"), F.count(F.lit(1)).alias("rows")).collect()
-    if not totals:
-        return sized.drop("_k").select("*", *[F.lit(None).cast(k).alias(c) for c, k in (("source_size", "long"), ("target", "double"), ("taken", "long"), ("positions", "array<double>"))])
-    goal = targets([(r["source"], r["n"]) for r in totals], weights, share, limit)
-    slope = dict(zip(sorted(goal, key=lambda s: (s is None, s or "")), slopes(len(goal)), strict=True))
-    buckets = max(1, -(-sum(r["rows"] for r in totals) // rows_per_bucket))
-    plan = spark.createDataFrame([(r["source"], r["n"], float(goal[r["source"]]), float(slope[r["source"]])) for r in totals], "source string, source_size long, target double, _slope double")
-
-    hashed = sized.withColumn("_h", order_key(F.col("doc_id"), F.col("source"))).withColumn("_b", F.pmod(F.col("_h"), F.lit(buckets)))
-    per = hashed.groupBy("source", "_b").agg(F.sum(size).alias("n"))
-    before = per.select("source", "_b", (F.sum("n").over(W.partitionBy("source").orderBy("_b")) - F.col("n")).alias("_before"))
-    offsets = before.join(F.broadcast(plan), before["source"].eqNullSafe(plan["source"])).select(before["source"], "_b", "_before", "source_size", "target", "_slope")
-
-    order = W.partitionBy("source", "_b").orderBy("_h", F.col("doc_id").asc_nulls_first(), size, "_k")
-    inside = hashed.withColumn("_inside", F.sum(size).over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(size))
-    o = offsets.withColumnsRenamed({"source": "_s", "_b": "_b2"})
-    joined = inside.join(o, inside["source"].eqNullSafe(o["_s"]) & (inside["_b"] == o["_b2"])).drop("_s", "_b2")
-    at = F.col("_before") + F.col("_inside")
-    whole = F.round("target").cast("long")
-    taken = lambda k: F.greatest(F.lit(0), F.least(F.col(size), whole - k * F.col("source_size") - at))
-    copies = int(-(-limit // 1))
-    taken_all = sum((taken(k) for k in range(1, copies)), taken(0))
-    spot = lambda k: F.when(taken(k) > 0, position(F.least(F.lit(1.0), (at + k * F.col("source_size") + taken(k) / 2) / F.greatest(whole, F.lit(1))), F.col("_slope")))
-    return joined.withColumn("taken", taken_all).withColumn("positions", F.array_compact(F.array(*[spot(k) for k in range(copies)]))).drop("_h", "_b", "_inside", "_before", "_slope", "_k")
-
-
-def schedule(mixed: DataFrame) -> DataFrame:
-    """One row per taken copy with its ``position``, range-sorted by it: the order of training.
-
-    ``copy_words`` is the number of leading words that the copy gives: all of
-    them, but for the document in which its source's budget ends.
+    docs = docs.drop(out)
+    kept = [c for c in docs.columns if carry or c != text]
+    whole_row = F.struct(*[F.col(c) for c in kept]).alias("r")
+    key = order_key(F.col("doc_id"), F.col("source"))
+    buckets = max(1, -(-docs.count() // rows_per_bucket))
+    place = [
+        F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit(""))).alias("s"), F.col("source").alias("name"), F.col("doc_id").alias("d"),
+        word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("k"), key.alias("h"), F.pmod(key, F.lit(buckets)).alias("b"),
+    ]
+    slim = materialise(docs.select(*place, *([] if carry else [whole_row])))
+    per = slim.groupBy("s", "b").agg(F.max("name").alias("name"), F.sum("size").alias("n"))
+    sources = per.groupBy("s").agg(F.max("name").alias("source"), F.sum("n").cast("long").alias("source_size"))
+    plan = targets(sources.select("source", "source_size"), weights, share, limit)
+    plan = plan.select(F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit(""))).alias("s"), "source_size", "target", "slope")
+    before = (F.sum("n").over(W.partitionBy("s").orderBy("b")) - F.col("n")).alias("before")
+    offsets = per.select("s", "b", before).join(plan, "s")
+
+    order = W.partitionBy("s", "b").orderBy("h", F.col("d").asc_nulls_first(), "size", "k")
+    inside = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
+    size, n, target = F.col("size"), F.col("source_size"), F.col("target")
+    at = lambda k: F.col("ahead") + k * n
+    fits = lambda k: (size > 0) & (at(k) + size <= target)
+    copies = range(int(limit))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("inside", inside).join(offsets, ["s", "b"]).withColumn("ahead", F.col("before") + F.col("inside")).drop("inside", "before")
+
+    end = F.greatest(F.lit(0), *[F.when(fits(k), at(k) + size) for k in copies]).alias("end")
+    known = materialise(placed(slim).select("*", end))
+    ends = known.select("s", "b", "size", "target", "ahead", "source_size", "end")
+    reached = ends.groupBy("s").agg(F.max("end").alias("reached"))
+    left = target - F.col("reached")
+    free = (size > 0) & (at(copies[-1]) + size > target) & (size < 2 * left)
+    nearest = F.struct(F.abs(left - size).alias("miss"), "ahead")
+    places = per.select("s", "b").join(reached, "s")  # joined by (source, bucket), so that no source is one task's work
+    filler = ends.join(places, ["s", "b"]).where(free).groupBy("s").agg(F.min(nearest).alias("f"))
+    fill = places.join(filler.select("s", F.col("f.ahead").alias("fill")), "s", "left")
+
+    final = (placed(docs.select(*place, whole_row)) if carry else known).join(fill, ["s", "b"])
+    is_fill = lambda k: (size > 0) & (F.col("ahead") == F.col("fill")) & ~fits(k) & (fits(k - 1) if k else F.lit(True))
+    takes = lambda k: fits(k) | F.coalesce(is_fill(k), F.lit(False))
+    begin = lambda k: F.when(fits(k), at(k)).otherwise(F.col("reached"))
+    spot = lambda k: F.when(takes(k), position(F.least(F.lit(1.0), (begin(k) + size / 2) / target), F.col("slope")))
+    taken = reduce(lambda a, b: a + b, [F.when(takes(k), size).otherwise(0) for k in copies]).cast("long")
+    spots = F.array_compact(F.array(*[spot(k) for k in copies]))
+    decided = F.struct(size.alias("size"), n.alias("source_size"), target.alias("target"), taken.alias("taken"), spots.alias("positions"))
+    return final.select("r", decided.alias("m")).select(*[F.col("r").getField(c).alias(c) for c in kept], F.col("m").alias(out))
+
+
+def schedule(mixed: DataFrame, out: str = "mix") -> DataFrame:
+    """One row per taken copy, range-sorted by its training time: the order of training.
+
+    The struct ``out`` of ``mix`` gains ``position`` (the copy's time) and ``copy`` (its number, from 0) in the place of
+    positions; all other columns stay. Documents that are not taken have no row; ties in time follow doc_id and copy.
     """
-    n = F.col("size")
-    rows = mixed.where(F.col("taken") > 0).select("*", F.posexplode("positions").alias("copy", "position"))
-    rows = rows.withColumn("copy_words", F.least(n, F.col("taken") - F.col("copy") * n))
-    return rows.repartitionByRange(F.col("position"), F.col("doc_id"), F.col("copy")).sortWithinPartitions("position", "doc_id", "copy")
+    rows = mixed.where(F.size(F.col(out)["positions"]) > 0)
+    each = F.posexplode(F.col(out)["positions"])
+    spread = rows.select(F.struct(*[F.col(c) for c in mixed.columns]).alias("r"), each.alias("c", "p"))
+    old = F.col("r")[out]
+    placed = F.struct(*[old[f].alias(f) for f in ("size", "source_size", "target", "taken")], F.col("p").alias("position"), F.col("c").alias("copy"))
+    sort = [F.col("p"), F.col("r")["doc_id"], F.col("c")]
+    ordered = spread.repartitionByRange(*sort).sortWithinPartitions(*sort)
+    return ordered.select(*[F.col("r")[c].alias(c) for c in mixed.columns if c != out], placed.alias(out))
