@@ -42,17 +42,30 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class _WordHash(dict):
+#: Bytes that a task's table of hashed words holds at most, about.
+WORD_BYTES = 32 << 20
+
+
+class WordHashes(dict):
+    """word -> 64-bit hash; begins anew when it holds ``most`` bytes."""
+
+    def __init__(self, most: int = WORD_BYTES) -> None:
+        super().__init__()
+        self.most, self.held = most, 0
+
     def __missing__(self, word: bytes) -> int:
+        self.held += 150 + len(word)
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
 
 
-_WORDS = _WordHash()
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
-def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
+def shingles(text: str | None, n: int = SHINGLE, known: WordHashes | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles of ``n`` words.
 
     A-Z are lower-cased and words parted by ASCII white space, as bytes.lower
@@ -61,9 +74,7 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_WORDS) > 250_000:
-        _WORDS.clear()
-    h = np.array(list(map(_WORDS.__getitem__, words)), np.uint64)
+    h = np.array(list(map((WordHashes() if known is None else known).__getitem__, words)), np.uint64)
     m = min(n, len(words))
     out = np.full(len(h) - m + 1, np.uint64(m))
     for k in range(m):
@@ -93,10 +104,15 @@ def lane_bits(low: np.ndarray, bits: int) -> np.ndarray:
     return _mixed(low.astype(np.uint64)) >> np.uint64(64 - bits)
 
 
+def fingerprint(sets: np.ndarray) -> bytes | None:
+    """16 bytes that name a set; None for the empty set."""
+    return xxhash.xxh3_128_digest(sets.tobytes()) if len(sets) else None
+
+
 def signature(df: DataFrame, text: str = "text", n: int = SHINGLE) -> DataFrame:
     """Append n_shingles, fp (16 bytes that name the set), sig (array of packed longs) and bands (array of longs).
 
-    Texts without words get n_shingles 0 and nulls. No shuffle.
+    Texts without words get n_shingles 0 and nulls. Columns of these names are replaced. No shuffle.
     """
     at, lanes = df.columns.index(text), BANDS * ROWS
     per = 64 // BITS
@@ -105,17 +121,18 @@ def signature(df: DataFrame, text: str = "text", n: int = SHINGLE) -> DataFrame:
         a, b = parameters(lanes)
         shift = np.arange(per, dtype=np.uint64) * np.uint64(BITS)
         salt = np.arange(1, BANDS + 1, dtype=np.uint64)
+        known = WordHashes()
 
         def fn(batch: pa.RecordBatch):
             sizes, prints, sigs, bands = [], [], [], []
             for t in batch.column(at).to_pylist():
-                s = shingles(t, n)
+                s = shingles(t, n, known)
                 sizes.append(len(s))
+                prints.append(fingerprint(s))
                 if not len(s):
-                    prints.append(None), sigs.append(None), bands.append(None)
+                    sigs.append(None), bands.append(None)
                     continue
                 low = minima(s, a, b)
-                prints.append(xxhash.xxh3_128_digest(s.tobytes()))
                 packed = (lane_bits(low, BITS).reshape(-1, per) << shift).sum(axis=1, dtype=np.uint64)
                 sigs.append(packed.view(np.int64))
                 h = salt
@@ -178,19 +195,30 @@ def _wide_similarity(x: DataFrame, y: DataFrame) -> Column:
     return 1 - 2 * different / WIDE_LANES
 
 
+#: Members of a bucket that one step of the pairwise comparison holds on a side; larger buckets are cut into blocks.
+BLOCK = 512
+
+
 def _open_pairs(split: DataFrame, wide: DataFrame, least: float) -> DataFrame:
     """(a, b) of every two ids that share a bucket, lie in different components and have an estimate of ``least`` or more.
 
     ``split``: id, h, c; ``wide``: id and the words of its signature. All buckets
     of an id travel with its rows, so that the smallest common bucket alone names a pair.
+    A bucket is dealt into blocks of about BLOCK ids, and every two blocks meet under a key of their own,
+    so a hot bucket is the work of many tasks.
     """
     words = [F.coalesce(w, F.lit(0)).alias(w) for w in WIDE_WORDS]
     buckets = split.groupBy("id").agg(F.sort_array(F.collect_set("h")).alias("all"))
-    rows = split.join(buckets.join(wide, "id").select("id", "all", *words), "id").select("id", "h", "c", "all", *WIDE_WORDS)
-    left, right = rows, rows.select(*[F.col(c).alias(f"{c}b") for c in rows.columns])
-    apart = (left["h"] == right["hb"]) & (left["id"] < right["idb"]) & (left["c"] != right["cb"])
-    near = left.join(right, apart & (_wide_similarity(left, right) >= least) & (F.array_min(F.array_intersect(left["all"], right["allb"])) == left["h"]))
-    return near.select(F.col("id").alias("a"), F.col("idb").alias("b"))
+    sizes = split.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = split.join(sizes, "h").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = placed.join(buckets.join(wide, "id").select("id", "all", *words), "id").select("id", "h", "c", "i", "blocks", "all", *WIDE_WORDS)
+    left = rows.withColumn("j", F.explode(F.sequence("i", F.col("blocks") - 1))).drop("blocks")
+    right = rows.withColumn("j", F.col("i")).withColumn("i", F.explode(F.sequence(F.lit(0), "j"))).drop("blocks")
+    right = right.select(*[F.col(c).alias(f"{c}b") for c in right.columns])
+    met = (left["h"] == right["hb"]) & (left["i"] == right["ib"]) & (left["j"] == right["jb"]) & (left["c"] != right["cb"])
+    once = (left["i"] < left["j"]) | (left["id"] < right["idb"])
+    near = left.join(right, met & once & (_wide_similarity(left, right) >= least) & (F.array_min(F.array_intersect(left["all"], right["allb"])) == left["h"]))
+    return near.select(F.least("id", "idb").alias("a"), F.greatest("id", "idb").alias("b"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = 75) -> DataFrame:
@@ -231,27 +259,26 @@ def smallest_reachable(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def _unsettled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows (id, sig, h, c) of the buckets that hold more than one component ``c``."""
-    if labels is None:
-        return shared.withColumn("c", F.col("id"))
-    bucket = W.partitionBy("h")
-    named = shared.join(labels, "id", "left").select("id", "sig", "h", F.coalesce("component", "id").alias("c"))
-    return named.withColumn("lo", F.min("c").over(bucket)).withColumn("hi", F.max("c").over(bucket)).where("lo < hi").select("id", "sig", "h", "c")
+    """Rows (id, h, c) of the buckets that hold more than one component ``c``; buckets are summed up before they are joined back."""
+    named = shared.withColumn("c", F.col("id")) if labels is None else shared.join(labels, "id", "left").select("id", "h", F.coalesce("component", "id").alias("c"))
+    mixed = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+    return named.join(mixed, "h")
 
 
-def _with_leaders(rows: DataFrame, likely: float) -> DataFrame:
+def _with_leaders(rows: DataFrame, signs: DataFrame, likely: float) -> DataFrame:
     """Pairs (a, b) of each member with leaders of its buckets in other components: the LEADERS likeliest for each member.
 
     A bucket's leader is the member that meets most others over all its buckets,
-    so a text that many copies were made from leads nearly all of theirs.
+    so a text that many copies were made from leads nearly all of theirs. ``signs``: id, sig.
     """
-    bucket = W.partitionBy("h")
-    sized = rows.withColumn("n", F.count(F.lit(1)).over(bucket))
-    degree = sized.groupBy("id").agg(F.sum("n").alias("degree"))
-    lead = F.max(F.struct("degree", (-F.col("id")).alias("minus"), "sig", "c")).over(bucket)
-    met = rows.join(degree, "id").withColumn("lead", lead).where(F.col("c") != F.col("lead.c"))
-    pairs = met.select("id", (-F.col("lead.minus")).alias("to"), similarity(F.col("sig"), F.col("lead.sig")).alias("est")).where(F.col("est") >= likely).distinct()
-    best = W.partitionBy("id").orderBy(F.desc("est"), "to")
+    rows = rows.checkpoint()
+    sized = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    degree = rows.join(sized, "h").groupBy("id").agg(F.sum("n").alias("degree"))
+    lead = rows.join(degree, "id").groupBy("h").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), F.col("c").alias("lc"))).alias("lead"))
+    met = rows.join(lead, "h").where(F.col("c") != F.col("lead.lc")).select("id", (-F.col("lead.minus")).alias("to")).distinct()
+    signed = met.join(signs, "id").join(signs.select(F.col("id").alias("to"), F.col("sig").alias("lead_sig")), "to")
+    pairs = signed.select("id", "to", similarity(F.col("sig"), F.col("lead_sig")).alias("est")).where(F.col("est") >= likely)
+    best = W.partitionBy("id").orderBy(F.desc("est"), "to")  # BANDS rows at most
     chosen = pairs.withColumn("r", F.row_number().over(best)).where(F.col("r") <= LEADERS)
     return chosen.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b")).distinct()
 
@@ -267,65 +294,67 @@ def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     return all_ids.join(moved, "component", "left").select("id", F.coalesce("final", "component").alias("component")).checkpoint()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", n: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
+def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", n: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id, group_id of every row, and the columns in ``carry``.
 
-    Rows whose shingle sets have a similarity of ``percent`` % or more are linked;
-    component_id is the smallest doc_id that is reachable over links, itself
-    included. Texts that are null, empty or without words link with nothing and
-    keep their own doc_id; so do rows with a null doc_id (null component). Rows
-    that repeat a doc_id are members of their own set's class. All pairs that
+    Rows whose shingle sets have a similarity of ``percent`` % or more are linked; group_id names the rows
+    that are reachable over links, and component_id is the smallest doc_id among them, itself included. Texts that are null,
+    empty or without words link with nothing: they keep their own doc_id and have a null group_id.
+    Every row is a document of its own: rows that repeat a doc_id are linked by their texts alone, and rows with a null doc_id
+    take part (component_id is null where no member has an id). Other columns of ``docs`` are ignored. All pairs that
     share a band bucket and are not yet connected are decided exactly.
     """
     spark = docs.sparkSession
-    signed = materialise(signature(docs.select("doc_id", text), text, n).drop(text))
-    classes = signed.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id"))
-    # one row per class: its smallest doc_id carries signature and bands; a doc_id that heads several classes is one node
-    heads = signed.join(classes, "fp").where(F.col("doc_id") == F.col("id")).select("id", "fp", "sig", "bands").dropDuplicates(["fp"])
-    rows = heads.select("id", "sig", F.posexplode("bands").alias("k", "h")).select("id", "sig", F.xxhash64("k", "h").alias("h"))
-    bucket = W.partitionBy("h")
-    shared = materialise(rows.withColumn("lo", F.min("id").over(bucket)).withColumn("hi", F.max("id").over(bucket)).where("lo < hi").select("id", "sig", "h"))
+    signed = materialise(signature(docs.select("doc_id", text, *carry), text, n).drop(text))
+    # one row per set, copies summed up where they lie; a set's number is written once, so it stays
+    with_words = signed.where("fp is not null")
+    classes = with_words.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    heads = materialise(classes.withColumn("id", F.monotonically_increasing_id()))
+    signs = heads.select("id", "sig")
+    rows = heads.select("id", F.posexplode("bands").alias("k", "band")).select("id", F.xxhash64("k", "band").alias("h"))
+    several = rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
+    shared = materialise(rows.join(several, "h").select("id", "h"))
     likely = percent / 100 - SLACK
 
-    def pack(batch_docs: DataFrame) -> DataFrame:
+    def pack(texts: DataFrame) -> DataFrame:
         def make():
+            known = WordHashes()
+
             def fn(batch: pa.RecordBatch):
-                return [pa.array([shingles(t, n).tobytes() for t in batch.column(1).to_pylist()], pa.binary())]
+                sets = [shingles(t, n, known) for t in batch.column(1).to_pylist()]
+                return [pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([fingerprint(x) for x in sets], pa.binary())]
 
             return fn
 
-        return map_rows(batch_docs.select("doc_id", text), make, [field("s", T.BinaryType())], text, (text,))
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        """Full sets of the ids in ``pairs``, made again from their texts alone."""
-        return sets_named(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        return map_rows(texts.select("doc_id", text), make, [field("s", T.BinaryType()), field("fp", T.BinaryType())], text, (text,))
 
     def sets_named(ids: DataFrame) -> DataFrame:
-        wanted = ids.distinct()
-        texts = docs.select("doc_id", text).join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        return pack(texts).withColumnRenamed("doc_id", "id").dropDuplicates(["id", "s"])
+        """Full sets of the ids, made again from the texts of one document each."""
+        wanted = heads.select("id", "fp", F.col("doc_id").alias("d")).join(ids.distinct(), "id", "left_semi").checkpoint()
+        texts = docs.select("doc_id", text)
+        texts = texts.join(wanted.select("d").distinct(), texts["doc_id"].eqNullSafe(F.col("d")), "left_semi")
+        return pack(texts).select("fp", "s").join(wanted.select("id", "fp"), "fp").dropDuplicates(["id"]).select("id", "s")
 
     labels, tested = None, None
     for _ in range(LEADER_ROUNDS):
-        star = _with_leaders(_unsettled(shared, labels), likely)
+        star = _with_leaders(_unsettled(shared, labels), signs, likely)
         star = (star if tested is None else star.join(tested, ["a", "b"], "left_anti")).checkpoint()
         if star.isEmpty():
             break
         tested = star if tested is None else tested.unionByName(star)
-        labels = _merged(labels, confirm(star, materialise(sets_of(star)), percent).checkpoint())
+        labels = _merged(labels, confirm(star, materialise(sets_named(star.select(F.explode(F.array("a", "b")).alias("id")))), percent).checkpoint())
 
     # what is left: pairs of one bucket that are in different components and were not compared
-    split = _unsettled(shared, labels).drop("sig").distinct().checkpoint()
+    split = _unsettled(shared, labels).distinct().checkpoint()
     if not split.isEmpty():
-        sets = materialise(_wide(sets_named(split.select("id")).where(F.length("s") > 0)))
+        sets = materialise(_wide(sets_named(split.select("id"))))
         rest = _open_pairs(split, sets.drop("s"), percent / 100 - WIDE_SLACK).distinct()
         rest = (rest if tested is None else rest.join(tested, ["a", "b"], "left_anti")).checkpoint()
         if not rest.isEmpty():
             labels = _merged(labels, confirm(rest, sets.select("id", "s"), percent).checkpoint())
-    first = labels if labels is not None else spark.createDataFrame([], "id long, component long")
-    return (
-        signed.select("doc_id", "n_shingles", "fp")
-        .join(classes, "fp", "left")
-        .join(first, "id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "id", "doc_id").alias("component_id"))
-    )
+    found = labels if labels is not None else spark.createDataFrame([], "id long, component long")
+    grouped = heads.select("id", "fp", "doc_id").join(found, "id", "left").withColumn("group_id", F.coalesce("component", "id"))
+    smallest = grouped.groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
+    named = grouped.select("fp", "group_id").join(smallest, "group_id")
+    out = signed.select("doc_id", "n_shingles", "fp", *carry).join(named, "fp", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group_id", *carry)
