@@ -1,11 +1,15 @@
 """A corpus pipeline of four stages: quality, near-duplicates, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and is written as Parquet and read again
-before the next. All but the last return the columns of documents.
+before the next. All but the last return the columns of documents. Null and
+empty texts are documents like others; an empty table passes through all stages;
+columns beside doc_id, text and source are carried whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,39 +18,49 @@ from marklane.llm.common import materialise, table
 from marklane.llm.entry import quality_model, tokenizer
 
 
+def _fresh(name: str) -> str:
+    """A column name that no caller has."""
+    return f"_{name}_{uuid.uuid4().hex}"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as good. Labels come from the label table, texts from ``docs``."""
-    scored = classifier.score(docs, quality_model(spark, docs, sf_dir), out="_score")
-    return scored.where(F.col("_score") >= classifier.THRESHOLD).select(*docs.columns)
+    """Documents that the quality classifier predicts as good. Labels come from the label table, texts from ``docs``.
+
+    Every row is decided by its text alone, so repeated rows stay or go together; null and empty texts are scored as one empty passage.
+    """
+    score = _fresh("score")
+    scored = classifier.score(docs, quality_model(spark, docs, sf_dir), out=score)
+    return scored.where(F.col(score) >= classifier.THRESHOLD).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id. A repeated doc_id stays once."""
-    found = materialise(minhash.near_duplicates(docs))
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    stay = named.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One document of each group of near-duplicates: the one with the smallest doc_id (null last, ties by a hash of the row).
+
+    Rows that repeat a doc_id are judged by their texts: unlike ones all stay. Texts without words are in no group and stay, repeated or not.
+    """
+    key = _fresh("key")
+    keyed = docs.withColumn(key, F.xxhash64(*docs.columns))
+    found = materialise(minhash.near_duplicates(keyed, carry=(key,)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.col(key).alias("k"))).alias("first")
+    heads = found.where("group_id is not null").groupBy("group_id").agg(first).select(F.col("first.doc_id").alias("d"), F.col("first.k").alias("k"))
+    no_words = F.coalesce(~F.col("text").rlike(mixing.WORD), F.lit(True))
+    stay = keyed.where(~no_words).join(heads, keyed["doc_id"].eqNullSafe(heads["d"]) & (keyed[key] == heads["k"]), "left_semi").dropDuplicates(["doc_id", key])
+    return stay.unionByName(keyed.where(no_words)).select(*docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training stream in curriculum order: every taken copy of a document is a row.
+    """The training stream: every taken copy of a document is a row, whole; the files hold the rows in curriculum order.
 
-    The copy in which a source's budget ends gives its leading words only.
+    Documents that the mix does not take have no row; those without words are never taken.
     """
-    copies = mixing.schedule(mixing.mix(docs))
-    words = F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.array_join(F.slice(words, F.lit(1), F.col("copy_words").cast("int")), "")
-    text = F.when(F.col("copy_words") < F.col("size"), cut).otherwise(F.col("text"))
-    shorter = F.when(F.col("copy_words") < F.col("size"), F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return copies.withColumn("_text", text).withColumn("n_chars", shorter).withColumn("text", F.col("_text")).select(*docs.columns)
+    out = _fresh("mix")
+    return mixing.schedule(mixing.mix(docs, out=out), out).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, and a check that they decode to its text."""
-    path = tokenizer("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path), path)
-    return coded.select("doc_id", "source", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids", F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("exact"))
+    """Token ids of every row, in the order of the rows, and whether they decode to its text; null texts have no ids."""
+    coded = bpe.round_trip(docs.select("doc_id", "source", "text"), tokenizer("byte_bpe_50k.json"), decoded=None)
+    return coded.select("doc_id", "source", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids", "exact")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
