@@ -1,8 +1,9 @@
 """Attention-based multiple-instance learning of document quality.
 
-A document is a bag of passages. Every passage is encoded by statistics of its
-bytes and words; gated attention, learned from document labels alone, weighs the
-passages, and a logistic unit scores the weighted representation.
+A document is a bag of passages. Every passage is encoded by its hashed byte
+trigrams and statistics of its bytes and words, through a layer learned with the rest; gated
+attention, learned from document labels alone, weighs the passages, and a
+logistic unit scores the weighted representation.
 """
 
 from __future__ import annotations
@@ -13,14 +14,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import field, map_rows
+from .common import field, map_rows, materialise
 
 PASSAGE_BYTES = 600
-#: Labelled documents that training uses at most, and passages of each.
-TRAIN_DOCS, TRAIN_PASSAGES = 6000, 64
+#: Bound of the labelled sample: so many documents, and no further one once their passages (all of each document) are so many.
+TRAIN_DOCS, TRAIN_ROWS = 6000, 400_000
+#: Buckets of hashed byte trigrams.
+GRAMS = 64
 HIDDEN, ATTENTION, EPOCHS = 24, 12, 60
 THRESHOLD = 0.7
 
@@ -29,6 +33,8 @@ for _i, _chars in enumerate((range(0x61, 0x7B), range(0x41, 0x5B), range(0x30, 0
     for _c in _chars:
         _KIND[_c] = _i + 1
 _KINDS = 9
+_FOLD = np.arange(256, dtype=np.uint32)  # A-Z count as a-z in trigrams
+_FOLD[0x41:0x5B] += 32
 
 
 def passages(raw: bytes) -> list[bytes]:
@@ -52,6 +58,12 @@ def encode(text: str | None) -> np.ndarray:
     owner = np.repeat(np.arange(len(parts)), size)
     counts = np.bincount(owner * _KINDS + kinds, minlength=len(parts) * _KINDS).reshape(-1, _KINDS)
     share = counts / np.maximum(size, 1)[:, None]
+    low = _FOLD[np.frombuffer(raw, np.uint8)]
+    grams = np.zeros((len(parts), GRAMS))
+    if len(low) > 2:
+        hashed = (low[:-2] << np.uint32(16) | low[1:-1] << np.uint32(8) | low[2:]) * np.uint32(0x9E3779B1) >> np.uint32(32 - GRAMS.bit_length() + 1)
+        within = owner[:-2] == owner[2:]  # a trigram lies in one passage
+        grams = np.bincount((owner[:-2] * GRAMS + hashed)[within], minlength=len(parts) * GRAMS).reshape(-1, GRAMS) / np.maximum(size - 2, 1)[:, None]
     rest = np.empty((len(parts), 9))
     all_words, all_lines = raw.split(), raw.split(b"\n")
     doc = (len(set(all_words)) / max(1, len(all_words)), len(set(all_lines)) / max(1, len(all_lines)), np.log1p(len(raw)) / 10)
@@ -62,10 +74,10 @@ def encode(text: str | None) -> np.ndarray:
         twice = sum(map(bytes.__eq__, words[1:], words[:-1]))
         short = sum(len(w) <= 3 for w in words)
         rest[i] = (len(p) / PASSAGE_BYTES, distinct / n, twice / n, short / n, len(p) / n / 10, len(zlib.compress(p, 1)) / (len(p) + 20), *doc)
-    return np.hstack([np.sqrt(share), rest]).astype(np.float32)
+    return np.hstack([np.sqrt(share), rest, np.sqrt(grams)]).astype(np.float32)
 
 
-N_FEATURES = _KINDS + 9
+N_FEATURES = _KINDS + 9 + GRAMS
 
 
 @dataclass
@@ -132,46 +144,45 @@ def fit(x: np.ndarray, starts: np.ndarray, y: np.ndarray, seed: int = 7) -> Mode
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_DOCS) -> Model:
-    """Fit on at most ``most`` labelled documents, chosen by a hash of doc_id.
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_DOCS, rows: int = TRAIN_ROWS, text: str = "text") -> Model:
+    """Fit on at most ``most`` labelled documents, taken whole in the order of a hash of doc_id.
 
-    ``labels`` holds the rows that may be learned from. What reaches the driver
-    is bounded: ``most`` bags of TRAIN_PASSAGES passages, evenly spaced where a
-    text has more. Null labels and ids are ignored; without both classes the
+    ``labels`` holds the rows that may be learned from. All passages of a chosen document are learned from; no further
+    document is chosen once ``rows`` passages are reached, so what comes to the driver is bounded by the sample. Null labels and
+    ids are ignored, ids that repeat in ``labels`` count once (with the larger label), rows that repeat an id in ``docs`` are documents each, null and
+    empty texts are one empty passage; without both classes the
     model scores every text with the only label's value, or 0.5 without any.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    bags = docs.select("doc_id", F.col(text).alias("t")).join(F.broadcast(chosen), "doc_id")
 
     def make():
         def fn(batch: pa.RecordBatch):
-            out = []
-            for t in batch.column(1).to_pylist():
-                x = encode(t)
-                if len(x) > TRAIN_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)]
-                out.append(x.tobytes())
-            return [pa.array(out, pa.binary())]
+            xs = [encode(t) for t in batch.column(1).to_pylist()]
+            return [pa.array([x.tobytes() for x in xs], pa.binary()), pa.array([len(x) for x in xs], pa.int64())]
 
         return fn
 
-    rows = map_rows(bags, make, [field("x", T.BinaryType())], "text", ("text",)).orderBy("doc_id", "x").collect()
-    if not rows:
-        rows_y = np.zeros(0)
-    else:
-        rows_y = np.array([r["y"] for r in rows])
-    if len(set(rows_y)) < 2:
-        even = float(rows_y[0]) if len(rows_y) else 0.5
+    encoded = materialise(map_rows(bags, make, [field("x", T.BinaryType()), field("n", T.LongType())], "t", ("t",)))
+    order = W.orderBy(F.xxhash64("doc_id"), "doc_id", "n", F.xxhash64("x"))  # over the sample alone
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    found = encoded.withColumn("before", before).where(F.col("before") < rows).orderBy("before").select("y", "x").collect()
+    y = np.array([r["y"] for r in found])
+    if len(set(y)) < 2:
+        even = float(y[0]) if len(y) else 0.5
         p = {"W": np.zeros((N_FEATURES, 1)), "b": np.zeros(1), "V": np.zeros((1, 1)), "U": np.zeros((1, 1)), "w": np.zeros(1), "c": np.zeros(1), "d": np.array([60 * even - 30.0])}
         return Model(np.zeros(N_FEATURES), np.ones(N_FEATURES), p)
-    xs = [np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in rows]
+    xs = [np.frombuffer(r["x"], np.float32).reshape(-1, N_FEATURES) for r in found]
     sizes = np.fromiter(map(len, xs), np.int64, len(xs))
-    return fit(np.concatenate(xs).astype(np.float64), np.cumsum(sizes) - sizes, rows_y)
+    return fit(np.concatenate(xs).astype(np.float64), np.cumsum(sizes) - sizes, y)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """Append ``out``, the score of each whole text (0 to 1); null and empty texts are scored as one empty passage. No shuffle."""
+    """Append ``out``, the score of each whole text (0 to 1); null and empty texts are scored as one empty passage.
+
+    Equal texts get equal scores; a column named like ``out`` is replaced, the others stay. No shuffle.
+    """
     at = docs.columns.index(text)
 
     def make():
