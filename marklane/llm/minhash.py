@@ -196,7 +196,7 @@ def _wide_similarity(x: DataFrame, y: DataFrame) -> Column:
 
 
 #: Members of a bucket that one step of the pairwise comparison holds on a side; larger buckets are cut into blocks.
-BLOCK = 512
+BLOCK = 4096
 
 
 def _open_pairs(split: DataFrame, wide: DataFrame, least: float) -> DataFrame:
