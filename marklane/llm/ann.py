@@ -20,14 +20,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise
 
 #: Rows that codebooks are fitted on at most, and centroids of a half at most.
 SAMPLE, MOST_CENTROIDS = 20_000, 256
-#: Entries of a cell that one block holds on average.
-BLOCK = 2048
+#: Entries that one group of neighbouring cells holds, and queries that are compared with it at once.
+GROUP, ASKED = 8192, 256
 #: Queries that are compared with every entry to measure the budget, and the share of their true neighbours that it finds.
 PROBES, RECALL = 256, 0.95
 #: A cell counts in a budget for this many times the mean cell at most, so that a hot cell does not use it up.
@@ -107,16 +108,19 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def build(vectors: DataFrame) -> tuple[Index | None, DataFrame, int]:
-    """(index, entries with their cell, width). ``vectors``: vec_id, v (usable vectors of one width).
+    """(index, entries with their cell, width). ``vectors``: vec_id, v (usable vectors).
 
+    The commonest width is indexed (the wider of equally common ones); vectors of other widths take no part.
     Codebooks are fitted on SAMPLE rows chosen by a hash of vec_id; every row is
     indexed. The number of centroids grows as the square root of the rows, up to
-    MOST_CENTROIDS, so a cell keeps about the same number of entries.
+    MOST_CENTROIDS, so a cell keeps about the same number of entries up to there.
     """
-    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("w"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("m")).first()
-    n, width = size["n"], size["w"] or 0
-    if not n:
+    norm2 = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    size = vectors.groupBy(F.size("v").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.max(norm2).alias("m")).agg(F.max(F.struct("n", "w", "m"))).first()[0]
+    if size is None:
         return None, vectors.select("vec_id", "v", F.lit(0).alias("cell")), 0
+    n, width = size["n"], size["w"]
+    vectors = vectors.where(F.size("v") == width)
     sample = np.array([r["v"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()], np.float64)
     index = Index(np.zeros((1, 1)), np.zeros((1, 1)), size["m"], (width + 1) // 2)
     k = min(MOST_CENTROIDS, max(1, round(math.sqrt(n) / 8)))
@@ -141,8 +145,6 @@ def measured(index: Index, stored: DataFrame, queries: Column, width: int, k: in
 
     One pass compares them with every entry; k rows a query come to the driver.
     """
-    from pyspark.sql import Window as W
-
     asked = stored.where(queries).select("vec_id", "x").orderBy(F.xxhash64("vec_id"), "vec_id", "x").limit(PROBES).collect()
     if not asked:
         return 0
@@ -183,91 +185,134 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, entries: int = 4000
 
     ``vectors``: vec_id, v. Queries are the rows where ``queries`` holds; a query is
     no candidate of its own. Unusable vectors (see ``usable``), null ids and vectors of another
-    width than the widest take no part. Ties go to the smaller vec_id. Cells are visited until ``entries`` entries,
+    width than the commonest take no part; an empty table gives no rows. Ties go to the smaller vec_id; columns beside vec_id and v
+    are ignored. Cells are visited until ``entries`` entries,
     or ``share`` of all entries, or as many as ``recall`` needs (see ``measured``) are named, whichever is most;
     a hot cell's entries count in part only. Rows with equal vec_id are entries of their own.
 
-    Entries are packed into blocks of about BLOCK rows of one cell, and queries
-    into blocks for each cell they visit, so a hot cell spreads over many tasks
-    and a task holds two blocks at a time.
+    Cells in a row make up groups of GROUP entries, a hot cell several of them. A task reads the entries of a group once and
+    reranks the visited ones for ASKED queries at a time; it hands on ``k`` rows for each query, not ``k`` for each cell.
     """
     spark = vectors.sparkSession
-    usable_rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    widest = usable_rows.agg(F.max(F.size("v"))).first()[0]
-    usable_rows = usable_rows.where(F.size("v") == F.lit(widest or 0))
-    index, stored, width = build(usable_rows)
-    schema = "query_id long, rank int, vec_id long, score double"
+    index, stored, width = build(vectors.where(F.col("vec_id").isNotNull() & usable(F.col("v"))))
     if index is None:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = int(index.counts.sum())
     wanted = max(entries, math.ceil(share * rows))
     if wanted < rows:
         wanted = max(wanted, measured(index, stored, queries, width, k, recall))
     wanted += 1
-    weights = index.weights()
-    blocks_of = np.maximum(1, -(-index.counts // BLOCK)).reshape(-1)
-    shared = spark.sparkContext.broadcast((index, blocks_of))
-    chosen = queries
+    weights, counts = index.weights(), index.counts.reshape(-1)
+    start = np.cumsum(counts) - counts  # a cell's entries have the places from here on, in the row of all cells
+    first, last = start // GROUP, (start + np.maximum(counts, 1) - 1) // GROUP
+    shared = spark.sparkContext.broadcast(index)
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, _ = shared.value
+        """(query, vector, group, cells): a row for each group that holds visited cells."""
+        index = shared.value
         for batch in batches:
             raw = batch.column(1).to_pylist()
-            x = np.frombuffer(b"".join(raw), np.float64).reshape(-1, width)
-            a, b = index.halves(x, False)
+            a, b = index.halves(np.frombuffer(b"".join(raw), np.float64).reshape(-1, width), False)
             da, db = distances(a, index.first), distances(b, index.second)
+            out: list[list] = [[], [], [], []]
             for i, q in enumerate(batch.column(0).to_pylist()):
-                cells = index.visit(da[i], db[i], wanted, weights)
-                yield pa.RecordBatch.from_arrays([pa.array([q] * len(cells), pa.int64()), pa.array([raw[i]] * len(cells), pa.binary()), pa.array(cells, pa.int64())], names=["vec_id", "x", "cell"])
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Small batches of ``named`` in larger ones."""
-        held, rows = [], 0
+                cells = np.sort(np.array(index.visit(da[i], db[i], wanted, weights), np.int64))
+                spread = last[cells] - first[cells] + 1
+                each = np.repeat(cells, spread)
+                groups = np.arange(len(each)) - np.repeat(np.cumsum(spread) - spread, spread) + first[each]
+                at = np.r_[0, np.flatnonzero(np.diff(groups)) + 1, len(groups)]
+                for lo, hi in zip(at[:-1], at[1:], strict=True):
+                    for column, value in zip(out, (q, raw[i], groups[lo], each[lo:hi].astype("<i4").tobytes()), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["vec_id", "x", "g", "cells"])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Entries with the group in which their cell has its place; a hot cell's entries are dealt over its groups by their id and vector."""
         for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= 4096:
-                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-                held, rows = [], 0
-        if rows:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-    lists = stored.where(chosen).select("vec_id", "x").mapInArrow(lambda it: gathered(named(it)), "vec_id long, x binary, cell long")
-    split = F.create_map(*[F.lit(int(v)) for c in np.flatnonzero(blocks_of > 1) for v in (c, blocks_of[c])]) if (blocks_of > 1).any() else None
-    pieces = F.coalesce(split[F.col("cell")], F.lit(1)) if split is not None else F.lit(1)
-    pack = lambda name: F.collect_list(F.struct("vec_id", "x")).alias(name)
-    left = stored.withColumn("part", F.pmod(F.xxhash64("vec_id"), pieces)).groupBy("cell", "part").agg(pack("rows")).drop("part")
-    per_cell = max(1, int(stored.where(chosen).count()) // 512)
-    right = lists.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(per_cell))).groupBy("cell", "part").agg(pack("asks")).drop("part")
+            cell = batch.column(2).to_numpy(zero_copy_only=False)
+            deal = batch.column(3).to_numpy(zero_copy_only=False).astype(np.uint64) % np.maximum(counts[cell], 1).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((start[cell] + deal.astype(np.int64)) // GROUP)], names=["vec_id", "x", "cell", "g"])
+
+    # entries and queries of a group are neighbours in one sorted stream: entries (empty ``cells``) first, then queries
+    asked = stored.where(queries).select("vec_id", "x").mapInArrow(named, "vec_id long, x binary, g long, cells binary")
+    held = stored.select("vec_id", "x", "cell", F.xxhash64("vec_id", "x").alias("deal")).mapInArrow(placed, "vec_id long, x binary, cell long, g long")
+    n_groups = int(last.max()) + 1
+    held = held.select("g", F.lit(None).cast("binary").alias("cells"), "vec_id", "x", F.col("cell").cast("long").alias("cell"))
+    asked = asked.select("g", "cells", "vec_id", "x", F.lit(None).cast("long").alias("cell"))
+    stream = held.unionByName(asked).repartition(n_groups, "g").sortWithinPartitions("g", F.col("cells").isNotNull())
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, block = _Group(width, k), _Block()
         for batch in batches:
-            for rows, asks in zip(batch.column(0), batch.column(1), strict=True):
-                ids, x = _unpacked(rows.values, width)
-                qs, y = _unpacked(asks.values, width)
-                out_q, out_v, out_s = [], [], []
-                rough = y @ x.T
-                for i in range(len(qs)):
-                    other = np.flatnonzero(ids != qs[i])
-                    if len(other) > k:
-                        r = rough[i, other]
-                        bar = np.partition(r, len(r) - k)[len(r) - k]
-                        other = other[r >= bar - 1e-9 * (1 + abs(bar))]
-                    s = (x[other] * y[i]).sum(axis=1)
-                    order = np.lexsort((ids[other], -s))[:k]
-                    out_q.append(np.full(len(order), qs[i]))
-                    out_v.append(ids[other][order])
-                    out_s.append(s[order])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_v, out_s)], names=["query_id", "vec_id", "score"])
-
-    pairs = left.join(right, "cell").select("rows", "asks")
-    scored = pairs.mapInArrow(rerank, "query_id long, vec_id long, score double")
-    from pyspark.sql import Window as W
-
+            for g, cells, vec_id, x, cell in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != group.number:
+                    yield from block.answers(group)
+                    group = _Group(width, k, g)
+                if cells is None:
+                    group.add(vec_id, x, cell)
+                else:
+                    block.add(vec_id, x, cells)
+                    if len(block.ids) == ASKED:
+                        yield from block.answers(group)
+        yield from block.answers(group)
+
+    scored = stream.mapInArrow(rerank, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _unpacked(structs: pa.StructArray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = structs.field(0).to_numpy(zero_copy_only=False)
-    return ids, np.frombuffer(b"".join(structs.field(1).to_pylist()), np.float64).reshape(-1, width)
+class _Group:
+    """The entries of one group of cells."""
+
+    def __init__(self, width: int, k: int, number: int | None = None) -> None:
+        self.width, self.k, self.number = width, k, number
+        self.ids, self.raw, self.cells, self.x = [], [], [], None
+
+    def add(self, vec_id: int, x: bytes, cell: int) -> None:
+        self.ids.append(vec_id), self.raw.append(x), self.cells.append(cell)
+
+    def ready(self) -> None:
+        """Arrays in place of the lists, once all entries are there."""
+        if self.x is None:
+            self.x = np.frombuffer(b"".join(self.raw), np.float64).reshape(-1, self.width)
+            self.ids, self.raw = np.array(self.ids, np.int64), []
+            self.names, self.local = np.unique(np.array(self.cells, np.int64), return_inverse=True)
+
+    def nearest(self, ids: np.ndarray, y: np.ndarray, cells: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(query, entry, score) of the ``k`` best visited entries of each query."""
+        self.ready()
+        if not len(self.x):
+            return
+        visited = np.zeros((len(ids), len(self.names)), bool)
+        for i, c in enumerate(cells):
+            visited[i, np.searchsorted(self.names, c[np.isin(c, self.names)])] = True
+        rough = np.where(visited[:, self.local] & (ids[:, None] != self.ids[None, :]), y @ self.x.T, -np.inf)
+        if (over := rough.shape[1] - self.k) > 0:
+            bar = np.partition(rough, over, axis=1)[:, over]
+            keep = rough >= (bar - 1e-9 * (1 + np.abs(np.where(np.isfinite(bar), bar, 0))))[:, None]
+        else:
+            keep = np.ones(rough.shape, bool)
+        keep &= rough > -np.inf
+        for i in np.flatnonzero(keep.any(axis=1)):
+            other = np.flatnonzero(keep[i])
+            s = (self.x[other] * y[i]).sum(axis=1)  # the exact measure, in one order of additions
+            order = np.lexsort((self.ids[other], -s))[: self.k]
+            yield np.full(len(order), ids[i]), self.ids[other][order], s[order]
+
+
+class _Block:
+    """Queries that wait for their group."""
+
+    def __init__(self) -> None:
+        self.ids, self.raw, self.cells = [], [], []
+
+    def add(self, vec_id: int, x: bytes, cells: bytes) -> None:
+        self.ids.append(vec_id), self.raw.append(x), self.cells.append(np.frombuffer(cells, "<i4"))
+
+    def answers(self, group: _Group) -> Iterator[pa.RecordBatch]:
+        if self.ids:
+            y = np.frombuffer(b"".join(self.raw), np.float64).reshape(-1, group.width)
+            found = list(group.nearest(np.array(self.ids, np.int64), y, self.cells))
+            self.__init__()
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], names=["query_id", "vec_id", "score"])
