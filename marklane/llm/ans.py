@@ -5,9 +5,10 @@ is shared by all files. A file holds whole documents in ascending doc_id order;
 its ids are cut into blocks that are coded independently of each other, each by
 many interleaved lanes whose states share one stream of words. The directory of
 a file gives the checkpoint of each block (its place, first id and checksum), so
-blocks can be decoded alone and in parallel.
+blocks can be decoded alone and in parallel. A corpus is a folder that holds its
+frequency table beside its files; every file names the table by its checksum.
 
-File layout, little-endian: header (magic, blocks, documents, ids), directory
+File layout, little-endian: header (magic, table's checksum, blocks, documents, ids), directory
 (one entry per block), documents (doc_id, validity, length), block bodies.
 """
 
@@ -22,7 +23,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,7 +33,7 @@ from .bpe import byte_characters
 from .common import field, map_rows, materialise, scratch
 from .pieces import PieceCache
 
-MAGIC = b"RANS\x00\x01"
+MAGIC = b"RANS\x00\x02"
 SCALE_BITS = 22
 LANES = 1024
 BLOCK_IDS = 1 << 18
@@ -38,7 +41,9 @@ BLOCK_IDS = 1 << 18
 CACHE_BYTES = 160 << 20
 FILE_IDS = 1 << 20
 _LOW = np.uint64(1 << 31)
-_HEAD = struct.Struct("<6sHIQQ")
+#: Ids (about) of a part, that is of one task's files; a file ends at FILE_IDS.
+PART_IDS = 4 << 20
+_HEAD = struct.Struct("<6sHIIQQ")
 _ENTRY = np.dtype([("offset", "<u8"), ("size", "<u8"), ("first", "<u8"), ("ids", "<u4"), ("lanes", "<u4"), ("crc", "<u4"), ("crc_ids", "<u4")])
 _DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("ids", "<u4")])
 
@@ -135,6 +140,7 @@ class Coder:
     """Encodes and decodes blocks with one frequency table."""
 
     def __init__(self, freq: np.ndarray, bits: int = SCALE_BITS) -> None:
+        self.crc = zlib.crc32(freq.astype("<u4").tobytes())  # names the table
         self.bits = np.uint64(bits)
         self.freq = freq.astype(np.uint64)
         self.cum = (np.cumsum(freq) - freq).astype(np.uint64)
@@ -191,43 +197,65 @@ def write_file(coder: Coder, docs: list[tuple[int | None, np.ndarray]]) -> bytes
         bodies.append(body)
         offset += len(body)
     table = np.array([(i or 0, i is None, len(x)) for i, x in docs], _DOC)
-    return b"".join([_HEAD.pack(MAGIC, 0, n_blocks, len(docs), len(ids)), np.array(entries, _ENTRY).tobytes(), table.tobytes(), *bodies])
+    return b"".join([_HEAD.pack(MAGIC, 0, coder.crc, n_blocks, len(docs), len(ids)), np.array(entries, _ENTRY).tobytes(), table.tobytes(), *bodies])
+
+
+def _directory(coder: Coder, image: bytes) -> tuple[np.ndarray, int, int]:
+    """(entries of the blocks, documents, ids) of a file; raises ValueError if it is none or was coded with another table."""
+    if len(image) < _HEAD.size or image[: len(MAGIC)] != MAGIC:
+        raise ValueError("not a rANS file")
+    _, _, table, n_blocks, n_docs, n_ids = _HEAD.unpack_from(image)
+    if table != coder.crc:
+        raise ValueError("the file was coded with another frequency table")
+    return np.frombuffer(image, _ENTRY, n_blocks, _HEAD.size), n_docs, n_ids
+
+
+def read_block(coder: Coder, image: bytes, number: int) -> tuple[int, np.ndarray]:
+    """(number of its first id in the file, ids) of one block, decoded by its checkpoint alone; raises ValueError if a checksum differs."""
+    e = _directory(coder, image)[0][number]
+    body = image[int(e["offset"]) : int(e["offset"] + e["size"])]
+    if zlib.crc32(body) != e["crc"]:
+        raise ValueError("block checksum differs")
+    block = coder.decode(body, int(e["ids"]), int(e["lanes"]))
+    if zlib.crc32(block.astype("<u4").tobytes()) != e["crc_ids"]:
+        raise ValueError("decoded checksum differs")
+    return int(e["first"]), block
 
 
 def read_file(coder: Coder, image: bytes) -> Iterator[tuple[int | None, np.ndarray]]:
     """(doc_id, ids) of each document; raises ValueError if a checksum or the layout is wrong."""
-    magic, _, n_blocks, n_docs, n_ids = _HEAD.unpack_from(image)
-    if magic != MAGIC:
-        raise ValueError("not a rANS file")
-    entries = np.frombuffer(image, _ENTRY, n_blocks, _HEAD.size)
-    docs = np.frombuffer(image, _DOC, n_docs, _HEAD.size + n_blocks * _ENTRY.itemsize)
+    entries, n_docs, n_ids = _directory(coder, image)
+    docs = np.frombuffer(image, _DOC, n_docs, _HEAD.size + entries.nbytes)
     ids = np.empty(n_ids, np.uint32)
-    for e in entries:
-        body = image[int(e["offset"]) : int(e["offset"] + e["size"])]
-        if zlib.crc32(body) != e["crc"]:
-            raise ValueError("block checksum differs")
-        block = coder.decode(body, int(e["ids"]), int(e["lanes"]))
-        if zlib.crc32(block.astype("<u4").tobytes()) != e["crc_ids"]:
-            raise ValueError("decoded checksum differs")
-        ids[int(e["first"]) : int(e["first"]) + len(block)] = block
+    for k in range(len(entries)):
+        first, block = read_block(coder, image, k)
+        ids[first : first + len(block)] = block
     ends = np.r_[0, np.cumsum(docs["ids"], dtype=np.int64)]
     for d, a, b in zip(docs, ends[:-1], ends[1:], strict=True):
         yield (None if d["null"] else int(d["id"])), ids[a:b]
 
 
-def tokenise(df: DataFrame, path: str, end_id: int, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Append ``ids``: the library's ids of each whole text and ``end_id``, as unsigned 16-bit integers (binary).
+def _kind(vocabulary: int) -> str:
+    """The unsigned integer that holds every id."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
-    Null and empty texts give the end id alone. The vocabulary must fit 16 bits.
+
+def tokenise(df: DataFrame, path: str, end_id: int, vocabulary: int, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Append ``ids``: the library's ids of each whole text and ``end_id``, as unsigned 16-bit integers (32-bit for larger vocabularies), binary.
+
+    Null and empty texts give the end id alone; an id outside of the vocabulary raises ValueError. A column named like ``ids`` is replaced, others
+    and repeated rows stay. No shuffle.
     """
-    at = df.columns.index(text)
+    at, kind = df.columns.index(text), _kind(vocabulary)
 
     def make():
-        cache = library_ids(path)
+        cache, end = library_ids(path), np.array([end_id], kind).tobytes()
 
         def fn(batch: pa.RecordBatch):
             flat, ends = cache.ids_of(batch.column(at))
-            flat, end = flat.astype("<u2"), np.array([end_id], "<u2").tobytes()
+            if len(flat) and int(flat.max()) >= vocabulary:
+                raise ValueError("an id lies outside of the vocabulary")
+            flat = flat.astype(kind)
             return [pa.array([flat[a:b].tobytes() + end for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())]
 
         return fn
@@ -240,55 +268,42 @@ def histogram(df: DataFrame, vocabulary: int, ids: str = "ids") -> np.ndarray:
 
     What reaches the driver has ``vocabulary`` rows at most, whatever the input.
     """
-    at = 0
+    kind = _kind(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            for x in batch.column(at).to_pylist():
-                total += np.bincount(np.frombuffer(x, "<u2"), minlength=vocabulary)
+            total += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), kind), minlength=vocabulary)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["id", "n"])
 
-    def fast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def joined():
-            for batch in batches:
-                raw = b"".join(batch.column(at).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["ids"])
-
-        yield from run(joined())
-
-    rows = df.select(ids).mapInArrow(fast, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = df.select(ids).mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(vocabulary, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
     return counts
 
 
-def write_corpus(docs: DataFrame, path: str, end_id: int, vocabulary: int, parts: int | None = None) -> tuple[DataFrame, np.ndarray]:
-    """Tokenise all documents and write them as rANS files in ascending doc_id order.
+def write_corpus(docs: DataFrame, path: str, end_id: int, vocabulary: int, folder: str | None = None) -> str:
+    """Tokenise all documents and write them as rANS files in ascending doc_id order; returns the folder.
 
-    Returns (files, frequencies). ``files`` has a row per file: part, file, first (ids of the part
-    before it), n_ids, content; it lies in the shared folder. Documents are dealt to parts by
-    doc_id quantiles, so no part holds an unbounded share unless one doc_id does;
-    rows with equal doc_id follow each other by their ids. Null doc_ids come first.
-    An empty table gives no files.
+    The folder (a new one in the shared folder, if none is given) holds ``table`` (id, freq), ``files`` (part, file, first, n_ids, content)
+    and ``parts`` (part, base: ids of all parts before it), so it can be read without anything else. Documents are range-partitioned
+    by doc_id into parts of about PART_IDS ids, null doc_ids first; rows with equal doc_id follow each
+    other by their ids, and even equal rows can lie in different parts. An empty table gives no files.
     """
-    spark = docs.sparkSession
-    n = parts or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    part = F.lit(0)
-    if cuts:
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("doc_id"))))
-    ids = materialise(tokenise(docs.select("doc_id", "text", part.cast("int").alias("part")), path, end_id).select("part", "doc_id", "ids"))
-    freq = scaled(histogram(ids, vocabulary))
+    spark, kind, folder = docs.sparkSession, _kind(vocabulary), folder or scratch(docs.sparkSession)
+    ids = materialise(tokenise(docs.select("doc_id", "text"), path, end_id, vocabulary).select("doc_id", "ids"))
+    counts = histogram(ids, vocabulary)
+    freq = scaled(counts)
+    spark.createDataFrame([(i, int(n)) for i, n in enumerate(freq)], "id int, freq long").coalesce(1).write.parquet(f"{folder}/table")
     shared = spark.sparkContext.broadcast(freq)
 
     def images(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
+        part = TaskContext.get().partitionId()
         held: list = []
-        part, no, size, before = None, 0, 0, 0
+        no, size, before = 0, 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, no, size, before
@@ -298,35 +313,33 @@ def write_corpus(docs: DataFrame, path: str, end_id: int, vocabulary: int, parts
                 held, no, size, before = [], no + 1, 0, before + size
 
         for batch in batches:
-            for p, i, x in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                if p != part:
-                    yield from flush()
-                    part, no, before = p, 0, 0
-                x = np.frombuffer(x, "<u2").astype(np.uint32)
+            for i, x in zip(*(batch.column(k).to_pylist() for k in range(2)), strict=True):
+                x = np.frombuffer(x, kind).astype(np.uint32)
                 held.append((i, x))
                 size += len(x)
                 if size >= FILE_IDS:
                     yield from flush()
         yield from flush()
 
-    ordered = ids.repartition(n, "part").sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_first(), F.length("ids"), "ids")
-    out = ordered.select("part", "doc_id", "ids").mapInArrow(images, "part int, file long, first long, n_ids long, content binary")
-    target = scratch(spark)
-    out.write.parquet(target)
-    return spark.read.schema(out.schema).parquet(target), freq
+    order = [F.col("doc_id").asc_nulls_first(), F.length("ids"), F.xxhash64("ids")]
+    total = int(counts.sum())
+    parts = max(-(-total // PART_IDS), min(spark.sparkContext.defaultParallelism, -(-total // BLOCK_IDS)), 1)
+    dealt = ids.repartitionByRange(parts, *order, F.monotonically_increasing_id())
+    ordered = dealt.sortWithinPartitions(*order, "ids")
+    ordered.select("doc_id", "ids").mapInArrow(images, "part int, file long, first long, n_ids long, content binary").write.parquet(f"{folder}/files")
+    sums = spark.read.parquet(f"{folder}/files").groupBy("part").agg(F.sum("n_ids").alias("n"))
+    sums.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base")).write.parquet(f"{folder}/parts")  # a row per part
+    return folder
 
 
-def read_corpus(files: DataFrame, freq: np.ndarray) -> DataFrame:
-    """Decode all files: doc_id, start, n_tokens, ids (unsigned 32-bit, binary).
+def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """Decode all files of a folder: doc_id, start, n_tokens, ids (unsigned 32-bit, binary), of null doc_ids and repeated rows too.
 
-    ``start`` counts the ids of all documents before: the totals of the parts
-    (as many rows as there are parts, a bounded number, so they are broadcast),
-    what the part's earlier files hold, and what comes before in the file.
+    ``start`` counts the ids of all documents before: those of the parts before, of the part's earlier files, and of
+    what comes before in the file.
     """
-    from pyspark.sql import Window as W
-
-    shared = files.sparkSession.sparkContext.broadcast(freq)
-    base = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("base"))
+    table = spark.read.parquet(f"{folder}/table").orderBy("id").collect()  # the vocabulary
+    shared = spark.sparkContext.broadcast(np.array([r["freq"] for r in table], np.int64))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
@@ -339,5 +352,6 @@ def read_corpus(files: DataFrame, freq: np.ndarray) -> DataFrame:
                     names=["part", "doc_id", "at", "n_tokens", "ids"],
                 )
 
+    files = spark.read.schema("part int, file long, first long, n_ids long, content binary").parquet(f"{folder}/files")
     docs = files.select("part", "first", "content").mapInArrow(documents, "part int, doc_id long, at long, n_tokens long, ids binary")
-    return docs.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
+    return docs.join(spark.read.parquet(f"{folder}/parts"), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids")
