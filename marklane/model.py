@@ -12,10 +12,11 @@ empty one.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,6 +99,19 @@ def stream_tiers(df: DataFrame, columns: list[str], step: Callable[[], Callable]
     return df.repartition(*KEY).sortWithinPartitions(*KEY, "idx").mapInArrow(run, schema)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_files"
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` from files in the shared folder, where several parts of a plan need it: it is computed once, and lost executors take nothing along."""
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def to_arrow(kind: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import COLUMNS, KEY, P, reindexed
+from ..model import COLUMNS, KEY, reindexed, written
 from .joining import boundaries
+from .selection import last_span
 
 
 def snap(edges: list, t, threshold) -> None:
@@ -37,16 +38,12 @@ def snap(edges: list, t, threshold) -> None:
             edges[at] = t
 
 
-def fix_boundaries(intervals: DataFrame, reference_tier: str, tiers: list[str], threshold: float = 0.005) -> DataFrame:
-    """Move boundaries of the target tiers to those of the reference tier.
+def _snapped(target: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
+    """The intervals of ``target`` with their boundaries moved to the timepoints (grid_id, t) of their grid, one tier after the other.
 
     Timepoints are taken in order and each sees what the ones before it moved, so
-    this is a fold: one tier and its grid's timepoints at a time. Tiers without a
-    reference stay as they are.
+    this is a fold: one tier and its grid's timepoints at a time. Intervals that do not last any more go.
     """
-    hit = F.coalesce(F.col("tier_name").isin(tiers), F.lit(False))
-    target, rest = intervals.where(hit).select(*COLUMNS), intervals.where(~hit).select(*COLUMNS)
-    points = boundaries(intervals, reference_tier)
     per_tier = target.select(*KEY).distinct().join(points, "grid_id").select(F.col("grid_id").alias("_grid"), F.col("tier_idx").alias("_tier"), "t")
 
     def fix(rows: pd.DataFrame, times: pd.DataFrame) -> pd.DataFrame:
@@ -59,7 +56,14 @@ def fix_boundaries(intervals: DataFrame, reference_tier: str, tiers: list[str],
         return rows.assign(t0=edges[:-1], t1=edges[1:])
 
     fixed = target.groupBy(*KEY).cogroup(per_tier.groupBy("_grid", "_tier")).applyInPandas(fix, target.schema)
-    return reindexed(fixed.where("t0 < t1")).unionByName(rest)
+    return reindexed(fixed.where("t0 < t1"))
+
+
+def fix_boundaries(intervals: DataFrame, reference_tier: str, tiers: list[str], threshold: float = 0.005) -> DataFrame:
+    """Move boundaries of the target tiers to those of the reference tier (see ``snap``). Tiers without a reference stay as they are."""
+    hit = F.coalesce(F.col("tier_name").isin(tiers), F.lit(False))
+    target, rest = intervals.where(hit).select(*COLUMNS), intervals.where(~hit).select(*COLUMNS)
+    return _snapped(target, boundaries(intervals, reference_tier), threshold).unionByName(rest)
 
 
 def sync_to_audio(intervals: DataFrame, audio: DataFrame) -> DataFrame:
@@ -85,30 +89,28 @@ def merge_spans(spans: DataFrame) -> DataFrame:
     return runs.groupBy("grid_id", "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
 
 
-def remove_spans(intervals: DataFrame, spans: DataFrame) -> DataFrame:
-    """Cut spans (grid_id, lo, hi) out of all tiers and close the gaps.
-
-    A kept interval moves to the left by the length that was cut before it. Grids in which an edge of a span
-    is no boundary of some tier, or of which nothing would be left, stay as they are.
-    """
-    merged = merge_spans(spans)
-    by = W.partitionBy("grid_id").orderBy("lo")
-    merged = merged.withColumn("_before", F.sum(F.col("hi") - F.col("lo")).over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
+def usable_spans(intervals: DataFrame, spans: DataFrame) -> DataFrame:
+    """(grid_id, lo, hi, upto): merged spans and the length cut up to each one's end, without those of grids in which an edge of a span is no boundary of some tier, or of which nothing would be left."""
+    by = W.partitionBy("grid_id").orderBy("lo").rowsBetween(W.unboundedPreceding, W.currentRow)
+    merged = merge_spans(spans).withColumn("upto", F.sum(F.col("hi") - F.col("lo")).over(by))
     edges = merged.select("grid_id", F.explode(F.array("lo", "hi")).alias("t")).distinct()
     have = intervals.select(*KEY, F.explode(F.array("t0", "t1")).alias("t")).distinct()
     lacking = intervals.select(*KEY).distinct().join(edges, "grid_id").join(have, [*KEY, "t"], "left_anti").select("grid_id").distinct()
     size = intervals.groupBy("grid_id").agg((F.max("t1") - F.min("t0")).alias("_size"))
-    cut = merged.groupBy("grid_id").agg(F.sum(F.col("hi") - F.col("lo")).alias("_cut"))
-    emptied = size.join(cut, "grid_id").where("_cut >= _size").select("grid_id")
-    usable = merged.join(lacking, "grid_id", "left_anti").join(emptied, "grid_id", "left_anti")
-    spans_of = usable.groupBy("grid_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "_before"))).alias("_spans"))
-    rows = intervals.join(spans_of, "grid_id", "left")
-    inside = F.exists("_spans", lambda s: (s["lo"] <= F.col("t0")) & (F.col("t1") <= s["hi"]))
-    kept = rows.where(~F.coalesce(inside, F.lit(False)))
-    shift = lambda t: F.coalesce(F.array_max(F.transform(F.filter("_spans", lambda s: s["hi"] <= t), lambda s: s["_before"])), F.lit(0))
-    moved = kept.withColumns({"t0": (F.col("t0") - shift(F.col("t0"))), "t1": (F.col("t1") - shift(F.col("t1")))})
+    emptied = size.join(merged.groupBy("grid_id").agg(F.max("upto").alias("_cut")), "grid_id").where("_cut >= _size").select("grid_id")
+    return merged.join(lacking, "grid_id", "left_anti").join(emptied, "grid_id", "left_anti")
+
+
+def remove_spans(intervals: DataFrame, spans: DataFrame) -> DataFrame:
+    """Cut spans (grid_id, lo, hi) out of all tiers and close the gaps.
+
+    A kept interval moves to the left by the length that was cut before it. Grids whose spans cannot be cut (see ``usable_spans``) stay as they are.
+    """
+    rows = last_span(intervals, usable_spans(intervals, spans))
+    kept = rows.where(F.col("_span").isNull() | (F.col("t1") > F.col("_span.hi")))
+    shift = F.coalesce(F.col("_span.upto"), F.lit(0))
     kinds = {f.name: f.dataType for f in intervals.schema.fields}
-    return reindexed(moved.withColumns({"t0": F.col("t0").cast(kinds["t0"]), "t1": F.col("t1").cast(kinds["t1"])}))
+    return reindexed(kept.withColumns({"t0": (F.col("t0") - shift).cast(kinds["t0"]), "t1": (F.col("t1") - shift).cast(kinds["t1"])}))
 
 
 def spans_with_marks(intervals: DataFrame, tier: str, marks: list[str], mode: str = "all") -> DataFrame:
@@ -119,37 +121,55 @@ def spans_with_marks(intervals: DataFrame, tier: str, marks: list[str], mode: st
 
 
 def merge_grids(intervals: DataFrame, merged_id, order: str = "grid_id", separator: tuple[float, str] | None = None) -> DataFrame:
-    """Append grids tier by tier, times running on from 0.
+    """Append grids tier by tier, times running on from 0; then move the boundaries of the other tiers to those of the first.
 
     ``merged_id`` is the column that names the merged grid; grids follow by ``order``. Tiers are matched by name, and
     their order is that of the first grid. ``separator``: (length, mark) of an interval between grids. Groups whose
-    grids differ in their set of tier names give no rows.
+    grids differ in their set of tier names give no rows; a group of one grid stays as it is. Running times are taken
+    in two steps, inside a grid and over the grids' lengths.
     """
     rows = intervals.withColumn("_new", merged_id)
-    names = rows.groupBy("_new", "grid_id").agg(F.array_sort(F.collect_set("tier_name")).alias("_names"))
-    same = names.groupBy("_new").agg(F.countDistinct("_names").alias("n")).where("n = 1").select("_new")
-    rows = rows.join(same, "_new", "left_semi")
-    rank = F.dense_rank().over(W.partitionBy("_new").orderBy(order))
-    rows = rows.withColumn("_g", rank)
-    first = rows.where("_g = 1").groupBy("_new", "tier_name").agg(F.min("tier_idx").alias("_t"))
-    rows = rows.join(first, ["_new", "tier_name"]).withColumn("_d", F.col("t1") - F.col("t0")).withColumn("_part", F.lit(1))
+    # one row per grid and tier name decides all: which groups fit, the grids' and the tiers' order
+    held = rows.groupBy("_new", "grid_id", "tier_name").agg(F.min("tier_idx").alias("_own"), F.first(order).alias("_order"))
+    grids = held.groupBy("_new", "grid_id").agg(F.array_sort(F.collect_set("tier_name")).alias("_names"), F.first("_order").alias("_order"))
+    same = grids.groupBy("_new").agg(F.countDistinct("_names").alias("_n"), F.count(F.lit(1)).alias("_grids")).where("_n = 1").drop("_n")
+    places = grids.join(same, "_new").select("_new", "grid_id", "_grids", F.row_number().over(W.partitionBy("_new").orderBy("_order", "grid_id")).alias("_g"))
+    numbered = held.join(places, ["_new", "grid_id"])
+    first = F.max(F.when(F.col("_g") == 1, F.col("_own"))).over(W.partitionBy("_new", "tier_name"))
+    plan = numbered.withColumn("_t", first).withColumn("_lead", F.min("_t").over(W.partitionBy("_new"))).select("_new", "grid_id", "tier_name", "_grids", "_g", "_t", "_lead")
+    rows = rows.join(written(plan), ["_new", "grid_id", "tier_name"])
+    alone = rows.where("_grids = 1").select(F.col("_new").alias("grid_id"), *COLUMNS[1:])
+    rows = rows.where("_grids > 1").withColumn("_d", F.col("t1") - F.col("t0")).withColumn("_part", F.lit(1))
+    rows = rows.select("_new", "tier_name", "_t", "_lead", "_g", "idx", "_d", "mark", "_part")
     if separator:
-        edges = rows.select("_new", "tier_name", "_t", "_g").distinct().where("_g > 1")
-        gap = edges.select("_new", "tier_name", "_t", "_g", F.lit(0).cast("long").alias("idx"), F.lit(separator[0]).cast(rows.schema["_d"].dataType).alias("_d"), F.lit(separator[1]).alias("mark"), F.lit(0).alias("_part"))
-        rows = rows.select(*gap.columns).unionByName(gap)
-    by = W.partitionBy("_new", "_t").orderBy("_g", "_part", "idx")
-    end = F.sum("_d").over(by.rowsBetween(W.unboundedPreceding, W.currentRow))
-    out = rows.withColumn("t1", end).withColumn("t0", F.col("t1") - F.col("_d"))
-    out = out.withColumn("t0", F.coalesce(F.lag("t1").over(by), F.col("t0")))
-    out = out.withColumn("_i", (F.row_number().over(by) - 1).cast("long"))
-    return out.select(F.col("_new").alias("grid_id"), F.col("_t").alias("tier_idx"), "tier_name", F.col("_i").alias("idx"), "t0", "t1", "mark")
+        edges = rows.select("_new", "tier_name", "_t", "_lead", "_g").distinct().where("_g > 1")
+        gap = edges.select("_new", "tier_name", "_t", "_lead", "_g", F.lit(0).cast("long").alias("idx"), F.lit(separator[0]).cast(rows.schema["_d"].dataType).alias("_d"), F.lit(separator[1]).alias("mark"), F.lit(0).alias("_part"))
+        rows = rows.unionByName(gap)
+    inside = W.partitionBy("_new", "_t", "_g").orderBy("_part", "idx")
+    timed = rows.withColumns({"_end": F.sum("_d").over(inside.rowsBetween(W.unboundedPreceding, W.currentRow)), "_k": F.row_number().over(inside)})
+    lengths = timed.groupBy("_new", "_t", "_g").agg(F.max_by("_end", "_k").alias("_length"), F.count(F.lit(1)).alias("_rows"))
+    before = W.partitionBy("_new", "_t").orderBy("_g").rowsBetween(W.unboundedPreceding, -1)
+    starts = lengths.select("_new", "_t", "_g", F.coalesce(F.sum("_length").over(before), F.lit(0)).alias("_from"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_i"))
+    placed = timed.join(starts, ["_new", "_t", "_g"])
+    t1 = F.col("_from") + F.col("_end")
+    t0 = F.col("_from") + F.coalesce(F.lag("_end").over(inside), F.lit(0))
+    kind = intervals.schema["t1"].dataType
+    out = placed.select(F.col("_new").alias("grid_id"), F.col("_t").alias("tier_idx"), "tier_name", (F.col("_i") + F.col("_k") - 1).cast("long").alias("idx"), t0.cast(kind).alias("t0"), t1.cast(kind).alias("t1"), "mark", (F.col("_t") == F.col("_lead")).alias("_leads"))
+    out = written(out)
+    reference, others = out.where("_leads").select(*COLUMNS), out.where("not _leads").select(*COLUMNS)
+    points = reference.select("grid_id", F.explode(F.array("t0", "t1")).alias("t")).distinct()
+    return alone.select(*COLUMNS).unionByName(reference).unionByName(_snapped(others, points, math.inf))
+
+
+def round_times(intervals: DataFrame, digits: int) -> DataFrame:
+    """All times rounded to ``digits`` places, on the exact binary value and halves to even; times become doubles."""
+
+    @F.pandas_udf("double")
+    def rounded(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: round(x, digits))
+
+    return intervals.withColumns({c: rounded(F.col(c).cast("double")) for c in ("t0", "t1")})
 
 
 def samples_of(seconds: float, rate: int) -> int:
     return math.ceil(round(seconds * rate, 4))
-
-
-def gaps(intervals: DataFrame) -> DataFrame:
-    """Places at which an interval does not start where the one before it ends."""
-    before = F.lag("t1").over(P())
-    return intervals.withColumn("t1_before", before).where(F.col("t1_before") != F.col("t0")).select(*KEY, "idx", "t1_before", "t0")

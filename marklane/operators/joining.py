@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..model import COLUMNS, KEY, TIER, P, duration, in_marks, is_pause, on_tiers, reindexed, stream_tiers, text_of
 
 # Punctuation that joins to its neighbour by default, and marks that never take any.
-JOIN_SYMBOLS = list("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»‘’“”„‚‹›…–—¡¿·")
+JOIN_SYMBOLS = list("!\"#$%&'()*+,-./:;<=>?@[\\]{}~`、。？！：；।¿¡【】，…‥「」『』〝〟″⟨⟩♪・‹›«»～′“”")
 IGNORE_SYMBOLS = ["", " "]
 
 

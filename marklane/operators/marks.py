@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import COLUMNS, KEY, P, duration, in_marks, is_empty, of_tiers, text_of
-from .selection import _positional, found
+from .selection import found, positional
 
 
 def map_marks(intervals: DataFrame, mapping: dict[str, str], ignore: list[str] | None = None, unmapped: str | None = None, replace_unmapped: bool = False, tiers: list[str] | None = None) -> DataFrame:
@@ -36,11 +36,9 @@ def replace_text(intervals: DataFrame, pattern: str, replacement: str, mode: str
     def substituted(marks: pd.Series) -> pd.Series:
         return marks.map(lambda m: compiled.sub(replacement, m))
 
-    target = intervals if tiers is None else intervals.where(of_tiers(intervals, tiers))
-    hits = _positional(target.withColumn("_found", found(pattern)(text_of())), F.col("_found"), mode)
-    keys = hits.select(*KEY, "idx", F.lit(True).alias("_hit"))
-    rows = intervals.join(keys, [*KEY, "idx"], "left")
-    return rows.withColumn("mark", F.when(F.col("_hit"), substituted(text_of())).otherwise(F.col("mark"))).select(*COLUMNS)
+    rows = positional(intervals.withColumn("_found", found(pattern)(text_of())), F.col("_found"), mode)
+    hit = F.col("_chosen") if tiers is None else F.col("_chosen") & of_tiers(intervals, tiers)
+    return rows.withColumn("mark", F.when(hit, substituted(text_of())).otherwise(F.col("mark"))).select(*COLUMNS)
 
 
 def map_tier(intervals: DataFrame, source: str, target: str, mode: str = "replace", consider: list[str] | None = None) -> DataFrame:
@@ -91,8 +89,3 @@ def assign_from(intervals: DataFrame, source: str, target: str, chosen: DataFram
     rows = intervals.join(keys, ["grid_id", "t0", "t1"], "left")
     hit = F.col("_hit") & (F.col("tier_name") == target)
     return rows.withColumn("mark", F.when(F.coalesce(hit, F.lit(False)), F.lit(mark)).otherwise(F.col("mark"))).select(*COLUMNS)
-
-
-def neighbours_equal(intervals: DataFrame) -> DataFrame:
-    """Intervals with the mark of the one before."""
-    return intervals.withColumn("_same", F.lag(text_of()).over(P()) == text_of()).where("_same").select(*COLUMNS)

@@ -50,16 +50,39 @@ def part_of(intervals: DataFrame, lo: float, hi: float) -> DataFrame:
     return intervals.where(((F.col("t0") >= lo) & (F.col("t0") < hi)) | ((F.col("t1") > lo) & (F.col("t1") <= hi)))
 
 
+def last_span(intervals: DataFrame, spans: DataFrame, out: str = "_span") -> DataFrame:
+    """Append ``out``, the struct of the columns of the last span (grid_id, lo, ...) of the grid that starts at or before the interval; null if none does.
+
+    Spans and intervals are put in one order of times, and a running value along the grid finds the span: one sort, and no join of
+    all spans with all intervals.
+    """
+    of = [c for c in spans.columns if c != "grid_id"]
+    nothing = F.lit(None).cast(spans.select(F.struct(*of)).schema[0].dataType)
+    rows = intervals.select("grid_id", F.col("t0").alias("_t"), F.lit(1).alias("_kind"), F.struct(*intervals.columns).alias("_row"), nothing.alias("_s"))
+    starts = spans.select("grid_id", F.col("lo").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.struct(*of).alias("_s"))
+    order = W.partitionBy("grid_id").orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = starts.unionByName(rows).withColumn("_s", F.last("_s", ignorenulls=True).over(order)).where("_kind = 1")
+    return both.select(*[F.col("_row")[c].alias(c) for c in intervals.columns], F.col("_s").alias(out))
+
+
+def within_spans(intervals: DataFrame, spans: DataFrame) -> DataFrame:
+    """Intervals that lie in a span (grid_id, lo, hi, ...), with the span's columns. The spans of a grid must not overlap."""
+    of = [c for c in spans.columns if c != "grid_id"]
+    hit = last_span(intervals, spans).where(F.col("t1") <= F.col("_span.hi"))
+    return hit.select(*intervals.columns, *[F.col("_span")[c].alias(c) for c in of])
+
+
 def filling(intervals: DataFrame, spans: DataFrame) -> DataFrame:
-    """Intervals contained in a span (grid_id, lo, hi) whose contained intervals reach exactly from edge to edge of it, on each tier."""
-    inside = intervals.join(spans, "grid_id").where((F.col("t0") >= F.col("lo")) & (F.col("t1") <= F.col("hi")))
+    """Intervals contained in a span (grid_id, lo, hi) whose contained intervals reach exactly from edge to edge of it, on each tier. Spans of a grid must not overlap."""
+    inside = within_spans(intervals, spans)
     by = W.partitionBy(*KEY, "lo", "hi")
     return inside.withColumn("_a", F.min("t0").over(by)).withColumn("_b", F.max("t1").over(by)).where((F.col("_a") == F.col("lo")) & (F.col("_b") == F.col("hi"))).drop("_a", "_b")
 
 
-def _positional(intervals: DataFrame, hit: Column, mode: str) -> DataFrame:
+def positional(intervals: DataFrame, hit: Column, mode: str, out: str = "_chosen") -> DataFrame:
+    """Append ``out``: whether ``hit`` holds for the row and, but for mode ``all``, for all rows from it to the ``start`` (``begin``), the ``end`` or an end of ``both`` of its tier."""
     if mode == "all":
-        return intervals.where(hit)
+        return intervals.withColumn(out, F.coalesce(hit, F.lit(False)))
     whole = W.partitionBy(*KEY)
     miss = F.when(~hit, F.col("idx"))
     first, last = F.coalesce(F.min(miss).over(whole), F.max("idx").over(whole) + 1), F.coalesce(F.max(miss).over(whole), F.lit(-1))
@@ -68,7 +91,11 @@ def _positional(intervals: DataFrame, hit: Column, mode: str) -> DataFrame:
     chosen["begin"], chosen["both"] = chosen["start"], chosen["start"] | chosen["end"]
     if mode not in chosen:
         raise ValueError(f"no such mode: {mode}")
-    return rows.where(chosen[mode]).drop("_lo", "_hi")
+    return rows.withColumn(out, chosen[mode]).drop("_lo", "_hi")
+
+
+def _positional(intervals: DataFrame, hit: Column, mode: str) -> DataFrame:
+    return positional(intervals, hit, mode).where("_chosen").drop("_chosen")
 
 
 def at_ends(intervals: DataFrame, marks: list[str], mode: str = "all") -> DataFrame:
@@ -98,8 +125,3 @@ def remove_tiers(intervals: DataFrame, names: list[str]) -> DataFrame:
     kept = marked.where(~F.col("_hit") | (F.col("_all") == 1)).drop("_hit", "_all")
     rank = F.dense_rank().over(W.partitionBy("grid_id").orderBy("tier_idx")) - 1
     return kept.withColumn("tier_idx", rank.cast(intervals.schema["tier_idx"].dataType)).select(*COLUMNS)
-
-
-def previous_and_next(intervals: DataFrame) -> DataFrame:
-    """Each interval with the marks of its neighbours."""
-    return intervals.withColumns({"mark_before": F.lag("mark").over(P()), "mark_after": F.lead("mark").over(P())})

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import COLUMNS, KEY, is_empty, is_pause, on_tiers, reindexed, text_of
+from .selection import within_spans
 
 
 def parts_of(text: Column, symbol: str, keep: bool = False) -> Column:
@@ -70,6 +71,6 @@ def split_grids(intervals: DataFrame, tier: str, include_empty: bool = False) ->
         spans = spans.where(~is_pause())
     named = spans.withColumn("_k", F.row_number().over(by.orderBy("idx"))).withColumn("_n", F.count(F.lit(1)).over(by))
     named = named.withColumn("new_id", F.concat_ws("/", F.col("grid_id").cast("string"), F.lpad((F.col("_k") - 1).cast("string"), F.length(F.col("_n").cast("string")), F.lit("0"))))
-    inside = intervals.join(named.select("grid_id", "new_id", "lo", "hi"), "grid_id").where((F.col("t0") >= F.col("lo")) & (F.col("t1") <= F.col("hi")))
+    inside = within_spans(intervals, named.select("grid_id", "new_id", "lo", "hi"))
     shifted = inside.select(F.col("new_id").alias("grid_id"), "tier_idx", "tier_name", "idx", (F.col("t0") - F.col("lo")).alias("t0"), (F.col("t1") - F.col("lo")).alias("t1"), "mark")
     return reindexed(shifted).select(*COLUMNS)

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import COLUMNS, KEY, duration, in_marks, is_empty, text_of
+from ..model import COLUMNS, KEY, duration, in_marks, text_of
 from .marks import assign_from
 
 
@@ -62,19 +63,8 @@ def marks_text(intervals: DataFrame, sep: str = "|") -> DataFrame:
 
 
 def violin_data(intervals: DataFrame, by: str = "mark") -> DataFrame:
-    """(by, durations): the sorted durations of each mark or tier, for plotting."""
-    return intervals.groupBy(F.coalesce(F.col(by), F.lit("")).alias(by)).agg(F.array_sort(F.collect_list(duration())).alias("durations"))
-
-
-def percentile(sorted_values: Column, p: float) -> Column:
-    """Percentile with linear interpolation, in the operation order that gives the same last digit everywhere."""
-    n = F.size(sorted_values)
-    pos = (n - 1) * F.lit(p / 100)
-    lo = F.floor(pos).cast("int")
-    hi = F.least(lo + 1, n - 1)
-    t = pos - lo
-    a, b = sorted_values[lo].cast("double"), sorted_values[hi].cast("double")
-    return F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
+    """(by, duration, n): how often each mark or tier has each duration, for plotting; no group of rows is brought together."""
+    return intervals.groupBy(F.coalesce(F.col(by), F.lit("")).alias(by), duration().alias("duration")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def duration_bounds(intervals: DataFrame, scope: list[str], lo: float, hi: float, range_mode: str = "percentile", per_mark: bool = True, min_count: int = 1) -> DataFrame:
@@ -124,15 +114,19 @@ def _percentiles(rows: DataFrame, keys: list[str], lo: float, hi: float) -> Data
     return out.select(*keys, "n", "lo", "hi")
 
 
+def _with_bounds(considered: DataFrame, scope: list[str], lo: float, hi: float, range_mode: str = "percentile", per_mark: bool = True, min_count: int = 1) -> DataFrame:
+    """Intervals of one tier whose scope (and mark) has ``min_count`` of them, with its cut-offs lo and hi. Without a scope the tier's name is one."""
+    keys = list(scope) if scope or per_mark else ["tier_name"]
+    bounds = duration_bounds(considered, keys, lo, hi, range_mode, per_mark, min_count)
+    return considered.withColumn("mark", text_of()).join(bounds, [*keys, *(["mark"] if per_mark else [])])
+
+
 def select_durations(intervals: DataFrame, tier: str, marks: list[str], scope: list[str], lo: float, hi: float, range_mode: str = "percentile", per_mark: bool = True, min_count: int = 1) -> DataFrame:
     """Intervals of a tier with one of the marks (any, if none is given) whose duration lies in [lo, hi) of its distribution."""
     rows = intervals.where(F.col("tier_name") == tier)
     rows = rows.where(in_marks(marks)) if marks else rows
-    bounds = duration_bounds(rows, scope, lo, hi, range_mode, per_mark, min_count)
-    keys = [*scope, *(["mark"] if per_mark else [])]
-    named = rows.withColumn("mark", text_of())
-    joined = named.join(bounds, keys) if keys else named.join(F.broadcast(bounds))
-    return joined.where((duration() >= F.col("lo")) & (duration() < F.col("hi"))).select(*COLUMNS)
+    bounded = _with_bounds(rows, scope, lo, hi, range_mode, per_mark, min_count)
+    return bounded.where((duration() >= F.col("lo")) & (duration() < F.col("hi"))).select(*COLUMNS)
 
 
 def label_durations(intervals: DataFrame, tier: str, assign_tier: str, mark: str, marks: list[str], scope: list[str], lo: float, hi: float, **how) -> DataFrame:
@@ -140,11 +134,20 @@ def label_durations(intervals: DataFrame, tier: str, assign_tier: str, mark: str
     return assign_from(intervals, tier, assign_tier, select_durations(intervals, tier, marks, scope, lo, hi, **how), mark)
 
 
+def label_counts(intervals: DataFrame, tier: str, assign_tier: str, mark: str, marks: list[str], scope: list[str], lo: float, hi: float, **how) -> DataFrame:
+    """(counter, n) of a labelling: ``total`` intervals of the tier, ``considered`` ones with one of the marks, those whose
+    scope has ``enough`` of them, those of ``matching`` duration, and the marks ``changed`` on ``assign_tier``."""
+    rows = intervals.where(F.col("tier_name") == tier)
+    considered = rows.where(in_marks(marks)) if marks else rows
+    enough = _with_bounds(considered, scope, lo, hi, **how)
+    matching = enough.where((duration() >= F.col("lo")) & (duration() < F.col("hi")))
+    after = assign_from(intervals, tier, assign_tier, matching, mark).select(*KEY, "idx", text_of().alias("_new"))
+    changed = intervals.join(after, [*KEY, "idx"]).where(text_of() != F.col("_new"))
+    counters = {"total": rows, "considered": considered, "enough": enough, "matching": matching, "changed": changed}
+    counts = [d.agg(F.lit(name).alias("counter"), F.count(F.lit(1)).alias("n")) for name, d in counters.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def run_log(durations: DataFrame, column: str = "duration") -> DataFrame:
     d = F.col(column)
     return durations.agg(F.count(d).alias("n"), F.min(d).alias("shortest"), F.max(d).alias("longest"), F.avg(d).alias("mean"), F.sum(d).alias("total"))
-
-
-def empty_share(intervals: DataFrame) -> DataFrame:
-    """(grid_id, tier_idx, n, n_empty)."""
-    return intervals.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), F.sum(is_empty().cast("long")).alias("n_empty"))

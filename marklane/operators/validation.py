@@ -75,9 +75,3 @@ def results(before: DataFrame, after: DataFrame, errors: DataFrame | None = None
     joined = joined.join(errors.groupBy("grid_id").agg(F.min("error").alias("error")), "grid_id", "left") if errors is not None else joined.withColumn("error", F.lit(None).cast("string"))
     same = F.col("x").eqNullSafe(F.col("y")) & F.col("x_n").eqNullSafe(F.col("y_n"))
     return joined.select("grid_id", "error", (F.col("error").isNull() & ~same).alias("changed"))
-
-
-def overlapping(intervals: DataFrame) -> DataFrame:
-    """Intervals that start before the greatest end so far of their tier."""
-    so_far = F.max("t1").over(W.partitionBy(*KEY).orderBy("idx").rowsBetween(W.unboundedPreceding, -1))
-    return intervals.where(F.lit(True)).withColumn("_m", so_far).where(F.col("t0") < F.col("_m")).drop("_m")

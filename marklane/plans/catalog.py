@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -11,8 +12,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import in_marks
+from ..model import in_marks, shared_folder
 from ..operators import alignment, comparison, creation, dictionary, joining, marks, selection, splitting, stats, tiers, validation
+from ..sources import gridfile
 from . import views
 from .views import SQL_EVENTS, SQL_JITTER, SQL_PHASES
 
@@ -201,18 +203,75 @@ def x7(spark, sf):
     return plain(selection.tiers_named(splitting.split_grids(rows, "phases"), ["events"]))
 
 
-@query("x9_merge_grids", f"WITH {SQL_EVENTS}, r AS (SELECT grid_id % 10 AS new, grid_id, idx, t1 - t0 AS d, mark FROM iv), s AS (SELECT *, sum(d) OVER (PARTITION BY new ORDER BY grid_id, idx) AS t1, row_number() OVER (PARTITION BY new ORDER BY grid_id, idx) - 1 AS i FROM r) SELECT new AS grid_id, i AS idx, CAST(t1 - d AS BIGINT) AS t0, CAST(t1 AS BIGINT) AS t1, mark FROM s")
+def _snap_sql(edges: str, points: str, threshold: str) -> str:
+    """CTEs that end in fx (grid_id, i, t0, t1): the edges (grid_id, e, a sorted list) after the points (grid_id, t) were taken in order."""
+    return f"""
+pt AS (SELECT grid_id, t, row_number() OVER (PARTITION BY grid_id ORDER BY t) AS k FROM ({points})
+), st(grid_id, k, e) AS (
+  SELECT grid_id, 0, e FROM ({edges})
+  UNION ALL
+  SELECT grid_id, k, list_transform(e, lambda x, i: CASE WHEN i = mv THEN t ELSE x END) FROM (
+    SELECT grid_id, k, t, e, CASE WHEN p < len(e) AND e[p + 1] = t THEN 0
+      WHEN p = 0 THEN CASE WHEN e[1] - t < {threshold} THEN 1 ELSE 0 END
+      WHEN p = len(e) THEN CASE WHEN t - e[p] < {threshold} THEN p ELSE 0 END
+      WHEN t - e[p] <= e[p + 1] - t THEN CASE WHEN t - e[p] <= {threshold} THEN p ELSE 0 END
+      WHEN e[p + 1] - t <= {threshold} THEN p + 1 ELSE 0 END AS mv
+    FROM (SELECT st.grid_id, pt.k, pt.t, st.e, len(list_filter(st.e, lambda x: x < pt.t)) AS p FROM st JOIN pt ON pt.grid_id = st.grid_id AND pt.k = st.k + 1))
+), fx AS (
+  SELECT grid_id, i, e[i] AS t0, e[i + 1] AS t1 FROM (
+    SELECT grid_id, e, unnest(range(1, len(e))) AS i FROM (SELECT grid_id, max_by(e, k) AS e FROM st GROUP BY grid_id))
+)"""
+
+
+_EDGES = "SELECT grid_id, list_append(list(t0 ORDER BY idx), max_by(t1, idx)) AS e FROM {0} GROUP BY grid_id"
+_POINTS = "SELECT grid_id, t0 AS t FROM {0} UNION SELECT grid_id, t1 FROM {0}"
+
+
+_MERGED = """
+r AS (SELECT grid_id % 10 AS new, grid_id, idx, t1 - t0 AS d, mark FROM {0}
+), n AS (SELECT new, count(DISTINCT grid_id) AS n FROM r GROUP BY new
+), {1} AS (SELECT new AS grid_id, row_number() OVER w - 1 AS idx, CAST(sum(d) OVER w - d AS BIGINT) AS t0, CAST(sum(d) OVER w AS BIGINT) AS t1, mark
+  FROM r JOIN n USING (new) WHERE n > 1 WINDOW w AS (PARTITION BY new ORDER BY grid_id, idx)
+), {1}_alone AS (SELECT new AS grid_id, {0}.idx, t0, t1, {0}.mark FROM {0} JOIN n ON new = {0}.grid_id % 10 WHERE n = 1)"""
+
+
+@query("x9_merge_grids", f"WITH {SQL_EVENTS},{_MERGED.format('iv', 'mg')} SELECT * FROM mg UNION ALL SELECT * FROM mg_alone")
 def x9(spark, sf):
     return plain(alignment.merge_grids(views.events(spark, sf), F.col("grid_id") % 10))
 
 
-@query("b1_fix_boundaries")
+@query("x9_merge_two_tiers", f"""WITH RECURSIVE {SQL_EVENTS}, f AS (SELECT grid_id, idx, t0, t1, mark FROM iv WHERE idx < 12), h AS (SELECT grid_id, idx, t0 - idx * 1000 AS t0, t1 - (idx + 1) * 1000 AS t1, mark FROM f WHERE t1 - t0 > 100000),
+ra AS (SELECT grid_id % 10 AS new, grid_id, idx, t1 - t0 AS d, mark FROM f), rb AS (SELECT grid_id % 10 AS new, grid_id, idx, t1 - t0 AS d, mark FROM h), nn AS (SELECT new FROM ra GROUP BY new HAVING count(DISTINCT grid_id) > 1),
+ma AS (SELECT new AS grid_id, CAST(sum(d) OVER w - d AS BIGINT) AS t0, CAST(sum(d) OVER w AS BIGINT) AS t1 FROM ra JOIN nn USING (new) WINDOW w AS (PARTITION BY new ORDER BY grid_id, idx)),
+mb AS (SELECT new AS grid_id, row_number() OVER w AS idx, CAST(sum(d) OVER w - d AS BIGINT) AS t0, CAST(sum(d) OVER w AS BIGINT) AS t1, mark FROM rb JOIN nn USING (new) WINDOW w AS (PARTITION BY new ORDER BY grid_id, idx)),
+{_snap_sql(_EDGES.format('mb'), _POINTS.format('ma'), '1e300')}
+SELECT fx.grid_id, row_number() OVER (PARTITION BY fx.grid_id ORDER BY i) - 1 AS idx, fx.t0, fx.t1, mark FROM fx JOIN mb ON mb.grid_id = fx.grid_id AND mb.idx = fx.i WHERE fx.t0 < fx.t1""")
+def x9b(spark, sf):
+    """A second tier of other durations, aligned to the first after merging; groups of several grids."""
+    first = views.events(spark, sf).where("idx < 12")
+    second = first.where("t1 - t0 > 100000").withColumns({"t0": F.col("t0") - F.col("idx") * 1000, "t1": F.col("t1") - (F.col("idx") + 1) * 1000, "tier_idx": F.lit(1), "tier_name": F.lit("second")})
+    both = first.unionByName(second).withColumn("_g", F.col("grid_id") % 10)
+    several = both.groupBy("_g").agg(F.countDistinct("grid_id").alias("n")).where("n > 1")
+    merged = alignment.merge_grids(both.join(several, "_g", "left_semi").drop("_g"), F.col("grid_id") % 10)
+    return plain(selection.tiers_named(merged, ["second"]))
+
+
+@query("b1_fix_boundaries", f"WITH RECURSIVE {SQL_EVENTS},{SQL_JITTER},{_snap_sql(_EDGES.format('iv'), _POINTS.format('ji'), '1000000')} SELECT grid_id, row_number() OVER (PARTITION BY grid_id ORDER BY i) - 1 AS idx, t0, t1, mark FROM (SELECT fx.*, m.mark FROM fx JOIN (SELECT grid_id, row_number() OVER (PARTITION BY grid_id ORDER BY idx) AS i, mark FROM iv) m ON m.grid_id = fx.grid_id AND m.i = fx.i WHERE t0 < t1)")
 def b1(spark, sf):
     iv = views.events(spark, sf)
     other = views.jittered(iv).withColumns({"tier_idx": F.lit(1), "tier_name": F.lit("reference")})
     return plain(selection.tiers_named(alignment.fix_boundaries(iv.unionByName(other), "reference", ["events"], 1_000_000), ["events"]))
 
 
+@query("b1a_fix_all_boundaries", f"WITH RECURSIVE {SQL_EVENTS},{SQL_PHASES},{_snap_sql(_EDGES.format('iv'), _POINTS.format('(SELECT grid_id, t0 + 700000 AS t0, t1 + 700000 AS t1 FROM ph)'), '1e300')} SELECT grid_id, row_number() OVER (PARTITION BY grid_id ORDER BY i) - 1 AS idx, t0, t1, mark FROM (SELECT fx.*, m.mark FROM fx JOIN (SELECT grid_id, row_number() OVER (PARTITION BY grid_id ORDER BY idx) AS i, mark FROM iv) m ON m.grid_id = fx.grid_id AND m.i = fx.i WHERE t0 < t1)")
+def b1a(spark, sf):
+    """Without a limit, and with timepoints behind the last boundary."""
+    rows = views.with_phases(views.events(spark, sf))
+    late = F.when(F.col("tier_name") == "phases", 700_000).otherwise(0)
+    moved = rows.withColumns({"t0": F.col("t0") + late, "t1": F.col("t1") + late})
+    return plain(selection.tiers_named(alignment.fix_boundaries(moved, "phases", ["events"], float("inf")), ["events"]))
+
+
 @query("b2_sync_to_audio", f"WITH {SQL_EVENTS}, g AS (SELECT grid_id, max(idx) AS m, max(t1) AS e FROM iv GROUP BY grid_id) SELECT iv.grid_id, idx, CASE WHEN idx = 0 THEN 0.0 ELSE t0 / 1000000.0::DOUBLE END AS t0, CASE WHEN idx = m THEN (e // 1000000 + 1) * 16000 / 16000::DOUBLE ELSE t1 / 1000000.0::DOUBLE END AS t1, mark FROM iv JOIN g ON iv.grid_id = g.grid_id")
 def b2(spark, sf):
     iv = views.events(spark, sf).withColumns({"t0": F.col("t0") / 1e6, "t1": F.col("t1") / 1e6})
@@ -412,9 +471,9 @@ def a8(spark, sf):
     return stats.marks_text(views.events(spark, sf)).drop("tier_idx")
 
 
-@query("a9_violin_data", f"WITH {SQL_EVENTS} SELECT mark, array_to_string(list(CAST(t1 - t0 AS VARCHAR) ORDER BY t1 - t0), ',') AS durations FROM iv GROUP BY mark")
+@query("a9_violin_data", f"WITH {SQL_EVENTS} SELECT mark, t1 - t0 AS duration, count(*) AS n FROM iv GROUP BY ALL")
 def a9(spark, sf):
-    return stats.violin_data(views.events(spark, sf)).withColumn("durations", F.array_join(F.transform("durations", lambda x: x.cast("string")), ","))
+    return stats.violin_data(views.events(spark, sf))
 
 
 @query("s15_grid_durations", f"WITH {SQL_EVENTS} SELECT grid_id, max(t1) - min(t0) AS duration FROM iv GROUP BY grid_id")
@@ -436,6 +495,112 @@ def v2(spark, sf):
 
 
 
+def _shifted_marks_sql(mark: str) -> str:
+    """SQL of the event marks under names that the default punctuation knows."""
+    return f"CASE {mark} WHEN 'click' THEN '、' WHEN 'view' THEN '~' WHEN 'search' THEN '^' ELSE {mark} END"
+
+
+def _punctuated(spark, sf):
+    return marks.map_marks(views.events(spark, sf), {"click": "、", "view": "~", "search": "^"})
+
+
+@query("i8_join_symbols_default", f"""WITH {SQL_EVENTS}, q AS (SELECT grid_id, idx, t0, t1, {_shifted_marks_sql('mark')} AS mark FROM iv), j AS (SELECT *, mark IN ('、', '~') AS jn FROM q
+), r AS (SELECT *, sum(CASE WHEN jn THEN 0 ELSE 1 END) OVER (PARTITION BY grid_id ORDER BY idx) AS run FROM j
+), k AS (SELECT *, bool_or(NOT jn AND mark NOT IN ('', ' ')) OVER (PARTITION BY grid_id, run) AS kept FROM r
+), c AS (SELECT *, sum(br) OVER (PARTITION BY grid_id ORDER BY idx) AS chunk FROM (SELECT *, CASE WHEN kept AND run = lag(run) OVER (PARTITION BY grid_id ORDER BY idx) THEN 0 ELSE 1 END AS br FROM k))
+SELECT grid_id, row_number() OVER (PARTITION BY grid_id ORDER BY chunk) - 1 AS idx, t0, t1, mark FROM (
+  SELECT grid_id, chunk, min(t0) AS t0, max(t1) AS t1, coalesce(string_agg(mark, '' ORDER BY idx), '') AS mark FROM c GROUP BY grid_id, chunk)""")
+def i8_default(spark, sf):
+    return plain(joining.join_symbols(_punctuated(spark, sf)))
+
+
+@query("f1_tiers_named", "SELECT conv_id AS grid_id, turn AS idx, turn AS t0, turn + 1 AS t1, role AS mark FROM conversations")
+def f1(spark, sf):
+    return plain(selection.tiers_named(views.conversations(spark, sf), ["role", "absent"]))
+
+
+@query("f3_with_marks", f"WITH {SQL_EVENTS} SELECT grid_id, idx, t0, t1, mark FROM iv WHERE mark IN ('click', '')")
+def f3(spark, sf):
+    return plain(selection.with_marks(views.events(spark, sf), ["click", ""]))
+
+
+@query("f4_without_marks", f"WITH {SQL_EVENTS} SELECT grid_id, idx, t0, t1, mark FROM iv WHERE mark NOT IN ('click', '')")
+def f4(spark, sf):
+    return plain(selection.without_marks(views.events(spark, sf), ["click", ""]))
+
+
+@query("a6_pooled_bounds", _PERCENTILES.format(keys="'events' AS tier_name").replace("GROUP BY 'events' AS tier_name", "GROUP BY ALL") + " SELECT n, lo, hi FROM c")
+def a6_pooled(spark, sf):
+    rows = views.events(spark, sf).where(in_marks(["click", "view"]))
+    return stats.duration_bounds(rows, ["tier_name"], 5, 90, per_mark=False).drop("tier_name")
+
+
+@query("a6_absolute", f"WITH {SQL_EVENTS} SELECT grid_id, idx, t0, t1, mark FROM iv WHERE mark IN ('click', 'view') AND t1 - t0 >= {HOUR} AND t1 - t0 < {9 * HOUR}")
+def a6_absolute(spark, sf):
+    return plain(stats.select_durations(views.events(spark, sf), "events", ["click", "view"], [], HOUR, 9 * HOUR, "absolute", per_mark=False))
+
+
+@query("a6_percent", f"WITH {SQL_EVENTS}, b AS (SELECT grid_id, mark, max(t1 - t0) / 100.0::DOUBLE * 20 AS lo, max(t1 - t0) / 100.0::DOUBLE * 60 AS hi, count(*) AS n FROM iv GROUP BY grid_id, mark) SELECT iv.grid_id, idx, t0, t1, iv.mark FROM iv JOIN b ON iv.grid_id = b.grid_id AND iv.mark = b.mark WHERE n >= 3 AND t1 - t0 >= lo AND t1 - t0 < hi")
+def a6_percent(spark, sf):
+    return plain(stats.select_durations(views.events(spark, sf), "events", [], ["grid_id"], 20, 60, "percent", min_count=3))
+
+
+@query("a6_label_counts", _PERCENTILES.format(keys="grid_id, mark") + ", k AS (SELECT iv.*, c.n, lo, hi FROM iv JOIN c ON iv.grid_id = c.grid_id AND iv.mark = c.mark WHERE n >= 2), m AS (SELECT * FROM k WHERE t1 - t0 >= lo AND t1 - t0 < hi) SELECT 'total' AS counter, count(*) AS n FROM iv UNION ALL SELECT 'considered', count(*) FROM iv WHERE mark IN ('click', 'view') UNION ALL SELECT 'enough', count(*) FROM k UNION ALL SELECT 'matching', count(*) FROM m UNION ALL SELECT 'changed', count(*) FROM m WHERE mark <> 'view'")
+def a6_counts(spark, sf):
+    return stats.label_counts(views.events(spark, sf), "events", "events", "view", ["click", "view"], ["grid_id"], 5, 90, min_count=2)
+
+
+@query("a10_run_log", f"WITH {SQL_EVENTS}, d AS (SELECT max(t1) - min(t0) AS d FROM iv GROUP BY grid_id) SELECT count(d) AS n, min(d) AS shortest, max(d) AS longest, round(avg(d), 3) AS mean, CAST(sum(d) AS BIGINT) AS total FROM d")
+def a10(spark, sf):
+    return stats.run_log(stats.grid_durations(views.events(spark, sf))).withColumn("mean", F.round("mean", 3))
+
+
+@query("b6_round_times", f"WITH {SQL_EVENTS} SELECT grid_id, idx, round_even(t0 / 4.0::DOUBLE, 0) AS t0, round_even(t1 / 4.0::DOUBLE, 0) AS t1, mark FROM iv")
+def b6(spark, sf):
+    quarter = views.events(spark, sf).withColumns({"t0": F.col("t0") / 4, "t1": F.col("t1") / 4})  # halves and quarters are exact
+    return plain(alignment.round_times(quarter, 0))
+
+
+@query("v3_tier_errors", "SELECT conv_id AS grid_id, 'tier does not exist: absent' AS error FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id")
+def v3(spark, sf):
+    rows = views.conversations(spark, sf).where("tier_name = 'text' or grid_id % 2 = 0").withColumn("tier_name", F.when((F.col("tier_name") == "role") & (F.col("grid_id") % 2 == 0), "text2").otherwise(F.col("tier_name")))
+    both = rows.unionByName(rows.where("grid_id % 2 <> 0").withColumns({"tier_idx": F.lit(5), "tier_name": F.lit("absent")}))
+    return validation.tier_errors(both, exist=["text"], unique=["absent"])
+
+
+@query("v4_invalid_grids", f"WITH {SQL_EVENTS} SELECT DISTINCT grid_id, 'intervals are not consecutive' AS error FROM iv WHERE idx = 3 AND EXISTS (SELECT 1 FROM iv o WHERE o.grid_id = iv.grid_id AND o.idx = 4)")
+def v4(spark, sf):
+    return validation.invalid_grids(views.events(spark, sf).where("idx <> 3"))
+
+
+@query("v5_unequal_counts", f"WITH {SQL_EVENTS}, c AS (SELECT grid_id, count(*) AS n_source, count(*) FILTER (mark <> 'signup') AS n_target FROM iv GROUP BY grid_id) SELECT * FROM c WHERE n_source <> n_target")
+def v5(spark, sf):
+    iv = views.events(spark, sf)
+    other = iv.where("mark <> 'signup'").withColumns({"tier_idx": F.lit(1), "tier_name": F.lit("other")})
+    return validation.unequal_counts(iv.unionByName(other), "events", "other")
+
+
+@query("v6_missing_words", f"WITH {SQL_EVENTS} SELECT mark AS word, count(*) AS n FROM iv WHERE mark NOT IN ('', 'click') GROUP BY mark")
+def v6(spark, sf):
+    words = spark.createDataFrame([("click", ["k"], 1)], "word string, pronunciation array<string>, weight long")
+    return validation.missing_words(views.events(spark, sf), words, ["events"])
+
+
+@query("v7_audio_mismatches", f"WITH {SQL_EVENTS}, g AS (SELECT grid_id, max(t1) AS e FROM iv GROUP BY grid_id) SELECT grid_id, e // 1000000 * 16 + grid_id % 2 AS n_samples, CAST(e // 1000000 * 16 AS BIGINT) AS expected FROM g WHERE grid_id % 2 = 1")
+def v7(spark, sf):
+    iv = views.events(spark, sf).withColumn("t1", F.floor(F.col("t1") / 1_000_000).cast("double"))
+    audio = iv.groupBy("grid_id").agg((F.max("t1").cast("long") * 16 + F.col("grid_id") % 2).alias("n_samples"), F.lit(16).alias("sample_rate"))
+    return validation.audio_mismatches(iv, audio)
+
+
+@query("s1_files_round_trip", "SELECT CAST(conv_id AS VARCHAR) AS grid_id, n AS tier_name, turn AS idx, turn::DOUBLE AS t0, turn + 1.0::DOUBLE AS t1, coalesce(CASE n WHEN 'text' THEN text ELSE role END, '') AS mark FROM conversations, (VALUES ('text'), ('role')) v(n)")
+def s1(spark, sf):
+    """Every conversation as a file, written inside the tasks and read back."""
+    folder = shared_folder(spark)
+    gridfile.write_grids(views.conversations(spark, sf), folder)
+    return gridfile.intervals(gridfile.read_grids(spark, folder)).drop("tier_idx")
+
+
 _shipped: set[str] = set()
 
 
@@ -445,9 +610,8 @@ def ship(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = Path(__file__).resolve().parents[1]
-    with tempfile.TemporaryDirectory() as tmp:
-        copy = Path(tmp) / "package"
-        shutil.copytree(root, copy / root.name, ignore=shutil.ignore_patterns("__pycache__"))
-        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), root.name), "zip", copy)
-    spark.sparkContext.addPyFile(archive)
+    tmp = tempfile.mkdtemp()  # code only; executors fetch the archive from the driver as long as it runs
+    atexit.register(shutil.rmtree, tmp, ignore_errors=True)
+    shutil.copytree(root, os.path.join(tmp, "package", root.name), ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(tmp, root.name), "zip", os.path.join(tmp, "package")))
     _shipped.add(app)

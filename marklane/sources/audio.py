@@ -8,8 +8,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.alignment import samples_of
+from .files import write_files
 from .gridfile import _grid_id
 
 SCHEMA = "grid_id string, sample_rate int, n_samples long, content binary"
@@ -72,3 +74,29 @@ def cut_audio(audio: DataFrame, spans: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([new]), pa.array([rate], pa.int32()), pa.array([n], pa.int64()), pa.array([part], pa.binary())], names=["grid_id", "sample_rate", "n_samples", "content"])
 
     return rows.mapInArrow(run, SCHEMA)
+
+
+def remove_from_audio(audio: DataFrame, spans: DataFrame) -> DataFrame:
+    """Audio (with content) without the samples of the spans (grid_id, lo, hi), which must be merged; audio without spans stays.
+
+    Give it ``alignment.usable_spans``, so that audio and intervals lose the same spans.
+    """
+    of = spans.groupBy("grid_id").agg(F.array_sort(F.collect_list(F.struct(F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi")))).alias("spans"))  # of one recording
+    rows = audio.select("grid_id", "content").join(of, "grid_id", "left").select("grid_id", "content", "spans")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for grid, raw, cut in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                raw = without(raw, [(s["lo"], s["hi"]) for s in cut]) if raw and cut else raw
+                rate = n = None
+                if raw:
+                    with wave.open(io.BytesIO(raw)) as w:
+                        rate, n = w.getframerate(), w.getnframes()
+                yield pa.RecordBatch.from_arrays([pa.array([grid], pa.string()), pa.array([rate], pa.int32()), pa.array([n], pa.int64()), pa.array([raw], pa.binary())], names=["grid_id", "sample_rate", "n_samples", "content"])
+
+    return rows.mapInArrow(run, SCHEMA)
+
+
+def write_audio(audio: DataFrame, folder: str) -> DataFrame:
+    """Write the contents as WAV files, named like their grids, inside the tasks: (name, size)."""
+    return write_files(audio.select(F.concat(F.col("grid_id").cast("string"), F.lit(".wav")).alias("name"), "content"), folder)

@@ -13,9 +13,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.validation import invalid_grids
+from .files import copy_files, write_files
+
 # Fixed values of the file format.
 SUFFIX_GLOB = "*.[tT][eE][xX][tT][gG][rR][iI][dD]"
 _HEADER, _CLASS = "ooTextFile", "TextGrid"
@@ -123,31 +127,51 @@ def _quoted(text: str | None) -> str:
     return '"' + (text or "").replace('"', '""') + '"'
 
 
-def to_texts(intervals_: DataFrame) -> DataFrame:
-    """(grid_id, text): each grid as a file's text, long layout. Gaps between intervals are filled with empty ones.
+def _tier_lines(k: int, name: str, kind: str, rows: list[tuple[float, float, str]], lo: float, hi: float) -> list[str]:
+    """A tier of a file. Gaps between intervals are filled with empty ones; point tiers have points."""
+    head = [f"    item [{k}]:", f'        class = "{"IntervalTier" if kind == "interval" else "TextTier"}" ', f"        name = {_quoted(name)} ", f"        xmin = {number(lo)} ", f"        xmax = {number(hi)} "]
+    if kind == "point":
+        out = [*head, f"        points: size = {len(rows)} "]
+        for i, (t, _, mark) in enumerate(rows, 1):
+            out += [f"        points [{i}]:", f"            number = {number(t)} ", f"            mark = {_quoted(mark)} "]
+        return out
+    filled, at = [], lo
+    for t0, t1, mark in [*rows, (hi, hi, "")]:
+        if at < t0:
+            filled.append((at, t0, ""))
+        if t0 < t1:
+            filled.append((t0, t1, mark))
+        at = t1
+    out = [*head, f"        intervals: size = {len(filled)} "]
+    for i, (t0, t1, mark) in enumerate(filled, 1):
+        out += [f"        intervals [{i}]:", f"            xmin = {number(t0)} ", f"            xmax = {number(t1)} ", f"            text = {_quoted(mark)} "]
+    return out
+
 
+def to_texts(rows: DataFrame) -> DataFrame:
+    """(grid_id, text): each grid as a file's text, long layout.
+
+    ``rows`` is an interval table, or what ``read_grids`` gives: then point tiers, tiers without intervals and the grid's own
+    span are kept, and rows with an error are left out. Null marks are written as empty texts.
     A grid is one file, so it is put together in one group; its size is that of the file.
     """
+    if "kind" not in rows.columns:
+        rows = rows.withColumns({"kind": F.lit("interval"), "grid_t0": F.lit(None).cast("double"), "grid_t1": F.lit(None).cast("double"), "error": F.lit(None).cast("string")})
+    rows = rows.where("error is null").select("grid_id", "tier_idx", "tier_name", "kind", "idx", "t0", "t1", "mark", "grid_t0", "grid_t1")
+
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["tier_idx", "idx"])
-        lo, hi = rows["t0"].min(), rows["t1"].max()
+        whole = rows["grid_t0"].notna().any()
+        lo, hi = (rows["grid_t0"].min(), rows["grid_t1"].max()) if whole else (rows["t0"].min(), rows["t1"].max())
         tiers = list(rows.groupby("tier_idx", sort=True))
         out = [f'File type = "{_HEADER}"', f'Object class = "{_CLASS}"', "", f"xmin = {number(lo)} ", f"xmax = {number(hi)} ", "tiers? <exists> ", f"size = {len(tiers)} ", "item []: "]
         for k, (_, tier) in enumerate(tiers, 1):
-            filled, at = [], lo
-            for t0, t1, mark in zip(tier["t0"], tier["t1"], tier["mark"], strict=True):
-                if at < t0:
-                    filled.append((at, t0, ""))
-                filled.append((t0, t1, mark if isinstance(mark, str) else ""))
-                at = t1
-            if at < hi:
-                filled.append((at, hi, ""))
-            out += [f"    item [{k}]:", '        class = "IntervalTier" ', f"        name = {_quoted(tier['tier_name'].iloc[0])} ", f"        xmin = {number(lo)} ", f"        xmax = {number(hi)} ", f"        intervals: size = {len(filled)} "]
-            for i, (t0, t1, mark) in enumerate(filled, 1):
-                out += [f"        intervals [{i}]:", f"            xmin = {number(t0)} ", f"            xmax = {number(t1)} ", f"            text = {_quoted(mark)} "]
+            held = tier[tier["idx"].notna()]
+            marked = [(a, b, m if isinstance(m, str) else "") for a, b, m in zip(held["t0"], held["t1"], held["mark"], strict=True)]
+            out += _tier_lines(k, tier["tier_name"].iloc[0], tier["kind"].iloc[0], marked, lo, hi)
         return pd.DataFrame({"grid_id": [key[0]], "text": ["\n".join(out) + "\n"]})
 
-    return intervals_.groupBy("grid_id").applyInPandas(write, "grid_id string, text string")
+    return rows.groupBy("grid_id").applyInPandas(write, "grid_id string, text string")
 
 
 def pending(grids: DataFrame, done: DataFrame, overwrite: bool = False) -> DataFrame:
@@ -155,17 +179,32 @@ def pending(grids: DataFrame, done: DataFrame, overwrite: bool = False) -> DataF
     return grids if overwrite else grids.join(done.select("grid_id").distinct(), "grid_id", "left_anti")
 
 
-def write_grids(intervals_: DataFrame, folder: str, changed: DataFrame | None = None) -> None:
-    """Write one file for each grid, named like it, through Hadoop's file system layer of the tasks' own session.
+def write_grids(rows: DataFrame, folder: str, changed: DataFrame | None = None, overwrite: bool = True, dry: bool = False, unchanged_from: str | None = None, encoding: str = "utf-8") -> DataFrame:
+    """Write one file for each grid, named like it, inside the tasks: (grid_id, outcome, error), a row per grid.
 
-    ``changed`` (grid_id) restricts the writing to those grids. The texts are first written as one table, then named files
-    are put beside each other by the driver from a stream, a partition at a time.
+    Outcomes: ``written``; ``invalid`` (see ``validation.invalid_grids``; such grids are not written); ``exists`` (without ``overwrite``, files that are
+    there stay); ``unchanged`` (not in ``changed`` (grid_id), where that is given), or ``copied`` if ``unchanged_from`` names the folder of
+    the source files. With ``dry`` nothing is written and the outcomes are those that a run would have.
     """
-    rows = to_texts(intervals_ if changed is None else intervals_.join(changed, "grid_id", "left_semi"))
-    spark = intervals_.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for r in rows.toLocalIterator():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{r['grid_id']}.{_CLASS}")
-        stream = path.getFileSystem(conf).create(path, True)
-        stream.write(bytearray(r["text"].encode()))
-        stream.close()
+    spark = rows.sparkSession
+    rows = rows.withColumn("grid_id", F.col("grid_id").cast("string"))
+    held = rows if "kind" not in rows.columns else intervals(rows)
+    grids = rows.select("grid_id").distinct().join(invalid_grids(held), "grid_id", "left")
+    try:
+        there = list_files(spark, folder).select("grid_id").withColumn("_there", F.lit(True)) if not overwrite else None
+    except AnalysisException:  # no such folder yet
+        there = None
+    grids = grids.join(there, "grid_id", "left") if there is not None else grids.withColumn("_there", F.lit(None).cast("boolean"))
+    touched = changed.select(F.col("grid_id").cast("string").alias("grid_id")).distinct().withColumn("_new", F.lit(True)) if changed is not None else grids.select("grid_id", F.lit(True).alias("_new"))
+    rest = "copied" if unchanged_from else "unchanged"
+    outcome = F.when(F.col("error").isNotNull(), "invalid").when(F.col("_there"), "exists").when(F.col("_new").isNull(), rest).otherwise("written")
+    plan = spark.createDataFrame(grids.join(touched, "grid_id", "left").select("grid_id", outcome.alias("outcome"), "error").toArrow())  # a row per file
+    if dry:
+        return plan
+    texts = to_texts(rows.join(plan.where("outcome = 'written'"), "grid_id", "left_semi"))
+    name = F.concat("grid_id", F.lit(f".{_CLASS}")).alias("name")
+    write_files(texts.select(name, F.encode("text", encoding).alias("content")), folder)
+    if unchanged_from:
+        source = list_files(spark, unchanged_from).join(plan.where("outcome = 'copied'"), "grid_id", "left_semi")
+        copy_files(source.select("path", name), folder)
+    return plan

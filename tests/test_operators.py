@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marklane.model import COLUMNS, is_pause
 from marklane.operators import alignment, comparison, creation, dictionary, joining, marks, selection, splitting, stats, tiers, validation
-from marklane.sources import audio, gridfile, tables
+from marklane.sources import audio, files, gridfile, tables
 
 SCHEMA = "grid_id string, tier_idx int, tier_name string, idx long, t0 double, t1 double, mark string"
 
@@ -172,12 +172,18 @@ def test_replace_text_both_ends(spark):
 
 
 def test_durations(spark):
-    assert spark.range(1).select(stats.percentile(F.array(*map(F.lit, [1, 2, 3, 4])), 5), stats.percentile(F.array(*map(F.lit, [1, 2, 3, 4])), 90)).first()[:] == (1.15, 3.7)
+    four = frame(spark, tier([(0, 1, "m"), (1, 3, "m"), (3, 6, "m"), (6, 10, "m")]))
+    assert stats.duration_bounds(four, ["tier_name"], 5, 90, per_mark=False).select("lo", "hi").first()[:] == (1.15, 3.7)
     d = frame(spark, tier([(0, 0.5, "a"), (0.5, 1.5, "b"), (1.5, 2, ""), (2, 3, "a"), (3, 5, "a"), (5, 6, "c")]), tier([(0, 0.5, "-"), (0.5, 1.5, "-"), (1.5, 2, "-"), (2, 3, "-"), (3, 5, "X"), (5, 6, "-")], "b", 1))
     got = stats.select_durations(d, "a", ["a", "c"], ["grid_id"], 40, math.inf, min_count=2)
     assert sorted(r["t0"] for r in got.collect()) == [2.0, 3.0]
     labelled = stats.label_durations(d, "a", "b", "X", ["a", "c"], ["grid_id"], 40, math.inf, min_count=2)
     assert [m for _, _, m in out(labelled, "b")] == ["-", "-", "-", "X", "X", "-"]
+    counts = {r["counter"]: r["n"] for r in stats.label_counts(d, "a", "b", "X", ["a", "c"], ["grid_id"], 40, math.inf, min_count=2).collect()}
+    assert counts == {"total": 6, "considered": 4, "enough": 3, "matching": 2, "changed": 1}
+    five = frame(spark, tier([(0, 0.5, "a"), (0.5, 1.5, "b"), (1.5, 2, ""), (2, 3, "a"), (3, 5, "a")]), tier([(0, 0.5, "-"), (0.5, 1.5, "-"), (1.5, 2, "-"), (2, 3, "-"), (3, 5, "X")], "b", 1))
+    counts = {r["counter"]: r["n"] for r in stats.label_counts(five, "a", "b", "X", ["a"], [], 1, math.inf, range_mode="absolute", per_mark=False).collect()}
+    assert counts == {"total": 5, "considered": 3, "enough": 3, "matching": 2, "changed": 1}
     assert len(stats.select_durations(d, "a", ["a"], [], 1, math.inf, range_mode="absolute").collect()) == 2
 
 
@@ -257,3 +263,83 @@ def test_positions(spark):
     starts = lambda mode: [int(a) for a, _, _ in out(selection.at_ends(d, ["x"], mode))]
     assert (starts("all"), starts("start"), starts("end"), starts("both")) == ([0, 1, 3], [0, 1], [3], [0, 1, 3])
     assert d.columns == COLUMNS
+
+
+def test_default_punctuation_is_plain(spark):
+    assert len(joining.JOIN_SYMBOLS) == len(set(joining.JOIN_SYMBOLS)) == 62 and not {"^", "_", "|", "·"} & set(joining.JOIN_SYMBOLS)
+    d = frame(spark, tier(units(["a", "。", "^", "b", "～"])))
+    assert [m for _, _, m in out(joining.join_symbols(d))] == ["a。", "^", "b～"]
+
+
+def test_merge_aligns_the_other_tiers(spark):
+    d = frame(spark, tier([(0, 1, "x"), (1, 2, "y")]), tier([(0, 1.75, "p")], "b", 1), tier([(0, 1, "z")], grid="h"), tier([(0, 1.25, "q")], "b", 1, "h"))
+    merged = alignment.merge_grids(d, F.lit("all"))
+    assert out(merged) == [(0.0, 1.0, "x"), (1.0, 2.0, "y"), (2.0, 3.0, "z")]
+    # 1 moves the nearer 1.75; 2 lies as near to that as to 3 and moves it on
+    assert out(merged, "b") == [(0.0, 2.0, "p"), (2.0, 3.0, "q")]
+    alone = frame(spark, tier([(2, 3, "x")]), tier([(2, 2.5, "p"), (2.5, 3, "q")], "b", 1))
+    assert sorted(alignment.merge_grids(alone, F.lit("g")).collect()) == sorted(alone.collect())
+
+
+def test_round_times(spark):
+    d = frame(spark, tier([(0.125, 2.675, "x")]))
+    assert out(alignment.round_times(d, 2)) == [(round(0.125, 2), round(2.675, 2), "x")]
+
+
+def test_spans_by_running_values(spark):
+    """Against a plain search of all spans, with an interval across an edge and one before all spans."""
+    d = frame(spark, tier([(0, 1, "a"), (1, 2, "b"), (2, 4, "c"), (4, 5, "d"), (5, 6, "e"), (6, 9, "f")]), tier([(0, 1, "z")], grid="h"))
+    spans = [(1.0, 3.0, "s"), (4.0, 6.0, "t")]
+    got = selection.within_spans(d, spark.createDataFrame([("g", *x) for x in spans], "grid_id string, lo double, hi double, name string"))
+    want = sorted((a, b, n) for a, b, _ in [(0, 1, 0), (1, 2, 0), (2, 4, 0), (4, 5, 0), (5, 6, 0), (6, 9, 0)] for lo, hi, n in spans if lo <= a and b <= hi)
+    assert sorted((r["t0"], r["t1"], r["name"]) for r in got.collect()) == want
+
+
+def test_writing_grids(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "p.TextGrid").write_text('File type = "ooTextFile"\nObject class = "TextGrid"\n\n0\n2\n<exists>\n3\n"TextTier"\n"points"\n0\n2\n1\n1.5\n"here"\n"IntervalTier"\n"none"\n0\n2\n0\n"IntervalTier"\n"w"\n0\n2\n1\n0\n2\n"x"\n')
+    rows = gridfile.read_grids(spark, str(source))
+    assert [r["outcome"] for r in gridfile.write_grids(rows, str(tmp_path / "dry"), dry=True).collect()] == ["written"] and not (tmp_path / "dry").exists()
+    gridfile.write_grids(rows, str(tmp_path / "out"))
+    back = gridfile.read_grids(spark, str(tmp_path / "out"))
+    kept = sorted((r["tier_name"], r["kind"], r["t0"], r["t1"], r["mark"]) for r in back.collect())
+    assert kept == [("none", "interval", 0.0, 2.0, ""), ("points", "point", 1.5, 1.5, "here"), ("w", "interval", 0.0, 2.0, "x")]
+    d = frame(spark, tier([(0, 1, "x")], grid="p"), tier([(0, 1, "x"), (2, 3, "y")], grid="gap"), tier([(0, 1, "é")], grid="new"))
+    got = {r["grid_id"]: r["outcome"] for r in gridfile.write_grids(d, str(tmp_path / "out"), overwrite=False, encoding="utf-16").collect()}
+    assert got == {"p": "exists", "gap": "invalid", "new": "written"}
+    assert 'text = "é"' in (tmp_path / "out" / "new.TextGrid").read_text("utf-16") and not (tmp_path / "out" / "gap.TextGrid").exists()
+    same = {r["grid_id"]: r["outcome"] for r in gridfile.write_grids(d.where("grid_id = 'p'"), str(tmp_path / "copy"), changed=spark.createDataFrame([], "grid_id string"), unchanged_from=str(source)).collect()}
+    assert same == {"p": "copied"} and (tmp_path / "copy" / "p.TextGrid").read_bytes() == (source / "p.TextGrid").read_bytes()
+    assert not [f for f in (tmp_path / "out").iterdir() if f.suffix != ".TextGrid"]
+
+
+def test_copy_files_all_or_none(spark, tmp_path):
+    (tmp_path / "a").write_text("1")
+    (tmp_path / "list.txt").write_text(f"{tmp_path}/b\n{tmp_path}/a\n\n{tmp_path}/b\n")
+    paths = tables.read_paths(spark, str(tmp_path / "list.txt"))
+    assert [r["path"] for r in paths.where("path is not null").orderBy("position").collect()] == [f"{tmp_path}/b", f"{tmp_path}/a"]
+    named = paths.where("path is not null").select("path", F.element_at(F.split("path", "/"), -1).alias("name"))
+    with pytest.raises(ValueError):
+        files.copy_files(named, str(tmp_path / "to"))
+    assert not (tmp_path / "to").exists()
+    (tmp_path / "b").write_text("2")
+    files.copy_files(named, str(tmp_path / "to"))
+    assert (tmp_path / "to" / "b").read_text() == "2"
+
+
+def test_audio_loses_the_same_spans(spark, tmp_path):
+    with wave.open(str(tmp_path / "g.wav"), "wb") as w:
+        w.setnchannels(1), w.setsampwidth(1), w.setframerate(10)
+        w.writeframes(bytes(range(100)))
+    d = frame(spark, tier([(0, 2, "x"), (2, 5, ""), (5, 10, "y")]))
+    spans = alignment.usable_spans(d, alignment.spans_with_marks(d, "a", [""]))
+    cut = audio.remove_from_audio(audio.read_audio(spark, str(tmp_path), True), spans)
+    assert cut.first()["n_samples"] == 70
+    assert validation.audio_mismatches(alignment.remove_spans(d, spans.select("grid_id", "lo", "hi")), cut).count() == 0
+    audio.write_audio(cut, str(tmp_path / "out"))
+    with wave.open(str(tmp_path / "out" / "g.wav")) as w:
+        assert w.readframes(100) == bytes([*range(20), *range(50, 100)])
+    # an edge that is no boundary: neither side is cut
+    odd = alignment.usable_spans(d, spark.createDataFrame([("g", 1.0, 2.0)], "grid_id string, lo double, hi double"))
+    assert audio.remove_from_audio(audio.read_audio(spark, str(tmp_path), True), odd).where("grid_id = 'g'").first()["n_samples"] == 100
