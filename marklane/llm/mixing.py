@@ -79,7 +79,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     Repeated and tied rows are rows of their own; null and empty texts have size 0 and are never taken; null is a source like
     any other; an empty table gives an empty result.
 
-    Running sums are taken in two steps, over (source, hash bucket) totals and inside a bucket, so that no task holds a
+    Running sums are taken in two steps, over (source, range of hashes) totals and inside a range, so that no task holds a
     whole source, and words are counted once. Nothing but a row count comes to the driver.
     """
     docs = docs.drop(out)
@@ -89,7 +89,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     buckets = max(1, -(-docs.count() // rows_per_bucket))
     place = [
         F.concat(F.col("source").isNull().cast("string"), F.coalesce("source", F.lit(""))).alias("s"), F.col("source").alias("name"), F.col("doc_id").alias("d"),
-        word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("k"), key.alias("h"), F.pmod(key, F.lit(buckets)).alias("b"),
+        word_count(F.col(text)).alias("size"), F.xxhash64(text).alias("k"), key.alias("h"), F.floor(key.cast("double") * (buckets / 2.0**60)).alias("b"),
     ]
     slim = materialise(docs.select(*place, *([] if carry else [whole_row])))
     per = slim.groupBy("s", "b").agg(F.max("name").alias("name"), F.sum("size").alias("n"))
