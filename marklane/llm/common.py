@@ -30,13 +30,16 @@ def scratch(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends in replicated files."""
+    """Write ``df`` to the shared folder and read it back: lineage ends in replicated files.
+
+    Unlike a checkpoint, the files have a known size, so later joins are planned by it and small parts are read together.
+    """
     spark, path = df.sparkSession, scratch(df.sparkSession)
     writer = df.write.option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def slices(batch: pa.RecordBatch, column: int | None, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -243,15 +243,16 @@ def smallest_reachable(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Each round every node takes the smallest label around it and then the label
     of its label, so long chains shorten by halves. Rounds are cut by
-    checkpoint(); only the number of changed labels comes to the driver.
+    written tables; only the number of changed labels comes to the driver.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).withColumnRenamed("a", "id").checkpoint()
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = materialise(both)
+    labels = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")).withColumnRenamed("a", "id"))
     for _ in range(most):
         near = both.join(labels.withColumnsRenamed({"id": "b"}), "b").groupBy("a").agg(F.min("c").alias("m")).withColumnRenamed("a", "id")
         hooked = labels.join(near, "id").select("id", "c", F.least("c", "m").alias("m"))
         jump = labels.select(F.col("id").alias("m"), F.col("c").alias("j"))
-        after = hooked.join(jump, "m", "left").select("id", F.least("m", F.coalesce("j", "m")).alias("n"), "c").checkpoint()
+        after = materialise(hooked.join(jump, "m", "left").select("id", F.least("m", F.coalesce("j", "m")).alias("n"), "c"))
         labels = after.select("id", F.col("n").alias("c"))
         if after.where(F.col("n") != F.col("c")).isEmpty():
             return labels.withColumnRenamed("c", "component")
@@ -271,7 +272,7 @@ def _with_leaders(rows: DataFrame, signs: DataFrame, likely: float) -> DataFrame
     A bucket's leader is the member that meets most others over all its buckets,
     so a text that many copies were made from leads nearly all of theirs. ``signs``: id, sig.
     """
-    rows = rows.checkpoint()
+    rows = materialise(rows)
     sized = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
     degree = rows.join(sized, "h").groupBy("id").agg(F.sum("n").alias("degree"))
     lead = rows.join(degree, "id").groupBy("h").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), F.col("c").alias("lc"))).alias("lead"))
@@ -288,10 +289,10 @@ def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     if labels is None:
         return smallest_reachable(edges)
     of = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
-    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct().checkpoint()
+    ends = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).distinct()
     moved = smallest_reachable(ends).select(F.col("id").alias("component"), F.col("component").alias("final"))
     all_ids = labels.unionByName(moved.select(F.col("component").alias("id"), "component").join(labels, "id", "left_anti"))
-    return all_ids.join(moved, "component", "left").select("id", F.coalesce("final", "component").alias("component")).checkpoint()
+    return materialise(all_ids.join(moved, "component", "left").select("id", F.coalesce("final", "component").alias("component")))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", n: int = SHINGLE, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -330,7 +331,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", n: i
 
     def sets_named(ids: DataFrame) -> DataFrame:
         """Full sets of the ids, made again from the texts of one document each."""
-        wanted = heads.select("id", "fp", F.col("doc_id").alias("d")).join(ids.distinct(), "id", "left_semi").checkpoint()
+        wanted = materialise(heads.select("id", "fp", F.col("doc_id").alias("d")).join(ids.distinct(), "id", "left_semi"))
         texts = docs.select("doc_id", text)
         texts = texts.join(wanted.select("d").distinct(), texts["doc_id"].eqNullSafe(F.col("d")), "left_semi")
         return pack(texts).select("fp", "s").join(wanted.select("id", "fp"), "fp").dropDuplicates(["id"]).select("id", "s")
@@ -338,20 +339,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", n: i
     labels, tested = None, None
     for _ in range(LEADER_ROUNDS):
         star = _with_leaders(_unsettled(shared, labels), signs, likely)
-        star = (star if tested is None else star.join(tested, ["a", "b"], "left_anti")).checkpoint()
+        star = materialise((star if tested is None else star.join(tested, ["a", "b"], "left_anti")))
         if star.isEmpty():
             break
         tested = star if tested is None else tested.unionByName(star)
-        labels = _merged(labels, confirm(star, materialise(sets_named(star.select(F.explode(F.array("a", "b")).alias("id")))), percent).checkpoint())
+        labels = _merged(labels, materialise(confirm(star, materialise(sets_named(star.select(F.explode(F.array("a", "b")).alias("id")))), percent)))
 
     # what is left: pairs of one bucket that are in different components and were not compared
-    split = _unsettled(shared, labels).distinct().checkpoint()
+    split = materialise(_unsettled(shared, labels).distinct())
     if not split.isEmpty():
         sets = materialise(_wide(sets_named(split.select("id"))))
         rest = _open_pairs(split, sets.drop("s"), percent / 100 - WIDE_SLACK).distinct()
-        rest = (rest if tested is None else rest.join(tested, ["a", "b"], "left_anti")).checkpoint()
+        rest = materialise((rest if tested is None else rest.join(tested, ["a", "b"], "left_anti")))
         if not rest.isEmpty():
-            labels = _merged(labels, confirm(rest, sets.select("id", "s"), percent).checkpoint())
+            labels = _merged(labels, materialise(confirm(rest, sets.select("id", "s"), percent)))
     found = labels if labels is not None else spark.createDataFrame([], "id long, component long")
     grouped = heads.select("id", "fp", "doc_id").join(found, "id", "left").withColumn("group_id", F.coalesce("component", "id"))
     smallest = grouped.groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
