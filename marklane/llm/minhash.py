@@ -209,7 +209,7 @@ def _open_pairs(split: DataFrame, wide: DataFrame, least: float) -> DataFrame:
     """
     words = [F.coalesce(w, F.lit(0)).alias(w) for w in WIDE_WORDS]
     buckets = split.groupBy("id").agg(F.sort_array(F.collect_set("h")).alias("all"))
-    sizes = split.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = materialise(split.groupBy("h").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
     placed = split.join(sizes, "h").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = placed.join(buckets.join(wide, "id").select("id", "all", *words), "id").select("id", "h", "c", "i", "blocks", "all", *WIDE_WORDS)
     left = rows.withColumn("j", F.explode(F.sequence("i", F.col("blocks") - 1))).drop("blocks")
@@ -260,10 +260,14 @@ def smallest_reachable(edges: DataFrame, most: int = 60) -> DataFrame:
 
 
 def _unsettled(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows (id, h, c) of the buckets that hold more than one component ``c``; buckets are summed up before they are joined back."""
+    """Rows (id, h, c) of the buckets that hold more than one component ``c``.
+
+    Buckets are summed up and written before they are joined back, here and below: a written table of known size is broadcast
+    where it is small, and beyond that both sides come straight from a shuffle, so that AQE can split a hot bucket.
+    """
     named = shared.withColumn("c", F.col("id")) if labels is None else shared.join(labels, "id", "left").select("id", "h", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    return named.join(mixed, "h")
+    return named.join(materialise(mixed), "h")
 
 
 def _with_leaders(rows: DataFrame, signs: DataFrame, likely: float) -> DataFrame:
@@ -273,10 +277,10 @@ def _with_leaders(rows: DataFrame, signs: DataFrame, likely: float) -> DataFrame
     so a text that many copies were made from leads nearly all of theirs. ``signs``: id, sig.
     """
     rows = materialise(rows)
-    sized = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    sized = materialise(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
     degree = rows.join(sized, "h").groupBy("id").agg(F.sum("n").alias("degree"))
     lead = rows.join(degree, "id").groupBy("h").agg(F.max(F.struct("degree", (-F.col("id")).alias("minus"), F.col("c").alias("lc"))).alias("lead"))
-    met = rows.join(lead, "h").where(F.col("c") != F.col("lead.lc")).select("id", (-F.col("lead.minus")).alias("to")).distinct()
+    met = rows.join(materialise(lead), "h").where(F.col("c") != F.col("lead.lc")).select("id", (-F.col("lead.minus")).alias("to")).distinct()
     signed = met.join(signs, "id").join(signs.select(F.col("id").alias("to"), F.col("sig").alias("lead_sig")), "to")
     pairs = signed.select("id", "to", similarity(F.col("sig"), F.col("lead_sig")).alias("est")).where(F.col("est") >= likely)
     best = W.partitionBy("id").orderBy(F.desc("est"), "to")  # BANDS rows at most
@@ -314,7 +318,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", n: i
     signs = heads.select("id", "sig")
     rows = heads.select("id", F.posexplode("bands").alias("k", "band")).select("id", F.xxhash64("k", "band").alias("h"))
     several = rows.groupBy("h").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h")
-    shared = materialise(rows.join(several, "h").select("id", "h"))
+    shared = materialise(rows.join(materialise(several), "h").select("id", "h"))
     likely = percent / 100 - SLACK
 
     def pack(texts: DataFrame) -> DataFrame:
