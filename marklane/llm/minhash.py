@@ -360,6 +360,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, text: str = "text", n: i
     found = labels if labels is not None else spark.createDataFrame([], "id long, component long")
     grouped = heads.select("id", "fp", "doc_id").join(found, "id", "left").withColumn("group_id", F.coalesce("component", "id"))
     smallest = grouped.groupBy("group_id").agg(F.min("doc_id").alias("component_id"))
-    named = grouped.select("fp", "group_id").join(smallest, "group_id")
+    named = grouped.select("fp", "group_id").join(materialise(smallest), "group_id")  # a large group is no one task's work
     out = signed.select("doc_id", "n_shingles", "fp", *carry).join(named, "fp", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group_id", *carry)
