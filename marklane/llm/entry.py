@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, ans, bpe, chat, classifier, html, minhash, mixing, mpeg, sharding
+from . import ann, ans, audit, bpe, chat, classifier, html, minhash, mixing, mpeg, sharding, spelling, urls
 from .common import materialise, table
 
 
@@ -93,6 +93,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("group_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per source, order of the five filters and step; sources without documents have none."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per word of the vocabulary of all documents; none without words."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+#: Rules of operator 13 (host, path, verdict), and the host labels of sites whose pages make its list.
+RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+
+
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per page. The list is made from the pages: the URLs of those on a host with one of LISTED_LABELS; null URLs are allowed."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(F.arrays_overlap(F.split(urls.host_of(F.col("url")), r"\."), F.array(*map(F.lit, LISTED_LABELS))))
+    return urls.judge(pages, listed.select("url"), RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -110,6 +132,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_round_trip": op8,
     "op9_curriculum_mix": op9,
     "op10_bbit_minhash": op10,
+    "op11_multilinear_shapley": op11,
+    "op12_full_neighbourhood": op12,
+    "op13_blocked_bloom": op13,
     "pipeline": pipeline,
 }
 
@@ -198,5 +223,84 @@ pairs AS (
 ), c AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT doc_id, len(s) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id, coalesce(m, doc_id) >= doc_id AS kept
 FROM s LEFT JOIN c ON a = doc_id
+""",
+    "op11_multilinear_shapley": rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents
+), f AS (
+  SELECT d.part,
+    CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 4 ELSE 0 END + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END AS m,
+    EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1) AS good, EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.toxic = 1) AS toxic
+  FROM w d
+), c AS (
+  SELECT part, m, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY part, m
+), o(s) AS (
+  SELECT '' UNION ALL SELECT s || l FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(l) WHERE NOT contains(s, l)
+), st AS (
+  SELECT s AS filter_order, k AS step, 1 << (ascii(s[k]) - 65) AS own,
+    list_sum(list_transform(range(1, 6), lambda j: CASE WHEN j < k THEN 1 << (ascii(s[j]) - 65) ELSE 0 END)) AS before
+  FROM o, range(1, 6) r(k) WHERE length(s) = 5
+), a AS (
+  SELECT part, filter_order, step, own,
+    CAST(sum(CASE WHEN m & (before | own) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN m & own <> 0 AND m & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN m & own <> 0 AND m & before <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN m = own THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN m & own <> 0 AND m & before = 0 THEN g ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN m & own <> 0 AND m & before = 0 THEN x ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM (SELECT part, m, n, g, x, filter_order, step, CAST(own AS BIGINT) AS own, CAST(before AS BIGINT) AS before FROM c, st) GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM a
+""",
+    "op12_full_neighbourhood": r"""
+WITH RECURSIVE crc(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) r(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc WHERE k < 8
+), tab AS (SELECT list(v ORDER BY i) AS t FROM crc WHERE k = 8
+), r AS (
+  SELECT doc_id, w, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS w FROM documents) GROUP BY ALL
+), b AS (
+  SELECT w, c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM r
+), h AS (
+  SELECT w, c, xor(list_reduce(list_transform(range(1, length(x) // 2 + 1), lambda i: CAST('0x' || x[2 * i - 1:2 * i] AS BIGINT)),
+    lambda s, y: xor(s >> 8, t[xor(s & 255, y) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM b, tab
+), p AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS word, c FROM h
+), v AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM p WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2
+), d AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS s FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)
+), near AS (
+  SELECT x.word, y.word AS near, y.n AS near_n FROM d x JOIN d y ON x.i = y.i AND x.s = y.s AND x.word <> y.word
+  UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.s = v.word
+  UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.s = v.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(near_n) AS top FROM near GROUP BY word
+), one AS (
+  SELECT b.word, n_near, top, min(near) AS form FROM best b JOIN near USING (word) WHERE near_n = top GROUP BY ALL
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * n THEN form END AS form, CASE WHEN top >= 10 * n THEN top END AS form_n FROM v LEFT JOIN one USING (word)
+), chain(word, spot) AS (
+  SELECT word, word FROM f UNION ALL SELECT c.word, f.form FROM chain c JOIN f ON c.spot = f.word WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, e.spot AS root, f.n, f.n_near, f.form_n FROM f JOIN (SELECT c.word, c.spot FROM chain c JOIN f ON c.spot = f.word AND f.form IS NULL) e ON e.word = f.word
+""",
+    "op13_blocked_bloom": f"""
+WITH u AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), p AS (
+  SELECT page_id, url, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path,
+    list_sort(list_filter(string_split(regexp_extract(r, '^[^?#]*[?]([^#]*)', 1), '&'), lambda q: q <> '' AND NOT starts_with(q, 'utm_') AND split_part(q, '=', 1) NOT IN ('ref', 'fbclid', 'gclid'))) AS q FROM u
+), c AS (
+  SELECT page_id, host, path, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www[.]', '') || regexp_replace(path, '/+$', '') || CASE WHEN len(q) > 0 THEN '?' || array_to_string(q, '&') ELSE '' END END AS key FROM p
+), l AS (
+  SELECT DISTINCT key FROM c WHERE key IS NOT NULL AND list_has_any(string_split(host, '.'), {list(LISTED_LABELS)})
+), k AS (
+  SELECT page_id, host, path, key, CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/' WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM c
+)
+SELECT page_id, host, path, rule, CASE rule WHEN 'example.com/de/' THEN 'block' WHEN 'net/' THEN 'block' WHEN 'example.net/en/' THEN 'allow' WHEN 'org/fr/' THEN 'allow'
+  ELSE CASE WHEN l.key IS NULL THEN 'allow' ELSE 'block' END END AS verdict FROM k LEFT JOIN l ON k.key = l.key
 """,
 }
