@@ -2,68 +2,139 @@
 
 from __future__ import annotations
 
-import bisect
 import math
+from collections import deque
+from collections.abc import Iterable, Iterator
+from itertools import batched, groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..model import COLUMNS, KEY, reindexed, written
+from ..model import COLUMNS, KEY, reindexed, to_arrow, written
 from .joining import boundaries
 from .selection import last_span
 
 
-def snap(edges: list, t, threshold) -> None:
-    """Move the nearer edge of the interval around ``t`` to it, if within ``threshold`` (a tie moves the start).
+def _swept(target: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
+    """The intervals of ``target`` with their boundaries moved to the timepoints (grid_id, t) of their grid, one tier after the other.
 
-    Before the first and behind the last edge the distance must be below the threshold.
+    Timepoints are taken in order, and each moves the nearer edge of the interval around it, if within ``threshold`` (a tie moves the start; before the first
+    and behind the last edge the distance must be below it). Each sees what the ones before it moved. Edges and timepoints
+    that follow each other at more than the threshold cannot influence each other, so the order of times is cut there into islands,
+    which are swept apart, in any number of tasks. Without a limit a tier is one island. A sweep streams: it holds the timepoints up to the next edge.
+    Intervals that do not last any more go.
     """
-    at = bisect.bisect_left(edges, t)
-    if at < len(edges) and edges[at] == t:
-        return
-    if at == 0:
-        if edges[0] - t < threshold:
-            edges[0] = t
-    elif at == len(edges):
-        if t - edges[-1] < threshold:
-            edges[-1] = t
+    kind = target.schema["t0"].dataType
+    along = W.partitionBy(*KEY).orderBy("idx")
+    last = F.lead("idx").over(along).isNull()
+    edge = lambda t, k, final: F.struct(F.col(t).alias("t"), k.cast("long").alias("k"), final.alias("final"))
+    ranked = target.withColumn("_k", F.row_number().over(along) - 1).withColumn("_last", last)
+    both = F.when(F.col("_last"), F.array(edge("t0", F.col("_k"), F.lit(False)), edge("t1", F.col("_k") + 1, F.lit(True)))).otherwise(F.array(edge("t0", F.col("_k"), F.lit(False))))
+    edges = ranked.select(*KEY, F.explode(both).alias("e")).select(*KEY, "e.t", "e.k", "e.final")
+    times = target.select(*KEY).distinct().join(points, "grid_id").select(*KEY, F.col("t").cast(kind).alias("t"), F.lit(None).cast("long").alias("k"), F.lit(None).cast("boolean").alias("final"))
+    items = edges.unionByName(times)
+    ordered = W.partitionBy(*KEY).orderBy("t", F.col("k").asc_nulls_last())
+    if threshold == math.inf:
+        items = items.withColumn("_island", F.lit(0).cast("long"))
     else:
-        before, behind = t - edges[at - 1], edges[at] - t
-        if before <= behind:
-            if before <= threshold:
-                edges[at - 1] = t
-        elif behind <= threshold:
-            edges[at] = t
-
-
-def _snapped(target: DataFrame, points: DataFrame, threshold: float) -> DataFrame:
-    """The intervals of ``target`` with their boundaries moved to the timepoints (grid_id, t) of their grid, one tier after the other.
-
-    Timepoints are taken in order and each sees what the ones before it moved, so
-    this is a fold: one tier and its grid's timepoints at a time. Intervals that do not last any more go.
+        apart = F.coalesce(F.col("t") - F.lag("t").over(ordered) > threshold, F.lit(False))
+        items = items.withColumn("_island", F.sum(apart.cast("long")).over(ordered.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    numbered = items.select(*KEY, "_island", "t", "k", "final")
+    at = [numbered.columns.index(c) for c in (*KEY, "_island")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        names, types = moved.fieldNames(), [to_arrow(f.dataType) for f in moved.fields]
+        for part in batched(((key[0], key[1], k, t) for key, of in groupby(rows, key=lambda r: tuple(r[i] for i in at)) for k, t in sweep(((r[3], r[4], r[5]) for r in of), threshold)), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*part, strict=True), types, strict=True)], names=names)
+
+    moved = T.StructType([target.schema[KEY[0]], target.schema[KEY[1]], T.StructField("_k", T.LongType()), T.StructField("_t", kind)])
+    spread = numbered.repartition(*KEY, "_island").sortWithinPartitions(*KEY, "_island", "t", F.col("k").asc_nulls_last())
+    swept = spread.mapInArrow(run, moved)
+    by_k = W.partitionBy(*KEY).orderBy("_k")
+    ends = swept.withColumn("_to", F.lead("_t").over(by_k)).where("_to is not null")
+    back = ranked.drop("t0", "t1", "_last").join(ends.withColumnsRenamed({"_t": "t0", "_to": "t1"}), [*KEY, "_k"])
+    return reindexed(back.where("t0 < t1"))
+
+
+def sweep(items: Iterable[tuple], threshold: float) -> Iterator[tuple]:
+    """(k, t) of each edge, where it is in the end. ``items`` is one island in order of time: edges (t, k, final) with their number in the tier, and timepoints (t, None, None).
+
+    Only the last edge that was passed can still move, so this is a scan with one edge in hand and the items up to the next one ahead.
+    Edges of other islands are farther than the threshold.
     """
-    per_tier = target.select(*KEY).distinct().join(points, "grid_id").select(F.col("grid_id").alias("_grid"), F.col("tier_idx").alias("_tier"), "t")
-
-    def fix(rows: pd.DataFrame, times: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        if rows.empty or times.empty:
-            return rows
-        edges = [*rows["t0"].tolist(), rows["t1"].iloc[-1]]
-        for t in sorted(times["t"].tolist()):
-            snap(edges, t, threshold)
-        return rows.assign(t0=edges[:-1], t1=edges[1:])
-
-    fixed = target.groupBy(*KEY).cogroup(per_tier.groupBy("_grid", "_tier")).applyInPandas(fix, target.schema)
-    return reindexed(fixed.where("t0 < t1"))
+    ahead: deque = deque()  # items that were read but not yet passed
+    source = iter(items)
+    hand: tuple | None = None  # (k, t) of the last edge passed
+    final = False  # it is the tier's last one
+    pulled = 0  # edges among the items ahead that moved already
+
+    def next_edge() -> tuple | None:
+        """The first edge ahead that is not passed."""
+        skip = pulled
+        for item in ahead:
+            if item[1] is not None:
+                if not skip:
+                    return item
+                skip -= 1
+        for item in source:
+            ahead.append(item)
+            if item[1] is not None:
+                if not skip:
+                    return item
+                skip -= 1
+        return None
+
+    while True:
+        if not ahead:
+            if (item := next(source, None)) is None:
+                break
+            ahead.append(item)
+        t, k, is_final = ahead.popleft()
+        if k is not None:
+            if pulled:
+                pulled -= 1
+                continue
+            if hand is not None:
+                yield hand
+            hand, final = (k, t), is_final
+            continue
+        nearest = next_edge()
+        if nearest is not None and nearest[0] == t or hand is not None and hand[1] == t:
+            continue
+        before = t - hand[1] if hand is not None else None
+        behind = nearest[0] - t if nearest is not None else None
+        if before is None and behind is None:
+            continue
+        if before is None:  # nothing before it in the island: the tier's first edge, or the rest is too far
+            take_next = behind < threshold if nearest[1] == 0 else behind <= threshold
+            take_hand = False
+        elif behind is None:
+            take_next = False
+            take_hand = before < threshold if final else before <= threshold
+        else:
+            take_hand = before <= behind and before <= threshold
+            take_next = before > behind and behind <= threshold
+        if take_hand:
+            hand = (hand[0], t)
+        elif take_next:
+            if hand is not None:
+                yield hand
+            hand, final = (nearest[1], t), nearest[2]
+            pulled += 1
+    if hand is not None:
+        yield hand
 
 
 def fix_boundaries(intervals: DataFrame, reference_tier: str, tiers: list[str], threshold: float = 0.005) -> DataFrame:
-    """Move boundaries of the target tiers to those of the reference tier (see ``snap``). Tiers without a reference stay as they are."""
+    """Move boundaries of the target tiers to those of the reference tier (see ``_swept``). Tiers without a reference stay as they are."""
     hit = F.coalesce(F.col("tier_name").isin(tiers), F.lit(False))
     target, rest = intervals.where(hit).select(*COLUMNS), intervals.where(~hit).select(*COLUMNS)
-    return _snapped(target, boundaries(intervals, reference_tier), threshold).unionByName(rest)
+    return _swept(target, boundaries(intervals, reference_tier), threshold).unionByName(rest)
 
 
 def sync_to_audio(intervals: DataFrame, audio: DataFrame) -> DataFrame:
@@ -158,7 +229,7 @@ def merge_grids(intervals: DataFrame, merged_id, order: str = "grid_id", separat
     out = written(out)
     reference, others = out.where("_leads").select(*COLUMNS), out.where("not _leads").select(*COLUMNS)
     points = reference.select("grid_id", F.explode(F.array("t0", "t1")).alias("t")).distinct()
-    return alone.select(*COLUMNS).unionByName(reference).unionByName(_snapped(others, points, math.inf))
+    return alone.select(*COLUMNS).unionByName(reference).unionByName(_swept(others, points, math.inf))
 
 
 def round_times(intervals: DataFrame, digits: int) -> DataFrame:

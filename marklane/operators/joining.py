@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import COLUMNS, KEY, TIER, P, duration, in_marks, is_pause, on_tiers, reindexed, stream_tiers, text_of
+from . import packing
+from .lookup import asof
 
 # Punctuation that joins to its neighbour by default, and marks that never take any.
 JOIN_SYMBOLS = list("!\"#$%&'()*+,-./:;<=>?@[\\]{}~`、。？！：；।¿¡【】，…‥「」『』〝〟″⟨⟩♪・‹›«»～′“”")
@@ -97,25 +100,58 @@ def join_by_boundary(intervals: DataFrame, boundary_tier: str, tiers: list[str],
     return on_tiers(intervals, tiers, op)
 
 
-def join_by_duration(intervals: DataFrame, longest: float = 10, include_pauses: bool = False, tiers: list[str] | None = None, join_with: str = " ", keep_empty: bool = False) -> DataFrame:
+def join_by_duration(intervals: DataFrame, longest: float = 10, include_pauses: bool = False, tiers: list[str] | None = None, join_with: str = " ", keep_empty: bool = False, width: float | None = None) -> DataFrame:
     """Pack neighbours greedily up to ``longest``.
 
     With ``include_pauses`` all durations count. Without, what is measured runs from a chunk's first to its last
     content, and pauses at its ends stay single. An interval that is too long by itself is a chunk of its own.
+
+    Ticks are packed by lookups and jumps (``packing.chunk_starts``; ``width`` of time spreads a long tier over tasks). With doubles every sum of durations is
+    rounded, so that the result depends on the order of adding: those are folded from left to right, a row at a time.
     """
     if longest <= 0:
         raise ValueError("the duration must be positive")
-    limit = math.inf if longest == math.inf else longest
+    exact = isinstance(intervals.schema["t0"].dataType, T.IntegralType)
+
+    def op(d: DataFrame) -> DataFrame:
+        rows = d.withColumn("_pause", F.lit(False) if include_pauses else is_pause())
+        packed = _packed(rows, longest, width) if exact else _folded(rows, longest, include_pauses)
+        if not include_pauses:
+            by = W.partitionBy(*KEY, "chunk")
+            inside = F.when(~F.col("_pause"), F.col("idx"))
+            lo, hi = F.min(inside).over(by), F.max(inside).over(by)
+            core = packed.withColumn("_in", F.coalesce((F.col("idx") >= lo) & (F.col("idx") <= hi), F.lit(False)))
+            start = ~F.col("_in") | ~F.coalesce(F.lag("_in").over(P()), F.lit(False)) | (F.col("chunk") != F.lag("chunk").over(P()))
+            packed = chunks_by(start, core.withColumn("_c", F.col("chunk")).drop("chunk").withColumnRenamed("_c", "chunk"))
+        return merge_chunks(packed.select(*COLUMNS, "chunk"), join_with, keep_empty)
+
+    return on_tiers(intervals, tiers, op)
+
+
+def _packed(rows: DataFrame, longest: float, width: float | None) -> DataFrame:
+    """Append ``chunk``, the start time of the chunk of each row; -1 and less for pauses before all contents."""
+    content = rows.where(~F.col("_pause"))
+    if longest >= 2**62:
+        starts = content.groupBy(*KEY).agg(F.min("t0").alias("t"))
+    else:
+        starts = packing.chunk_starts(content, math.floor(longest), width)
+    found = asof(rows, starts, KEY, F.col("t0"), "t", "_c", width=width)
+    return found.withColumn("chunk", F.coalesce(F.col("_c.t").cast("long"), F.lit(-(2**63)).cast("long"))).drop("_c")
+
+
+def _folded(rows: DataFrame, longest: float, include_pauses: bool) -> DataFrame:
+    """Append ``chunk`` by a fold that adds durations in their order."""
 
     def all_counts():
-        state = [None, 0]
+        total, chunk = None, 0
 
         def fold(d, pause):
-            if state[0] is not None and state[0] + d <= limit:
-                state[0] += d
+            nonlocal total, chunk
+            if total is not None and total + d <= longest:
+                total += d
             else:
-                state[:] = d, state[1] + 1
-            return state[1]
+                total, chunk = d, chunk + 1
+            return chunk
 
         return fold
 
@@ -125,7 +161,7 @@ def join_by_duration(intervals: DataFrame, longest: float = 10, include_pauses:
         def fold(d, pause):
             nonlocal content, pending, seen, chunk, begun
             new = content if pause else content + pending + d if seen else d
-            if begun and new <= limit:
+            if begun and new <= longest:
                 content, pending, seen = (content, pending + d, seen) if pause else (new, 0, True)
             else:
                 chunk, begun = chunk + 1, True
@@ -134,19 +170,8 @@ def join_by_duration(intervals: DataFrame, longest: float = 10, include_pauses:
 
         return fold
 
-    def op(d: DataFrame) -> DataFrame:
-        rows = d.withColumns({"_d": duration(), "_pause": is_pause()})
-        folded = stream_tiers(rows, ["_d", "_pause"], all_counts if include_pauses else content_counts, T.StructField("chunk", T.LongType()))
-        if not include_pauses:
-            by = W.partitionBy(*KEY, "chunk")
-            inside = F.when(~F.col("_pause"), F.col("idx"))
-            lo, hi = F.min(inside).over(by), F.max(inside).over(by)
-            core = folded.withColumn("_in", F.coalesce((F.col("idx") >= lo) & (F.col("idx") <= hi), F.lit(False)))
-            start = ~F.col("_in") | ~F.coalesce(F.lag("_in").over(P()), F.lit(False)) | (F.col("chunk") != F.lag("chunk").over(P()))
-            folded = chunks_by(start, core.withColumn("_c", F.col("chunk")).drop("chunk").withColumnRenamed("_c", "chunk"))
-        return merge_chunks(folded.select(*COLUMNS, "chunk"), join_with, keep_empty)
-
-    return on_tiers(intervals, tiers, op)
+    step = all_counts if include_pauses else content_counts
+    return stream_tiers(rows.withColumn("_d", duration()), ["_d", "_pause"], step, T.StructField("chunk", T.LongType()))
 
 
 def join_marks(intervals: DataFrame, marks: list[str], empty: bool = False, tiers: list[str] | None = None, join_with: str = " ", keep_empty: bool = False) -> DataFrame:
@@ -184,36 +209,24 @@ def join_symbols(intervals: DataFrame, mode: str = "right", symbols: list[str] |
     return on_tiers(intervals, tiers, op)
 
 
+#: Rows that are stepped through as one array, and such blocks whose functions are composed at once.
+BLOCK, BLOCKS = 2048, 1024
+
+
 def join_template(intervals: DataFrame, template: list[str], boundary_tier: str | None = None, tiers: list[str] | None = None, join_with: str = " ", keep_empty: bool = False) -> DataFrame:
     """Join each occurrence of a fixed sequence of marks, found from left to right.
 
     After a mismatch the search starts again at the present interval, without going back; an interval that starts on a
     boundary of ``boundary_tier`` begins anew.
     """
-    if not template:
-        raise ValueError("the template is empty")
+    if not 0 < len(template) < 31:
+        raise ValueError("a template has 1 to 30 marks")
     n = len(template)
-
-    def start():
-        k = 0
-
-        def fold(mark, bound):
-            nonlocal k
-            k = 0 if bound else k
-            k = k + 1 if mark == template[k] else 1 if mark == template[0] else 0
-            if k == n:
-                k = 0
-                return True
-            return False
-
-        return fold
-
     bounds = boundaries(intervals, boundary_tier) if boundary_tier else None
 
     def op(d: DataFrame) -> DataFrame:
         rows = d.withColumn("_bound", F.lit(False)) if bounds is None else _at_boundary(d, bounds)
-        rows = rows.withColumn("_m", text_of())
-        ends = stream_tiers(rows, ["_m", "_bound"], start, T.StructField("_end", T.BooleanType()))
+        ends = _template_ends(rows, template)
         ahead = F.max(F.col("_end").cast("int")).over(P().rowsBetween(0, n - 1)) == 1
         begins = F.coalesce(F.lead("_end", n - 1).over(P()), F.lit(False))
         return merge_chunks(chunks_by(~ahead | begins, ends).select(*COLUMNS, "chunk"), join_with, keep_empty)
@@ -221,6 +234,38 @@ def join_template(intervals: DataFrame, template: list[str], boundary_tier: str
     return on_tiers(intervals, tiers, op)
 
 
+def _template_ends(rows: DataFrame, template: list[str]) -> DataFrame:
+    """Append ``_end``: whether an occurrence ends at the row.
+
+    The search is an automaton whose state is the number of marks found. A block of rows maps each state at its begin to one at
+    its end; these functions are composed along the tier, first inside groups of blocks and then over the groups, and
+    each block is stepped through again from the state that it begins with.
+    """
+    n = len(template)
+    fits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(text_of() == m, 1 << i).otherwise(0) for i, m in enumerate(template)])
+    coded = rows.withColumn("_x", F.when(F.col("_bound"), fits.bitwiseOR(F.lit(1 << n))).otherwise(fits))
+    at = lambda k: f"if((x._x & {1 << n}) <> 0, 0, {k})"
+    step = lambda k: f"if((x._x & shiftleft(1, {at(k)})) <> 0, ({at(k)} + 1) % {n}, if((x._x & 1) <> 0, {1 % n}, 0))"
+    full = lambda k: f"(x._x & {1 << (n - 1)}) <> 0 and {at(k)} = {n - 1}"
+    states = f"sequence(0, {n - 1})"
+    held = F.array_sort(F.collect_list(F.struct("idx", *[c for c in coded.columns if c not in (*KEY, "idx")])))
+    blocks = coded.groupBy(*KEY, F.expr(f"idx div {BLOCK}").alias("_b")).agg(held.alias("_r"))
+    maps = blocks.select(*KEY, "_b", F.expr(f"transform({states}, k0 -> aggregate(_r, k0, (k, x) -> {step('k')}))").alias("f"))
+    compose = "transform({0}, k0 -> aggregate({1}, k0, (k, g) -> g.f[k]))"
+    groups = maps.groupBy(*KEY, F.expr(f"_b div {BLOCKS}").alias("_g")).agg(F.array_sort(F.collect_list(F.struct("_b", "f"))).alias("_of"))
+    along = groups.withColumn("f", F.expr(compose.format(states, "_of"))).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("_g", "f", "_of"))).alias("_all"))
+    begun = "aggregate({1}, named_struct('k', {0}, 'seen', cast(array() as array<int>)), (s, g) -> named_struct('k', g.f[s.k], 'seen', array_append(s.seen, s.k)), s -> s.seen)"
+    by_group = along.select(*KEY, F.explode(F.arrays_zip("_all", F.expr(begun.format("0", "_all")).alias("k"))).alias("z")).select(*KEY, F.col("z._all._of").alias("_of"), F.col("z.k").alias("k0"))
+    entered = by_group.select(*KEY, F.explode(F.arrays_zip("_of", F.expr(begun.format("k0", "_of")).alias("k"))).alias("z")).select(*KEY, F.col("z._of._b").alias("_b"), F.col("z.k").alias("_k"))
+    ends = (
+        f"aggregate(_r, named_struct('k', _k, 'i', 0, 'found', cast(array() as array<int>)), (s, x) -> named_struct('k', {step('s.k')}, 'i', s.i + 1, "
+        f"'found', if({full('s.k')}, array_append(s.found, s.i), s.found)), s -> s.found)"
+    )
+    run = blocks.join(entered, [*KEY, "_b"]).select(*KEY, "_r", F.expr(ends).alias("_found"))
+    flat = run.select(*KEY, "_found", F.posexplode("_r").alias("_i", "x"))
+    return flat.select(*KEY, *[F.col("x")[c].alias(c) for c in coded.columns if c not in KEY], F.array_contains("_found", F.col("_i")).alias("_end"))
+
+
 def content_runs(intervals: DataFrame) -> DataFrame:
     """(grid_id, tier_idx, run, is_content, first, last): alternating runs of contents and pauses."""
     rows = intervals.withColumn("is_content", ~is_pause())

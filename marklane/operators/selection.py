@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import COLUMNS, KEY, P, duration, in_marks, of_tiers, text_of
+from .lookup import asof
 
 
 def tiers_named(intervals: DataFrame, names: list[str]) -> DataFrame:
@@ -50,25 +51,18 @@ def part_of(intervals: DataFrame, lo: float, hi: float) -> DataFrame:
     return intervals.where(((F.col("t0") >= lo) & (F.col("t0") < hi)) | ((F.col("t1") > lo) & (F.col("t1") <= hi)))
 
 
-def last_span(intervals: DataFrame, spans: DataFrame, out: str = "_span") -> DataFrame:
+def last_span(intervals: DataFrame, spans: DataFrame, out: str = "_span", width: float | None = None) -> DataFrame:
     """Append ``out``, the struct of the columns of the last span (grid_id, lo, ...) of the grid that starts at or before the interval; null if none does.
 
-    Spans and intervals are put in one order of times, and a running value along the grid finds the span: one sort, and no join of
-    all spans with all intervals.
+    See ``lookup.asof``, also for ``width``.
     """
-    of = [c for c in spans.columns if c != "grid_id"]
-    nothing = F.lit(None).cast(spans.select(F.struct(*of)).schema[0].dataType)
-    rows = intervals.select("grid_id", F.col("t0").alias("_t"), F.lit(1).alias("_kind"), F.struct(*intervals.columns).alias("_row"), nothing.alias("_s"))
-    starts = spans.select("grid_id", F.col("lo").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.struct(*of).alias("_s"))
-    order = W.partitionBy("grid_id").orderBy("_t", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
-    both = starts.unionByName(rows).withColumn("_s", F.last("_s", ignorenulls=True).over(order)).where("_kind = 1")
-    return both.select(*[F.col("_row")[c].alias(c) for c in intervals.columns], F.col("_s").alias(out))
+    return asof(intervals, spans, ["grid_id"], F.col("t0"), "lo", out, width=width)
 
 
-def within_spans(intervals: DataFrame, spans: DataFrame) -> DataFrame:
+def within_spans(intervals: DataFrame, spans: DataFrame, width: float | None = None) -> DataFrame:
     """Intervals that lie in a span (grid_id, lo, hi, ...), with the span's columns. The spans of a grid must not overlap."""
     of = [c for c in spans.columns if c != "grid_id"]
-    hit = last_span(intervals, spans).where(F.col("t1") <= F.col("_span.hi"))
+    hit = last_span(intervals, spans, width=width).where(F.col("t1") <= F.col("_span.hi"))
     return hit.select(*intervals.columns, *[F.col("_span")[c].alias(c) for c in of])
 
 

@@ -6,12 +6,13 @@ import math
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import COLUMNS, KEY, duration, in_marks, text_of
+from ..model import COLUMNS, KEY, duration, in_marks, text_of, written
 from .marks import assign_from
+from .orderstats import at_ranks
 
 
 def vocabulary(intervals: DataFrame, ignore: list[str] = ("", " ")) -> DataFrame:
@@ -25,9 +26,14 @@ def grid_durations(intervals: DataFrame) -> DataFrame:
 
 
 def duration_stats(durations: DataFrame, column: str = "duration") -> DataFrame:
-    """One row: number, min, median, max, mean, population deviation and kurtosis (Fisher, biased), sum."""
+    """One row: number, min, median, max, mean, population deviation and kurtosis (Fisher, biased), sum. The median is exact (``orderstats``); without durations there is no row."""
     d = F.col(column)
-    return durations.agg(F.count(d).alias("n"), F.min(d).alias("shortest"), F.median(d).alias("median"), F.max(d).alias("longest"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("sd"), F.kurtosis(d).alias("kurtosis"), F.sum(d).alias("total"))
+    durations = written(durations.select(d.alias(column)))
+    rest = durations.agg(F.count(d).alias("n"), F.min(d).alias("shortest"), F.max(d).alias("longest"), F.avg(d).alias("mean"), F.stddev_pop(d).alias("sd"), F.kurtosis(d).alias("kurtosis"), F.sum(d).alias("total"))
+    middle = at_ranks(durations, [], column, [lambda n: F.floor((n - 1) / 2), lambda n: F.ceil((n - 1) / 2)])
+    median = (F.col("stats")[0].cast("double") + F.col("stats")[1].cast("double")) / 2
+    out = rest.join(middle.select("n", median.alias("median")), "n")
+    return out.select("n", "shortest", "median", "longest", "mean", "sd", "kurtosis", "total")
 
 
 def marks_table(intervals: DataFrame) -> DataFrame:
@@ -71,7 +77,7 @@ def duration_bounds(intervals: DataFrame, scope: list[str], lo: float, hi: float
     """(scope..., [mark], n, lo, hi): cut-offs of the durations of each scope (and mark) with ``min_count`` intervals.
 
     ``percent``: of the longest duration. ``percentile``: of the distribution. ``absolute``: as given. Infinite stays.
-    The distribution of a group is reduced to (duration, count) pairs before it is brought together.
+    The distribution of a group is reduced to (duration, count) pairs, and only the ranges around its cut-offs are brought together.
     """
     keys = [*scope, *(["mark"] if per_mark else [])]
     rows = intervals.withColumn("mark", text_of()).withColumn("_d", duration())
@@ -88,30 +94,18 @@ def duration_bounds(intervals: DataFrame, scope: list[str], lo: float, hi: float
 
 
 def _percentiles(rows: DataFrame, keys: list[str], lo: float, hi: float) -> DataFrame:
-    """Percentiles from counts of distinct durations: the two order statistics around each position are looked up by running counts."""
-    counts = rows.groupBy(*keys, "_d").agg(F.count(F.lit(1)).alias("_c"))
-    whole = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    run = counts.withColumn("_to", F.sum("_c").over(whole.orderBy("_d"))).withColumn("n", F.sum("_c").over(whole))
-
-    def at(k: Column) -> Column:
-        return F.max(F.when((F.col("_to") - F.col("_c") <= k) & (k < F.col("_to")), F.col("_d"))).cast("double")
-
-    aggs = []
-    for name, p in (("lo", lo), ("hi", hi)):
-        if p == math.inf:
-            continue
+    """Percentiles with linear interpolation between the two order statistics around each position (``orderstats``)."""
+    asked = [(name, p) for name, p in (("lo", lo), ("hi", hi)) if p != math.inf]
+    ranks = []
+    for _, p in asked:
+        ranks += [lambda n, p=p: F.floor((n - 1) * F.lit(p / 100)), lambda n, p=p: F.least(F.floor((n - 1) * F.lit(p / 100)) + 1, n - 1)]
+    out = at_ranks(rows, keys, "_d", ranks or [lambda n: F.lit(0)])
+    bounds = {name: F.lit(math.inf) for name in ("lo", "hi")}
+    for i, (name, p) in enumerate(asked):
         pos = (F.col("n") - 1) * F.lit(p / 100)
-        i = F.floor(pos)
-        aggs += [at(i).alias(f"_{name}a"), at(F.least(i + 1, F.col("n") - 1)).alias(f"_{name}b")]
-    out = run.groupBy(*keys, "n").agg(*aggs) if aggs else run.select(*keys, "n").distinct()
-    for name, p in (("lo", lo), ("hi", hi)):
-        if p == math.inf:
-            out = out.withColumn(name, F.lit(math.inf))
-            continue
-        pos = (F.col("n") - 1) * F.lit(p / 100)
-        t, a, b = pos - F.floor(pos), F.col(f"_{name}a"), F.col(f"_{name}b")
-        out = out.withColumn(name, F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t))
-    return out.select(*keys, "n", "lo", "hi")
+        t, a, b = pos - F.floor(pos), F.col("stats")[2 * i].cast("double"), F.col("stats")[2 * i + 1].cast("double")
+        bounds[name] = F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t)
+    return out.select(*keys, "n", bounds["lo"].alias("lo"), bounds["hi"].alias("hi"))
 
 
 def _with_bounds(considered: DataFrame, scope: list[str], lo: float, hi: float, range_mode: str = "percentile", per_mark: bool = True, min_count: int = 1) -> DataFrame:

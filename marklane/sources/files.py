@@ -17,8 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import written
 
-def _opened(folder: str) -> tuple[fs.FileSystem, str]:
+
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
     if "://" in folder or folder.startswith("file:"):
         return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder.removeprefix("file:"))
     return fs.LocalFileSystem(), folder
@@ -38,7 +40,7 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
     """Write ``content`` (binary) to the path ``name`` below ``folder``: (name, size) of the files written. Null contents are passed over; equal names: one of them stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = _opened(folder)
+        system, base = opened(folder)
         for batch in batches:
             done = []
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
@@ -48,8 +50,7 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
                     done.append((name.as_py(), len(raw)))
             yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["name", "size"])
 
-    written = files.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(run, "name string, size long")
-    return files.sparkSession.createDataFrame(written.toArrow())  # the writing happens here, once; names and sizes come back
+    return written(files.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(run, "name string, size long"))  # the writing happens here, once
 
 
 def copy_files(paths: DataFrame, folder: str) -> DataFrame:
@@ -60,7 +61,7 @@ def copy_files(paths: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             lost = []
             for path in batch.column(0).to_pylist():
-                system, at = _opened(path) if path else (None, None)
+                system, at = opened(path) if path else (None, None)
                 if system is None or system.get_file_info(at).type != fs.FileType.File:
                     lost.append(path)
             yield pa.RecordBatch.from_arrays([pa.array(lost, pa.string())], names=["path"])
@@ -71,7 +72,7 @@ def copy_files(paths: DataFrame, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                system, at = _opened(path)
+                system, at = opened(path)
                 with system.open_input_stream(at) as f:
                     yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([f.read()], pa.binary())], names=["name", "content"])
 

@@ -10,15 +10,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import written
 from ..operators.validation import invalid_grids
-from .files import copy_files, write_files
+from .files import copy_files
 
 # Fixed values of the file format.
 SUFFIX_GLOB = "*.[tT][eE][xX][tT][gG][rR][iI][dD]"
@@ -87,19 +88,29 @@ def read_grids(spark: SparkSession, folder: str, encoding: str = "utf-8") -> Dat
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", SUFFIX_GLOB).load(folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split(" ")[0] for c in SCHEMA.split(", ")]
-        kinds = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.string()]
         for batch in batches:
             for grid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                try:
-                    rows = list(_rows(grid, parse(raw.decode(encoding))))
-                except (ValueError, UnicodeError) as e:
-                    rows = [(grid, *[None] * 9, str(e))]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield from rows_of(grid, raw, encoding)
 
     return files.select(_grid_id(folder).alias("grid_id"), "content").mapInArrow(run, SCHEMA)
 
 
+_NAMES = [c.split(" ")[0] for c in SCHEMA.split(", ")]
+_KINDS = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.string()]
+
+
+def rows_of(grid: str, raw: bytes, encoding: str, tiers: set[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows (SCHEMA) of one file; of the tiers of these names, if given. At most one batch."""
+    try:
+        rows = list(_rows(grid, parse(raw.decode(encoding))))
+    except (ValueError, UnicodeError) as e:
+        rows = [(grid, *[None] * 9, str(e))]
+    if tiers is not None:
+        rows = [r for r in rows if r[2] in tiers]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
+
+
 def _rows(grid: str, found: dict) -> Iterator[tuple]:
     for k, tier in enumerate(found["tiers"]):
         head, tail = (grid, k, tier["name"], tier["kind"]), (found["t0"], found["t1"], None)
@@ -148,35 +159,50 @@ def _tier_lines(k: int, name: str, kind: str, rows: list[tuple[float, float, str
     return out
 
 
+#: The columns of a file's rows, in the order in which ``compose`` takes them.
+FILE_COLUMNS = ["grid_id", "tier_idx", "tier_name", "kind", "idx", "t0", "t1", "mark", "grid_t0", "grid_t1"]
+
+
+def compose(rows: list[tuple]) -> str:
+    """The text of one file from its rows (FILE_COLUMNS), which are sorted by tier and idx."""
+    spans = [(r[8], r[9]) for r in rows if r[8] is not None] or [(r[5], r[6]) for r in rows]
+    lo, hi = min(a for a, _ in spans), max(b for _, b in spans)
+    tiers = [list(g) for _, g in groupby(rows, key=lambda r: r[1])]
+    out = [f'File type = "{_HEADER}"', f'Object class = "{_CLASS}"', "", f"xmin = {number(lo)} ", f"xmax = {number(hi)} ", "tiers? <exists> ", f"size = {len(tiers)} ", "item []: "]
+    for k, tier in enumerate(tiers, 1):
+        out += _tier_lines(k, tier[0][2], tier[0][3], [(r[5], r[6], r[7] or "") for r in tier if r[4] is not None], lo, hi)
+    return "\n".join(out) + "\n"
+
+
+def in_files(rows: DataFrame) -> DataFrame:
+    """FILE_COLUMNS of an interval table, or of what ``read_grids`` gives, with the rows of a file together and in order; rows with an error are left out."""
+    if "kind" not in rows.columns:
+        rows = rows.withColumns({"kind": F.lit("interval"), "grid_t0": F.lit(None).cast("double"), "grid_t1": F.lit(None).cast("double"), "error": F.lit(None).cast("string")})
+    typed = {c: F.col(c).cast("double") for c in ("t0", "t1", "grid_t0", "grid_t1")}
+    rows = rows.where("error is null").withColumns({**typed, "grid_id": F.col("grid_id").cast("string"), "tier_idx": F.col("tier_idx").cast("int"), "idx": F.col("idx").cast("long")})
+    return rows.select(*FILE_COLUMNS).repartition("grid_id").sortWithinPartitions("grid_id", "tier_idx", "idx")
+
+
+def files_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
+    """(grid_id, text) of the files whose rows (FILE_COLUMNS) follow each other; one file is held at a time."""
+    rows = (r for batch in batches for r in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in FILE_COLUMNS), strict=True))
+    for grid, of in groupby(rows, key=lambda r: r[0]):
+        yield grid, compose(list(of))
+
+
 def to_texts(rows: DataFrame) -> DataFrame:
     """(grid_id, text): each grid as a file's text, long layout.
 
     ``rows`` is an interval table, or what ``read_grids`` gives: then point tiers, tiers without intervals and the grid's own
     span are kept, and rows with an error are left out. Null marks are written as empty texts.
-    A grid is one file, so it is put together in one group; its size is that of the file.
+    Rows of a grid are brought together and stream through; a task holds one file at a time.
     """
-    if "kind" not in rows.columns:
-        rows = rows.withColumns({"kind": F.lit("interval"), "grid_t0": F.lit(None).cast("double"), "grid_t1": F.lit(None).cast("double"), "error": F.lit(None).cast("string")})
-    rows = rows.where("error is null").select("grid_id", "tier_idx", "tier_name", "kind", "idx", "t0", "t1", "mark", "grid_t0", "grid_t1")
-
-    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["tier_idx", "idx"])
-        whole = rows["grid_t0"].notna().any()
-        lo, hi = (rows["grid_t0"].min(), rows["grid_t1"].max()) if whole else (rows["t0"].min(), rows["t1"].max())
-        tiers = list(rows.groupby("tier_idx", sort=True))
-        out = [f'File type = "{_HEADER}"', f'Object class = "{_CLASS}"', "", f"xmin = {number(lo)} ", f"xmax = {number(hi)} ", "tiers? <exists> ", f"size = {len(tiers)} ", "item []: "]
-        for k, (_, tier) in enumerate(tiers, 1):
-            held = tier[tier["idx"].notna()]
-            marked = [(a, b, m if isinstance(m, str) else "") for a, b, m in zip(held["t0"], held["t1"], held["mark"], strict=True)]
-            out += _tier_lines(k, tier["tier_name"].iloc[0], tier["kind"].iloc[0], marked, lo, hi)
-        return pd.DataFrame({"grid_id": [key[0]], "text": ["\n".join(out) + "\n"]})
-
-    return rows.groupBy("grid_id").applyInPandas(write, "grid_id string, text string")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for grid, text in files_in(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([grid]), pa.array([text])], names=["grid_id", "text"])
 
-def pending(grids: DataFrame, done: DataFrame, overwrite: bool = False) -> DataFrame:
-    """Grids that still have to be written: those without an output file (grid_id), or all."""
-    return grids if overwrite else grids.join(done.select("grid_id").distinct(), "grid_id", "left_anti")
+    return in_files(rows).mapInArrow(run, "grid_id string, text string")
 
 
 def write_grids(rows: DataFrame, folder: str, changed: DataFrame | None = None, overwrite: bool = True, dry: bool = False, unchanged_from: str | None = None, encoding: str = "utf-8") -> DataFrame:
@@ -198,12 +224,13 @@ def write_grids(rows: DataFrame, folder: str, changed: DataFrame | None = None,
     touched = changed.select(F.col("grid_id").cast("string").alias("grid_id")).distinct().withColumn("_new", F.lit(True)) if changed is not None else grids.select("grid_id", F.lit(True).alias("_new"))
     rest = "copied" if unchanged_from else "unchanged"
     outcome = F.when(F.col("error").isNotNull(), "invalid").when(F.col("_there"), "exists").when(F.col("_new").isNull(), rest).otherwise("written")
-    plan = spark.createDataFrame(grids.join(touched, "grid_id", "left").select("grid_id", outcome.alias("outcome"), "error").toArrow())  # a row per file
+    plan = written(grids.join(touched, "grid_id", "left").select("grid_id", outcome.alias("outcome"), "error"))  # decided before the first file changes
     if dry:
         return plan
-    texts = to_texts(rows.join(plan.where("outcome = 'written'"), "grid_id", "left_semi"))
+    from .datasource import save
+
     name = F.concat("grid_id", F.lit(f".{_CLASS}")).alias("name")
-    write_files(texts.select(name, F.encode("text", encoding).alias("content")), folder)
+    save(rows.join(plan.where("outcome = 'written'"), "grid_id", "left_semi"), folder, encoding)
     if unchanged_from:
         source = list_files(spark, unchanged_from).join(plan.where("outcome = 'copied'"), "grid_id", "left_semi")
         copy_files(source.select("path", name), folder)

@@ -145,14 +145,6 @@ def test_merge_spans(spark):
 
 
 def test_fix_boundaries(spark):
-    edges = [0.0, 1.0, 2.0]
-    for t in (1.1, 1.2):
-        alignment.snap(edges, t, 0.5)
-    assert edges == [0.0, 1.2, 2.0]  # the second point moves what the first one moved
-    for t, threshold, want in ((0.5, 0.5, [0.5, 1.0]), (0.4, 0.1, [0.0, 1.0]), (1.25, 0.25, [0.0, 1.0]), (1.25, 0.5, [0.0, 1.25])):
-        edges = [0.0, 1.0]
-        alignment.snap(edges, t, threshold)
-        assert edges == want
     d = frame(spark, tier([(0, 1, "x"), (1, 2, "y")]), tier([(0, 1.004, "p"), (1.004, 2, "q")], "ref", 1))
     assert out(alignment.fix_boundaries(d, "ref", ["a"])) == [(0.0, 1.004, "x"), (1.004, 2.0, "y")]
 
