@@ -28,8 +28,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MISPRINT, LEAST_LENGTH, LEAST_COUNT, COMMONER = 31, 7, 2, 10
 #: Bits of the filter: BITS_PER_WORD for each word of the vocabulary, between these powers of two (128 KB and 16 MB).
 BITS_PER_WORD, LEAST_BITS, MOST_BITS = 32, 20, 27
-#: Hashes that a task forms at once.
-BLOCK = 1 << 21
+#: Hashes that a task forms at once, and words for each task: about 20 million candidates.
+BLOCK, WORDS_PER_TASK = 1 << 21, 20_000
 
 
 def runs(docs: DataFrame) -> DataFrame:
@@ -98,18 +98,18 @@ def _matrices(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def word_filter(words: DataFrame, letters: list[int], longest: int, size: int) -> np.ndarray:
-    """The filter of the vocabulary's hashes: 2 ** size bits, two for each word, joined in Spark; at most 16 MB come back."""
+    """The filter of the vocabulary's hashes: 2 ** size bits, two for each word, joined in Spark; 8 bytes for each 32 bits of it come back, 32 MB at most."""
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes(letters, longest)
         for batch in batches:
             for _, codes in _matrices(batch.column(0).to_pylist()):
                 at = np.concatenate(_bits(hashes.of(hashes.at(codes)), size))
-                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(5)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(31))).astype(np.int64))], names=["place", "bit"])
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(5)).astype(np.int32)), pa.array((np.uint32(1) << (at & np.uint64(31)).astype(np.uint32)).view(np.int32))], names=["place", "bit"])
 
-    cells = words.select("word").mapInArrow(places, "place long, bit long").groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()
+    cells = words.select("word").mapInArrow(places, "place int, bit int").groupBy("place").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (size - 5), np.uint32)
-    out[cells.column("place").to_numpy()] = cells.column("bits").to_numpy().astype(np.uint32)
+    out[cells.column("place").to_numpy()] = cells.column("bits").to_numpy().view(np.uint32)
     return out
 
 
@@ -193,7 +193,8 @@ def near_words(words: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "word string, near string, near_n long")
     bits = int(np.clip(np.ceil(np.log2(size["n"] * BITS_PER_WORD)), LEAST_BITS, MOST_BITS))
     letters = alphabet(words)
-    found = candidates(words, letters, size["longest"], word_filter(words, letters, size["longest"], bits), bits)
+    dealt = words.select("word").repartition(-(-size["n"] // WORDS_PER_TASK))
+    found = candidates(dealt, letters, size["longest"], word_filter(words, letters, size["longest"], bits), bits)
     return found.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near").select("word", "near", "near_n")
 
 
