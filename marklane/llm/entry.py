@@ -79,13 +79,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per document with what the range-sorted training copies take of it, and the time of its first copy (null: not taken)."""
+    """A row per document with what the range-sorted training copies take of it, and the time and the place in the order of its first copy (null: not taken)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     mixed = materialise(mixing.mix(docs, carry=False).withColumn("_row", F.monotonically_increasing_id()))  # written once, so that a row keeps its number
-    copies = mixing.schedule(mixed.select("_row", "doc_id", "mix"))
-    taken = copies.groupBy("_row").agg(F.sum("mix.size").alias("taken"), F.min("mix.position").alias("first_position"))
+    copies = mixing.numbered(mixing.schedule(mixed.select("_row", "doc_id", "mix")))
+    taken = copies.groupBy("_row").agg(F.sum("mix.size").alias("taken"), F.min("mix.position").alias("first_position"), F.min("mix.rank").alias("first_rank"))
     rows = mixed.select("_row", "doc_id", "mix.size", "mix.source_size", "mix.target").join(taken, "_row", "left")
-    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.round("first_position", 9).alias("first_position"))
+    return rows.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.round("first_position", 9).alias("first_position"), "first_rank")
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -201,12 +201,20 @@ WITH d AS (
 ), m AS (
   SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN size > 0 AND NOT two AND size < 2 * (target - reached) THEN abs(target - reached - size) END NULLS LAST, ahead) = 1
     AND size > 0 AND NOT two AND size < 2 * (target - reached) AS more FROM g
+), v AS (
+  SELECT doc_id, h, size, slope, least(1.0::DOUBLE, (ahead + size / 2.0::DOUBLE) / target) AS x FROM m WHERE one
+  UNION ALL SELECT doc_id, h, size, slope, least(1.0::DOUBLE, (ahead + n + size / 2.0::DOUBLE) / target) FROM m WHERE two
+  UNION ALL SELECT doc_id, h, size, slope, least(1.0::DOUBLE, (reached + size / 2.0::DOUBLE) / target) FROM m WHERE more
+), y AS (
+  SELECT doc_id, h, CASE WHEN abs(slope) < 1e-12 THEN x ELSE 2 * x / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * x)) END AS spot FROM v
+), z AS (
+  SELECT doc_id, h, spot, row_number() OVER (ORDER BY spot, doc_id) - 1 AS place FROM y
 ), q AS (
-  SELECT *, least(1.0::DOUBLE, (CASE WHEN one THEN ahead ELSE reached END + size / 2.0::DOUBLE) / target) AS x FROM m
+  SELECT doc_id, h, min(spot) AS spot, min(place) AS place FROM z GROUP BY doc_id, h
 )
-SELECT doc_id, size, n AS source_size, target, CAST(size * (CAST(one AS INTEGER) + CAST(two AS INTEGER) + CAST(more AS INTEGER)) AS BIGINT) AS taken,
-  round(CASE WHEN NOT one AND NOT more THEN NULL WHEN abs(slope) < 1e-12 THEN x ELSE 2 * x / (1 - slope + sqrt((1 - slope) * (1 - slope) + 4 * slope * x)) END, 9) AS first_position
-FROM q
+SELECT m.doc_id, size, n AS source_size, target, CAST(size * (CAST(one AS INTEGER) + CAST(two AS INTEGER) + CAST(more AS INTEGER)) AS BIGINT) AS taken,
+  round(spot, 9) AS first_position, place AS first_rank
+FROM m LEFT JOIN q ON m.doc_id = q.doc_id AND m.h = q.h
 """,
     "op10_bbit_minhash": rf"""
 WITH RECURSIVE w AS (

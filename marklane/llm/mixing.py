@@ -145,3 +145,16 @@ def schedule(mixed: DataFrame, out: str = "mix") -> DataFrame:
     sort = [F.col("p"), F.col("r")["doc_id"], F.col("c")]
     ordered = spread.repartitionByRange(*sort).sortWithinPartitions(*sort)
     return ordered.select(*[F.col("r")[c].alias(c) for c in mixed.columns if c != out], placed.alias(out))
+
+
+def numbered(scheduled: DataFrame, out: str = "mix") -> DataFrame:
+    """``scheduled`` with its place in the order of training, from 0, as ``rank`` of the struct ``out``.
+
+    The range-sorted rows are written with their place inside their partition; the partitions' sizes, a row for each, are summed
+    up in order and added. So the order is used where it was made, and no task sees all rows.
+    """
+    placed = materialise(scheduled.withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("_part", (F.sum("n").over(W.orderBy("_part")) - F.col("n")).alias("_before"))
+    ranked = placed.join(F.broadcast(before), "_part")  # a row for each partition of the range sort
+    return ranked.withColumn(out, F.col(out).withField("rank", F.col("_before") + F.col("_place"))).select(*scheduled.columns)

@@ -52,6 +52,31 @@ def test_stages(spark):
     assert Counter(tuple(np.frombuffer(r["ids"], "<u4").tolist()) for r in out) == texts
 
 
+def test_tokens_keep_the_curriculum_order(spark):
+    """Files and rows give the order of training back, whatever number of ranges it was written in."""
+    from marklane.llm import mixing
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    orders = []
+    for n in ("1", "8"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            mixed = materialise(corpus_pipeline.mixture(spark, docs, SF))
+            assert len(mixed.inputFiles()) == int(n)
+            out = corpus_pipeline.tokens(spark, mixed, SF).orderBy("file", "row").collect()
+            ranked = mixing.numbered(mixing.schedule(mixing.mix(docs))).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        assert sorted(r["mix"]["rank"] for r in ranked) == list(range(len(ranked)))
+        by_rank = sorted(ranked, key=lambda r: r["mix"]["rank"])
+        assert [r["mix"]["position"] for r in by_rank] == sorted(r["mix"]["position"] for r in ranked)
+        assert [r["doc_id"] for r in out] == [r["doc_id"] for r in by_rank]
+        orders.append([r["doc_id"] for r in out])
+    assert orders[0] == orders[1]
+
+
 def test_empty_input(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
