@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,9 +59,18 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, in the order of the rows, and whether they decode to its text; null texts have no ids."""
-    coded = bpe.round_trip(docs.select("doc_id", "source", "text"), tokenizer("byte_bpe_50k.json"), decoded=None)
-    return coded.select("doc_id", "source", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids", "exact")
+    """Token ids of every row, whether they decode to its text, and its place in the training order; null texts have no ids.
+
+    ``mixture`` is range-sorted and a file is written for each range, numbered in order of the ranges; so ``file`` and ``row`` (its
+    number in the file), which are read with the row, are the curriculum order however files are packed into tasks.
+    Both are null for rows that are not read from files.
+    """
+    try:
+        place = docs.select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:  # not read from files
+        place = docs.withColumns({"file": F.lit(None).cast("string"), "row": F.lit(None).cast("long")})
+    coded = bpe.round_trip(place.select("doc_id", "source", "text", "file", "row"), tokenizer("byte_bpe_50k.json"), decoded=None)
+    return coded.select("doc_id", "source", F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), "ids", "exact", "file", "row")
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("mixture", mixture), ("tokens", tokens)]
