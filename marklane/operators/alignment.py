@@ -137,6 +137,11 @@ def fix_boundaries(intervals: DataFrame, reference_tier: str, tiers: list[str],
     return _swept(target, boundaries(intervals, reference_tier), threshold).unionByName(rest)
 
 
+def with_audio(intervals: DataFrame, audio: DataFrame) -> DataFrame:
+    """The intervals of grids that have audio (grid_id, n_samples, sample_rate), with those columns; ``tables.file_sets`` names the grids and recordings that miss the other."""
+    return intervals.join(audio.select("grid_id", "n_samples", "sample_rate"), "grid_id")
+
+
 def sync_to_audio(intervals: DataFrame, audio: DataFrame) -> DataFrame:
     """Start at 0 and end at the audio's length (grid_id, n_samples, sample_rate).
 

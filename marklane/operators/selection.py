@@ -17,6 +17,13 @@ def tiers_named(intervals: DataFrame, names: list[str]) -> DataFrame:
     return intervals.where(of_tiers(intervals, names))
 
 
+def single_tier(intervals: DataFrame, name: str) -> DataFrame:
+    """The intervals of the one tier of that name; grids without such a tier or with several give none (``validation.tier_errors`` names them)."""
+    of = tiers_named(intervals, [name])
+    whole = W.partitionBy("grid_id")
+    return of.withColumns({"_lo": F.min("tier_idx").over(whole), "_hi": F.max("tier_idx").over(whole)}).where("_lo = _hi").drop("_lo", "_hi")
+
+
 def with_marks(intervals: DataFrame, marks: list[str]) -> DataFrame:
     """Intervals with one of the marks; all of them if none is given."""
     return intervals.where(in_marks(marks)) if marks else intervals

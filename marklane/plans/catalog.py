@@ -6,37 +6,18 @@ import atexit
 import os
 import shutil
 import tempfile
-from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..model import in_marks, shared_folder
-from ..operators import alignment, comparison, creation, dictionary, joining, marks, selection, splitting, stats, tiers, validation
-from ..sources import gridfile
-from . import views
+from ..model import in_marks
+from ..operators import alignment, comparison, creation, dictionary, joining, lookup, marks, selection, splitting, stats, tiers, validation
+from . import file_queries, views
+from .registry import ORACLES, QUERIES, plain, query
 from .views import SQL_EVENTS, SQL_JITTER, SQL_PHASES
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(fn: Query) -> Query:
-        QUERIES[name] = fn
-        if sql:
-            ORACLES[name] = sql
-        return fn
-
-    return add
-
-
-def plain(iv: DataFrame) -> DataFrame:
-    return iv.select("grid_id", "idx", "t0", "t1", "mark")
-
-
+__all__ = ["ORACLES", "QUERIES", "file_queries", "ship"]
 def merged(chunked: str, ctes: str = "", sep: str = " ") -> str:
     """SQL of merged chunks; ``chunked`` has the columns of iv and a chunk."""
     head = "WITH RECURSIVE " if "RECURSIVE" in ctes else "WITH "
@@ -593,12 +574,51 @@ def v7(spark, sf):
     return validation.audio_mismatches(iv, audio)
 
 
-@query("s1_files_round_trip", "SELECT CAST(conv_id AS VARCHAR) AS grid_id, n AS tier_name, turn AS idx, turn::DOUBLE AS t0, turn + 1.0::DOUBLE AS t1, coalesce(CASE n WHEN 'text' THEN text ELSE role END, '') AS mark FROM conversations, (VALUES ('text'), ('role')) v(n)")
-def s1(spark, sf):
-    """Every conversation as a file, written inside the tasks and read back."""
-    folder = shared_folder(spark)
-    gridfile.write_grids(views.conversations(spark, sf), folder)
-    return gridfile.intervals(gridfile.read_grids(spark, folder)).drop("tier_idx")
+_POINTS_IN = f"WITH {SQL_EVENTS},{SQL_JITTER}, p AS (SELECT grid_id, t0 AS t FROM ji UNION SELECT grid_id, t1 + 5000000 FROM ji UNION SELECT grid_id, min(t0) - 1000000 FROM ji GROUP BY grid_id)"
+
+
+@query("j6_enclosing", _POINTS_IN + ", e AS (SELECT grid_id, min(t0) AS lo, max(t1) AS hi, max(idx) AS last FROM iv GROUP BY grid_id) SELECT p.grid_id, p.t, iv.idx, iv.mark, p.t < lo OR p.t >= hi AS clamped FROM p JOIN e ON p.grid_id = e.grid_id JOIN iv ON iv.grid_id = p.grid_id AND (p.t >= iv.t0 AND p.t < iv.t1 OR p.t < lo AND iv.idx = 0 OR p.t >= hi AND iv.idx = last)")
+def j6(spark, sf):
+    """Timepoints before, in and behind the tiers, in time blocks of a week."""
+    iv = views.events(spark, sf)
+    other = views.jittered(iv)
+    times = other.select("grid_id", "tier_idx", F.explode(F.array("t0", F.col("t1") + 5 * SECOND)).alias("t"))
+    early = other.groupBy("grid_id", "tier_idx").agg((F.min("t0") - SECOND).alias("t"))
+    found = lookup.enclosing(times.unionByName(early).distinct(), iv, width=7 * 24 * HOUR)
+    return found.select("grid_id", "t", "_in.idx", "_in.mark", "_in.clamped")
+
+
+@query("i6_join_by_duration_blocks", ORACLES["i6_join_by_duration"])
+def i6_blocks(spark, sf):
+    """The same packing with tiers cut into time blocks of a week."""
+    return plain(joining.join_by_duration(views.events(spark, sf), 24 * HOUR, width=7 * 24 * HOUR))
+
+
+@query("j8_with_audio", f"WITH {SQL_EVENTS} SELECT grid_id, idx, mark, n_samples FROM iv JOIN (SELECT user_id * 2 AS u, count(*) * 100 AS n_samples FROM events GROUP BY user_id) a ON a.u = grid_id")
+def j8(spark, sf):
+    sound = spark.read.parquet(f"{sf}/events.parquet").groupBy((F.col("user_id") * 2).alias("grid_id")).agg((F.count(F.lit(1)) * 100).alias("n_samples"), F.lit(100).alias("sample_rate"))
+    return alignment.with_audio(views.events(spark, sf), sound).select("grid_id", "idx", "mark", "n_samples")
+
+
+@query("f2_single_tier", "SELECT conv_id AS grid_id, turn AS idx, text AS mark FROM conversations WHERE conv_id % 3 <> 0")
+def f2(spark, sf):
+    """In every third grid both tiers have the name, so that none is the one."""
+    rows = views.conversations(spark, sf)
+    named = rows.withColumn("tier_name", F.when(F.col("grid_id") % 3 == 0, "text").otherwise(F.col("tier_name")))
+    return selection.single_tier(named, "text").select("grid_id", "idx", "mark")
+
+
+@query("v8_with_spaces", "SELECT conv_id AS grid_id, turn AS idx, text AS mark FROM conversations WHERE contains(text, ' ') AND trim(text) <> ''")
+def v8(spark, sf):
+    return dictionary.with_spaces(views.conversations(spark, sf), ["text"]).select("grid_id", "idx", "mark")
+
+
+@query("v9_creation_errors", "WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) / 15.0::DOUBLE AS size, CASE doc_id % 4 WHEN 0 THEN -1.0 WHEN 1 THEN 100.0 WHEN 2 THEN 2.0 END::DOUBLE AS s, CASE doc_id % 4 WHEN 2 THEN 1.0 WHEN 3 THEN 200.0 END::DOUBLE AS e FROM documents) SELECT * FROM (SELECT doc_id AS grid_id, CASE WHEN t = '' THEN 'text is empty' WHEN s < 0 THEN 'start is negative' WHEN s >= size THEN 'start is not before the end of the audio' WHEN e <= coalesce(s, 0) THEN 'end is not behind the start' WHEN e >= size THEN 'end is not before the end of the audio' END AS error FROM d) WHERE error IS NOT NULL")
+def v9(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    k = F.col("doc_id") % 4
+    rows = docs.select(F.col("doc_id").alias("grid_id"), "text", F.when(k == 0, -1.0).when(k == 1, 100.0).when(k == 2, 2.0).alias("start"), F.when(k == 2, 1.0).when(k == 3, 200.0).alias("end"))
+    return creation.creation_errors(rows)
 
 
 _shipped: set[str] = set()

@@ -26,10 +26,15 @@ def opened(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), folder
 
 
+def attempt_of(path: str) -> str:
+    """The name under which a task attempt writes what is to be moved to ``path``."""
+    context = TaskContext.get()
+    return f"{path}.{context.taskAttemptId() if context else 0}-{uuid.uuid4().hex}"
+
+
 def put(system: fs.FileSystem, path: str, content: bytes) -> None:
     """A whole file at ``path`` or none."""
-    context = TaskContext.get()
-    attempt = f"{path}.{context.taskAttemptId() if context else 0}-{uuid.uuid4().hex}"
+    attempt = attempt_of(path)
     system.create_dir(posixpath.dirname(path), recursive=True)
     with system.open_output_stream(attempt) as out:
         out.write(content)
@@ -53,20 +58,19 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
     return written(files.select("name", F.col("content").cast("binary").alias("content")).mapInArrow(run, "name string, size long"))  # the writing happens here, once
 
 
-def copy_files(paths: DataFrame, folder: str) -> DataFrame:
-    """Copy each ``path`` to ``name`` below ``folder``: (name, size). Nothing is copied if some path cannot be read: then ValueError names the first."""
-    rows = paths.select("path", "name")
+def copy_files(paths: DataFrame, folder: str, order: str = "path") -> DataFrame:
+    """Copy each ``path`` to ``name`` below ``folder``: (name, size). Nothing is copied if some path cannot be read: then ValueError names the first by ``order``."""
+    rows = paths.select("path", "name", F.col(order).alias("_order"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lost = []
+            readable = []
             for path in batch.column(0).to_pylist():
                 system, at = opened(path) if path else (None, None)
-                if system is None or system.get_file_info(at).type != fs.FileType.File:
-                    lost.append(path)
-            yield pa.RecordBatch.from_arrays([pa.array(lost, pa.string())], names=["path"])
+                readable.append(system is not None and system.get_file_info(at).type == fs.FileType.File)
+            yield batch.filter(pa.array([not r for r in readable], pa.bool_()))
 
-    if lost := rows.mapInArrow(look, "path string").orderBy("path").first():
+    if lost := rows.mapInArrow(look, rows.schema).orderBy("_order").first():
         raise ValueError(f"cannot be read: {lost['path']}")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
