@@ -7,7 +7,6 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 from itertools import batched, groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -16,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..model import COLUMNS, KEY, reindexed, to_arrow, written
 from .joining import boundaries
+from .rounding import exact_round
 from .selection import last_span
 
 
@@ -182,9 +182,18 @@ def remove_spans(intervals: DataFrame, spans: DataFrame) -> DataFrame:
 
     A kept interval moves to the left by the length that was cut before it. Grids whose spans cannot be cut (see ``usable_spans``) stay as they are.
     """
-    rows = last_span(intervals, usable_spans(intervals, spans))
-    kept = rows.where(F.col("_span").isNull() | (F.col("t1") > F.col("_span.hi")))
-    shift = F.coalesce(F.col("_span.upto"), F.lit(0))
+    by = W.partitionBy("grid_id")
+    along = by.orderBy("lo").rowsBetween(W.unboundedPreceding, W.currentRow)
+    merged = merge_spans(spans).withColumns({"upto": F.sum(F.col("hi") - F.col("lo")).over(along), "n": F.count(F.lit(1)).over(by), "cut": F.sum(F.col("hi") - F.col("lo")).over(by)})
+    rows = last_span(intervals, merged)
+    # what ``usable_spans`` asks for, in the same pass: an interval of every tier starts where a span starts and one ends where it ends
+    of_tier = W.partitionBy(*KEY)
+    meets = lambda t, edge: F.sum((F.col(t) == F.col(f"_span.{edge}")).cast("int")).over(of_tier)
+    n, cut = F.max("_span.n").over(by), F.max("_span.cut").over(by)
+    rows = rows.withColumn("_fits", (F.coalesce(meets("t0", "lo"), F.lit(0)) == n) & (F.coalesce(meets("t1", "hi"), F.lit(0)) == n) & (cut < F.max("t1").over(by) - F.min("t0").over(by)))
+    rows = rows.withColumn("_ok", F.coalesce(F.min(F.col("_fits").cast("int")).over(by) == 1, F.lit(False)))
+    kept = rows.where(~F.col("_ok") | F.col("_span").isNull() | (F.col("t1") > F.col("_span.hi")))
+    shift = F.when(F.col("_ok"), F.coalesce(F.col("_span.upto"), F.lit(0))).otherwise(0)
     kinds = {f.name: f.dataType for f in intervals.schema.fields}
     return reindexed(kept.withColumns({"t0": (F.col("t0") - shift).cast(kinds["t0"]), "t1": (F.col("t1") - shift).cast(kinds["t1"])}))
 
@@ -239,13 +248,9 @@ def merge_grids(intervals: DataFrame, merged_id, order: str = "grid_id", separat
 
 def round_times(intervals: DataFrame, digits: int) -> DataFrame:
     """All times rounded to ``digits`` places, on the exact binary value and halves to even; times become doubles."""
-
-    @F.pandas_udf("double")
-    def rounded(t: pd.Series) -> pd.Series:
-        return t.map(lambda x: round(x, digits))
-
-    return intervals.withColumns({c: rounded(F.col(c).cast("double")) for c in ("t0", "t1")})
+    return intervals.withColumns({c: exact_round(F.col(c), digits) for c in ("t0", "t1")})
 
 
 def samples_of(seconds: float, rate: int) -> int:
+    """``rounding.samples`` of one value."""
     return math.ceil(round(seconds * rate, 4))

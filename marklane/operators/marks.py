@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import COLUMNS, KEY, P, duration, in_marks, is_empty, of_tiers, text_of
-from .selection import found, positional
+from .regex import found, substituted
+from .selection import positional
 
 
 def map_marks(intervals: DataFrame, mapping: dict[str, str], ignore: list[str] | None = None, unmapped: str | None = None, replace_unmapped: bool = False, tiers: list[str] | None = None) -> DataFrame:
@@ -29,16 +27,10 @@ def map_marks(intervals: DataFrame, mapping: dict[str, str], ignore: list[str] |
 
 
 def replace_text(intervals: DataFrame, pattern: str, replacement: str, mode: str = "all", tiers: list[str] | None = None) -> DataFrame:
-    """Substitute a regular expression (Python's dialect) in marks in which it is found; ``mode`` as in ``selection.matching``."""
-    compiled = re.compile(pattern)
-
-    @F.pandas_udf("string")
-    def substituted(marks: pd.Series) -> pd.Series:
-        return marks.map(lambda m: compiled.sub(replacement, m))
-
+    """Substitute a regular expression (Python's dialect, see ``regex``) in marks in which it is found; ``mode`` as in ``selection.matching``."""
     rows = positional(intervals.withColumn("_found", found(pattern)(text_of())), F.col("_found"), mode)
     hit = F.col("_chosen") if tiers is None else F.col("_chosen") & of_tiers(intervals, tiers)
-    return rows.withColumn("mark", F.when(hit, substituted(text_of())).otherwise(F.col("mark"))).select(*COLUMNS)
+    return rows.withColumn("mark", F.when(hit, substituted(pattern, replacement)(text_of())).otherwise(F.col("mark"))).select(*COLUMNS)
 
 
 def map_tier(intervals: DataFrame, source: str, target: str, mode: str = "replace", consider: list[str] | None = None) -> DataFrame:

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import COLUMNS, KEY, P, duration, in_marks, of_tiers, text_of
 from .lookup import asof
+from .regex import found
 
 
 def tiers_named(intervals: DataFrame, names: list[str]) -> DataFrame:
@@ -105,20 +103,10 @@ def at_ends(intervals: DataFrame, marks: list[str], mode: str = "all") -> DataFr
 
 
 def matching(intervals: DataFrame, pattern: str, mode: str = "all") -> DataFrame:
-    """The same for marks in which a regular expression (Python's) is found."""
+    """The same for marks in which a regular expression (Python's; see ``regex``) is found."""
     return _positional(intervals.withColumn("_found", found(pattern)(text_of())), F.col("_found"), mode).drop("_found")
 
 
-def found(pattern: str):
-    compiled = re.compile(pattern)
-
-    @F.pandas_udf("boolean")
-    def fn(marks: pd.Series) -> pd.Series:
-        return marks.map(lambda m: compiled.search(m) is not None).astype(bool)
-
-    return fn
-
-
 def remove_tiers(intervals: DataFrame, names: list[str]) -> DataFrame:
     """Drop all tiers of the names and number the rest anew. A grid that would lose all of its tiers keeps them (an error row in ``validation.results``)."""
     hit = of_tiers(intervals, names)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import COLUMNS, KEY, is_empty, is_pause, on_tiers, reindexed, text_of
-from .selection import within_spans
+from .selection import last_span
 
 
 def parts_of(text: Column, symbol: str, keep: bool = False) -> Column:
@@ -62,15 +62,17 @@ def split_grids(intervals: DataFrame, tier: str, include_empty: bool = False) ->
     tier's boundaries: grids that do not are named by ``validation.missing_boundaries`` and give no rows.
     """
     by = W.partitionBy("grid_id")
-    spans = intervals.where(F.col("tier_name") == tier).select("grid_id", "idx", F.col("t0").alias("lo"), F.col("t1").alias("hi"), "mark")
-    bounds = spans.select("grid_id", F.explode(F.array("lo", "hi")).alias("t")).distinct()
-    have = intervals.select(*KEY, F.explode(F.array("t0", "t1")).alias("t")).distinct()
-    bad = intervals.select(*KEY).distinct().join(bounds, "grid_id").join(have, [*KEY, "t"], "left_anti").select("grid_id").distinct()
-    spans = spans.join(bad, "grid_id", "left_anti")
-    if not include_empty:
-        spans = spans.where(~is_pause())
-    named = spans.withColumn("_k", F.row_number().over(by.orderBy("idx"))).withColumn("_n", F.count(F.lit(1)).over(by))
-    named = named.withColumn("new_id", F.concat_ws("/", F.col("grid_id").cast("string"), F.lpad((F.col("_k") - 1).cast("string"), F.length(F.col("_n").cast("string")), F.lit("0"))))
-    inside = within_spans(intervals, named.select("grid_id", "new_id", "lo", "hi"))
-    shifted = inside.select(F.col("new_id").alias("grid_id"), "tier_idx", "tier_name", "idx", (F.col("t0") - F.col("lo")).alias("t0"), (F.col("t1") - F.col("lo")).alias("t1"), "mark")
+    spans = intervals.where(F.col("tier_name") == tier).select("grid_id", "idx", F.col("t0").alias("lo"), F.col("t1").alias("hi"), (F.lit(not include_empty) & is_pause()).alias("left_out"))
+    counted = spans.withColumns({
+        "n": F.count(F.lit(1)).over(by), "end": F.max("hi").over(by), "named": F.sum((~F.col("left_out")).cast("int")).over(by), "k": F.row_number().over(by.orderBy("left_out", "idx")) - 1,
+    })
+    # a tier of a valid grid has all boundaries if an interval starts at each span's start and the last one ends where the spans end
+    tagged = last_span(intervals, counted)
+    of_tier = W.partitionBy("grid_id", "tier_idx")
+    starts = F.sum((F.col("t0") == F.col("_span.lo")).cast("int")).over(of_tier)
+    fits = tagged.withColumn("_fits", F.coalesce((starts == F.col("_span.n")) & (F.max("t1").over(of_tier) == F.col("_span.end")), F.lit(False)))
+    whole = fits.withColumn("_ok", F.min(F.col("_fits").cast("int")).over(by) == 1).where("_ok and not _span.left_out")
+    new_id = F.concat_ws("/", F.col("grid_id").cast("string"), F.lpad(F.col("_span.k").cast("string"), F.length(F.col("_span.named").cast("string")), F.lit("0")))
+    lo = F.col("_span.lo")
+    shifted = whole.select(new_id.alias("grid_id"), "tier_idx", "tier_name", "idx", (F.col("t0") - lo).alias("t0"), (F.col("t1") - lo).alias("t1"), "mark")
     return reindexed(shifted).select(*COLUMNS)

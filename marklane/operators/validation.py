@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import KEY, P, in_marks, of_tiers, text_of
+from .rounding import samples
 
 
 def invalid_grids(intervals: DataFrame) -> DataFrame:
@@ -44,15 +44,8 @@ def audio_mismatches(intervals: DataFrame, audio: DataFrame) -> DataFrame:
 
     Seconds become samples by rounding to four digits before rounding up, on the exact binary value.
     """
-
-    from .alignment import samples_of
-
-    @F.pandas_udf("long")
-    def samples(seconds: pd.Series, rate: pd.Series) -> pd.Series:
-        return pd.Series([samples_of(s, r) for s, r in zip(seconds, rate, strict=True)], dtype="int64")
-
     ends = intervals.groupBy("grid_id").agg(F.max("t1").cast("double").alias("t1"))
-    return ends.join(audio, "grid_id").withColumn("expected", samples("t1", F.col("sample_rate"))).where(F.col("expected") != F.col("n_samples")).select("grid_id", "n_samples", "expected")
+    return ends.join(audio, "grid_id").withColumn("expected", samples(F.col("t1"), F.col("sample_rate"))).where(F.col("expected") != F.col("n_samples")).select("grid_id", "n_samples", "expected")
 
 
 def unequal_counts(intervals: DataFrame, source: str, target: str) -> DataFrame:

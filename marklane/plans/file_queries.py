@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import shared_folder
 from ..operators import dictionary, marks, stats
-from ..sources import audio, datasource, files, gridfile, tables
+from ..sources import audio, datasource, files, gridfile, incremental, tables
 from . import views
 from .registry import query
 from .views import SQL_EVENTS, SQL_PHASES
@@ -92,6 +92,20 @@ def s10(spark, sf):
     return out[0].unionByName(out[1])
 
 
+@query("s12_incremental", "SELECT CAST(conv_id AS VARCHAR) AS grid_id, turn AS idx, '<' || coalesce(text, '') || '>' AS mark, conv_id % 2 AS arrival FROM conversations")
+def s12_incremental(spark, sf):
+    """Two arrivals of files, each taken up by a run of its own; the second run leaves the first one's files alone."""
+    rows = views.conversations(spark, sf)
+    source, target, log = shared_folder(spark), shared_folder(spark), shared_folder(spark)
+    op = lambda iv: iv.withColumn("mark", F.concat(F.lit("<"), "mark", F.lit(">")))
+    seen = []
+    for k in (0, 1):
+        datasource.save(rows.where(F.col("grid_id") % 2 == k), source)
+        seen.append(incremental.run_new(spark, source, target, log, op))
+    first = seen[1].select("grid_id", F.when(F.col("batch") == 0, 0).otherwise(1).cast("long").alias("arrival"))
+    return datasource.load(spark, target).where("tier_name = 'text'").join(first, "grid_id").select("grid_id", "idx", "mark", "arrival")
+
+
 @query("s12_file_sets", "SELECT CAST(user_id AS VARCHAR) AS grid_id, CASE WHEN max(conv_id) IS NULL THEN 'first' WHEN max(e) IS NULL THEN 'second' ELSE 'both' END AS found FROM (SELECT user_id, 1 AS e FROM events) FULL JOIN (SELECT conv_id, conv_id AS user_id FROM conversations) USING (user_id) GROUP BY user_id")
 def s12(spark, sf):
     """Which ids two folders share (J12): one has a file for each user, the other one for each conversation."""
