@@ -102,8 +102,11 @@ class Stream:
     table_frames: int | None = None
     table_bytes: int | None = None
     toc: list[int] = dc_field(default_factory=list)
-    rate: int | None = None
-    samples: int = 0
+    rate: int | None = None  # of the first frame
+    samples: int = 0  # of all frames, less what the encoder added
+    delay: int = 0  # samples that the encoder put before the sound, and behind it, as the table says
+    padding: int = 0
+    segments: list[tuple[int, int]] = dc_field(default_factory=list)  # (rate, samples) of stretches of one rate
     offsets: list[int] = dc_field(default_factory=list)  # of audio frames, the table's frame not counted
     checked: int = 0
     bad: int = 0
@@ -122,19 +125,24 @@ def read_tags(data: bytes) -> tuple[dict[str, str], int, int]:
     while data[at : at + 3] == b"ID3" and at + 10 <= len(data):
         major, flags, size = data[at + 3], data[at + 5], _syncsafe(data[at + 6 : at + 10])
         stop, p = min(len(data), at + 10 + size), at + 10
-        while p + 10 <= stop and data[p : p + 4].strip(b"\0"):
-            n = _syncsafe(data[p + 4 : p + 8]) if major >= 4 else int.from_bytes(data[p + 4 : p + 8], "big")
-            if n <= 0 or p + 10 + n > stop:
+        short = major == 2  # names and sizes of three bytes, no flags
+        name_size, head = (3, 6) if short else (4, 10)
+        if flags & 0x40 and not short and p + 4 <= stop:  # an extended header
+            p += _syncsafe(data[p : p + 4]) if major >= 4 else 4 + int.from_bytes(data[p : p + 4], "big")
+        while p + head <= stop and data[p : p + name_size].strip(b"\0"):
+            length = data[p + name_size : p + 2 * name_size]
+            n = _syncsafe(length) if major >= 4 else int.from_bytes(length, "big")
+            if n <= 0 or p + head + n > stop:
                 break
-            name, body = data[p : p + 4].decode("latin-1"), data[p + 10 : p + 10 + n]
+            name, body = data[p : p + name_size].decode("latin-1"), data[p + head : p + head + n]
             if name[0] == "T" and body:
                 coding = ("latin-1", "utf-16", "utf-16-be", "utf-8")[min(body[0], 3)]
                 value = body[1:].decode(coding, "replace").rstrip("\0")
-                if name == "TXXX" and "\0" in value:
+                if name in ("TXXX", "TXX") and "\0" in value:
                     key, value = value.split("\0", 1)
                     name = f"TXXX:{key}"
                 tags[name] = value
-            p += 10 + n
+            p += head + n
         at = at + 10 + size + (10 if flags & 0x10 else 0)
     if end - at >= 128 and data[end - 128 : end - 125] == b"TAG":
         old = data[end - 128 : end]
@@ -156,7 +164,11 @@ def _vbr_table(frame: bytes, h: Header, out: Stream) -> bool:
         if flags & 2:
             out.table_bytes, p = int.from_bytes(frame[p : p + 4], "big"), p + 4
         if flags & 4:
-            out.toc = list(frame[p : p + 100])
+            out.toc, p = list(frame[p : p + 100]), p + 100
+        p += 4 * bool(flags & 8)
+        if len(frame) >= p + 24 and frame[p : p + 4].isalnum():  # the encoder's name opens a block that states what it added
+            both = int.from_bytes(frame[p + 21 : p + 24], "big")
+            out.delay, out.padding = both >> 12, both & 0xFFF
         return True
     if frame[36:40] == b"VBRI" and len(frame) >= 62:
         out.table = "VBRI"
@@ -170,8 +182,9 @@ def _vbr_table(frame: bytes, h: Header, out: Stream) -> bool:
 def read_stream(data: bytes | None, carried: bool = False) -> Stream:
     """Parse a whole file; null and empty files have no frames.
 
-    A header counts if its checksum holds, the next frame starts where it says, or
-    the stream ends there. Else the search goes on a byte further; skipped bytes are counted. A
+    A header counts if its checksum holds, if the stream ends behind its frame, or if a frame follows that
+    is of the same layer, version and rate, or of any if its own are those of the frames before. So a change of rate or layer is followed as soon as two frames
+    agree, and a lone false header is not. Else the search goes on a byte further; skipped bytes are counted. A
     cut last frame is skipped. Checksums of Layer I and III frames are
     verified (in Layer II the protected span depends on decoded data).
     """
@@ -183,33 +196,61 @@ def read_stream(data: bytes | None, carried: bool = False) -> Stream:
     while at + 4 <= end:
         h = header(data[at : at + 4])
         stop = at + h.length if h else 0
-        if h and kind and (h.layer, h.version1, h.rate) != kind:
-            h = None
         checkable = h is not None and h.protected and h.layer != 2
         span = 0 if not checkable else h.side if h.layer == 3 else 16 * h.channels
         sound = checkable and crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + span]) == int.from_bytes(data[at + 4 : at + 6], "big")
-        if not h or stop > end or not sound and stop + 4 <= end and header(data[stop : stop + 4]) is None:
+        if not h or stop > end or not sound and stop + 4 <= end and not _agree(_kind(h), header(data[stop : stop + 4]), kind) or not sound and stop + 4 > end and kind not in (None, _kind(h)):
             nxt = data.find(b"\xff", at + 1, end)
             nxt = end if nxt < 0 else nxt
             out.skipped += nxt - at
             at = nxt
             continue
-        kind = (h.layer, h.version1, h.rate)
+        kind = _kind(h)
         out.checked += checkable
         out.bad += checkable and not sound
-        out.rate = h.rate
         if not (first and _vbr_table(data[at:stop], h, out)):
+            out.rate = out.rate or h.rate
             out.offsets.append(at)
             out.samples += h.samples
+            if out.segments and out.segments[-1][0] == h.rate:
+                out.segments[-1] = (h.rate, out.segments[-1][1] + h.samples)
+            else:
+                out.segments.append((h.rate, h.samples))
             if carried:
                 parts.append(data[at + 4 + 2 * h.protected + h.side : stop])
+        elif out.rate is None:
+            out.rate = h.rate
         first = False
         at = stop
     out.skipped += max(0, end - at)
+    _trim(out)
     out.carried = b"".join(parts)
     return out
 
 
+def _kind(h: Header) -> tuple[int, bool, int]:
+    return h.layer, h.version1, h.rate
+
+
+def _agree(own: tuple[int, bool, int], following: Header | None, before: tuple[int, bool, int] | None) -> bool:
+    """Whether a frame of kind ``own`` is borne out by the header behind it and the kind of the frames before."""
+    return following is not None and (own == before or _kind(following) == own)
+
+
+def _trim(out: Stream) -> None:
+    """Take what the encoder added from the first and the last stretch."""
+    for add, at in ((out.delay, 0), (out.padding, -1)):
+        while add and out.segments:
+            rate, n = out.segments[at]
+            cut = min(add, n)
+            out.samples, add = out.samples - cut, add - cut
+            out.segments[at] = (rate, n - cut)
+            if add or n == cut:
+                out.segments.pop(at)
+    if not out.segments:
+        out.samples = 0
+
+
 def _frame_start(index: int) -> bytes:
     four = bytes([0xFF, 0xFA, index << 4 | RATES.index(_RATE) << 2, _MONO << 6])
     return four + crc16(four[2:] + bytes(_SIDE)).to_bytes(2, "big") + bytes(_SIDE)
@@ -251,7 +292,8 @@ def write_stream(payload: bytes, notes: dict[str, str] | None = None) -> bytes:
 def read_payload(data: bytes | None) -> tuple[bytes, Stream]:
     """The carried bytes and the parsed stream; raises ValueError if a length or checksum differs."""
     s = read_stream(data, carried=True)
-    payload = s.carried[: int(s.tags.get("TXXX:payload_bytes", "0"))]
+    size = s.tags.get("TXXX:payload_bytes", "")
+    payload = s.carried[: int(size)] if size.isdecimal() else b""
     if s.bad or str(zlib.crc32(payload)) != s.tags.get("TXXX:payload_crc32") or s.table_frames != len(s.offsets):
         raise ValueError("the stored stream is damaged")
     return payload, s
@@ -260,13 +302,16 @@ def read_payload(data: bytes | None) -> tuple[bytes, Stream]:
 MEDIA = [
     field("tags", T.MapType(T.StringType(), T.StringType())), field("vbr_table", T.StringType()), field("vbr_frames", T.LongType()), field("vbr_bytes", T.LongType()), field("toc", T.ArrayType(T.LongType())),
     field("sample_rate", T.IntegerType()), field("n_samples", T.LongType()), field("n_frames", T.LongType()), field("frame_offsets", T.ArrayType(T.LongType())), field("checksums", T.LongType()), field("bad_checksums", T.LongType()), field("skipped_bytes", T.LongType()),
+    field("delay", T.LongType()), field("padding", T.LongType()), field("segments", T.ArrayType(T.StructType([field("sample_rate", T.IntegerType()), field("n_samples", T.LongType())]))),
 ]
 
 
 def parse_column(df: DataFrame, media: str = "content") -> DataFrame:
-    """Append the fields of MEDIA for each file in the binary column; the exact duration is n_samples / sample_rate seconds.
+    """Append the fields of MEDIA for each file in the binary column.
 
-    Null, empty and foreign contents get no frames and a null rate. Replaces columns of the same names. No shuffle.
+    The exact duration is the sum of n_samples / sample_rate over ``segments``, stretches of one rate, without the ``delay`` and ``padding`` that the
+    encoder states; n_samples is their sum, and sample_rate that of the first. Null, empty and foreign contents get no frames and a null rate. Repeated
+    rows are parsed like others. Replaces columns of the same names. No shuffle.
     """
     at = df.columns.index(media)
 
@@ -276,6 +321,7 @@ def parse_column(df: DataFrame, media: str = "content") -> DataFrame:
             return [
                 pa.array([list(x.tags.items()) for x in s], pa.map_(pa.string(), pa.string())), pa.array([x.table for x in s], pa.string()), pa.array([x.table_frames for x in s], pa.int64()), pa.array([x.table_bytes for x in s], pa.int64()), pa.array([x.toc for x in s], pa.list_(pa.int64())),
                 pa.array([x.rate for x in s], pa.int32()), pa.array([x.samples for x in s], pa.int64()), pa.array([len(x.offsets) for x in s], pa.int64()), pa.array([x.offsets for x in s], pa.list_(pa.int64())), pa.array([x.checked for x in s], pa.int64()), pa.array([x.bad for x in s], pa.int64()), pa.array([x.skipped for x in s], pa.int64()),
+                pa.array([x.delay for x in s], pa.int64()), pa.array([x.padding for x in s], pa.int64()), pa.array([[{"sample_rate": r, "n_samples": n} for r, n in x.segments] for x in s], pa.list_(pa.struct([("sample_rate", pa.int32()), ("n_samples", pa.int64())]))),
             ]
 
         return fn
@@ -286,7 +332,7 @@ def parse_column(df: DataFrame, media: str = "content") -> DataFrame:
 def store_text(df: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """Append ``media``: a stream that carries the UTF-8 text, padded with spaces to a positive multiple of UNIT bytes.
 
-    Null texts are stored as empty ones. Equal texts give equal streams.
+    Null texts are stored as empty ones. Equal texts, in repeated rows too, give equal streams. A column of the same name is replaced, others stay.
     """
     at = df.columns.index(text)
 
@@ -308,20 +354,28 @@ PAYLOAD = [field("payload", T.BinaryType()), field("n_bytes", T.LongType()), fie
 
 
 def restore(df: DataFrame, media: str = "media") -> DataFrame:
-    """Append payload, n_bytes (of the unpadded text) and feature (exact duration and seek table) read from stored streams."""
+    """Append payload, n_bytes (of the unpadded text) and feature (exact duration and seek table) read from stored streams.
+
+    Null, empty, foreign and damaged cells give null in all three; repeated rows are read like others. Columns of the same names are replaced, others stay.
+    """
     at = df.columns.index(media)
 
     def make():
         def fn(batch: pa.RecordBatch):
-            payloads, sizes, features = [], [], []
-            for x in batch.column(at).to_pylist():
-                payload, s = read_payload(x)
-                seek = np.array(s.offsets, "<i8")
-                payloads.append(payload)
-                sizes.append(int(s.tags["TXXX:text_bytes"]))
-                features.append(f"{s.table} frames={len(seek)} samples={s.samples} rate={s.rate} first={seek[0]} last={seek[-1]} seek_crc32={zlib.crc32(seek.tobytes())}")
-            return [pa.array(payloads, pa.binary()), pa.array(sizes, pa.int64()), pa.array(features, pa.string())]
+            found = [_restored(x) for x in batch.column(at).to_pylist()]
+            return [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.binary(), pa.int64(), pa.string()))]
 
         return fn
 
     return map_rows(df, make, PAYLOAD, media)
+
+
+def _restored(data: bytes | None) -> tuple[bytes, int, str] | tuple[None, None, None]:
+    try:
+        payload, s = read_payload(data)
+        n_bytes = int(s.tags.get("TXXX:text_bytes", ""))
+    except ValueError:
+        return None, None, None
+    seek = np.array(s.offsets, "<i8")
+    feature = f"{s.table} frames={len(seek)} samples={s.samples} rate={s.rate} first={seek[0]} last={seek[-1]} seek_crc32={zlib.crc32(seek.tobytes())}" if len(seek) else f"{s.table} frames=0"
+    return payload, n_bytes, feature
