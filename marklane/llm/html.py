@@ -7,8 +7,8 @@ short ones by the nearest decided blocks on both sides.
 
 Tags, classes, ids and roles are features of a block. Parts of menus, footers, asides, forms, notices, adverts and
 reader comments are bad in the first pass; an article or main element, or a sentence's end, makes a block of few stop words near good
-instead of bad, and an article or main element that holds most of the good text
-hands no label to what lies outside. Where a page's language has no stop word list, the ends of sentences stand in for the density.
+instead of bad, a line of rights (c) a class lower, and an article or main element that holds most of the good text
+hands no label to what lies outside. Where the page names no article, its edges are bad neighbours of what ends no sentence. Where a page's language has no stop word list, the ends of sentences stand in for the density.
 
 Scanning takes time linear in the page, whatever its tags look like.
 """
@@ -31,6 +31,8 @@ LINKS_HIGH, LENGTH_LOW, LENGTH_HIGH = 0.4, 60, 180
 STOPS_LOW, STOPS_HIGH = 0.1, 0.2
 #: Blocks to either side in which a heading looks for a good block.
 HEADING_REACH = 6
+#: Blocks by which a good neighbour may be farther than a bad one for a short block that ends a sentence.
+SENTENCE_LEAD = 1
 #: Share of a page's good text from which an element is its wrapper, whatever its class says.
 WRAPPER = 0.9
 #: Density of stop words in a page's longer blocks below which its language is taken to have no list.
@@ -68,6 +70,7 @@ _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|dis
 _WORDS = re.compile(r"[a-z]+|[0-9][0-9x]*")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _HUGE = re.compile(r"&#[0-9]{8,};?")
+_RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 _SENTENCE = re.compile(r"[.!?;:\u2026\u3002\uff01\uff1f\u0964\u061f\u06d4]")
 
 
@@ -256,11 +259,14 @@ def density(text: str) -> float:
 
 
 def alone(b: Block, stops: float) -> str:
-    """First pass: the class of a block by itself; ``stops`` is its density of stop words, or what stands in for it."""
+    """First pass: the class of a block by itself; ``stops`` is its density of stop words, or what stands in for it. A rights line outside of an article is a class lower."""
     if b.barred or b.links > LINKS_HIGH * max(1, len(b.text)):
         return "bad"
+    rights = not b.inside and _RIGHTS.match(b.text) is not None
     if len(b.text) < LENGTH_LOW:
-        return "bad" if b.links and not b.inside else "short"
+        return "bad" if b.links and not b.inside or rights else "short"
+    if rights:
+        return "near" if stops >= STOPS_HIGH and len(b.text) > LENGTH_HIGH else "bad"
     if stops >= STOPS_HIGH:
         return "good" if len(b.text) > LENGTH_HIGH else "near"
     return "near" if stops >= STOPS_LOW or b.inside or _SENTENCE.search(b.text) else "bad"
@@ -276,8 +282,8 @@ def _densities(found: list[Block]) -> list[float]:
     return of
 
 
-def inherited(found: list[Block], first: list[str], edge: list[bool]) -> list[str]:
-    """Second pass: near good and short blocks take the label of their nearest decided neighbours. Blocks with ``edge`` are nobody's neighbour."""
+def inherited(found: list[Block], first: list[str], edge: list[bool], marked: bool = False) -> list[str]:
+    """Second pass: near good and short blocks take the label of their nearest decided neighbours. Blocks with ``edge`` are nobody's neighbour; for short ones that end no sentence the page's edges are bad neighbours, unless the article is ``marked``."""
     decided = [i for i, c in enumerate(first) if c in ("good", "bad") and not edge[i]]
     hopeful = any(c in ("good", "near") for c in first)
     label = list(first)
@@ -293,11 +299,13 @@ def inherited(found: list[Block], first: list[str], edge: list[bool]) -> list[st
             label[i] = "good" if hopeful or found[i].inside or _SENTENCE.search(found[i].text) else "bad"
         elif c == "near":
             label[i] = "good" if good or found[i].inside else "bad"
-        elif good and bad:
-            near, far = abs(good[0] - i), abs(bad[0] - i)
-            label[i] = "good" if near < far or near == far and found[i].inside else "bad"
         else:
-            label[i] = "good" if good else "bad"
+            ends = _SENTENCE.search(found[i].text[-1:]) is not None
+            edges = [] if marked or ends else [i + 1, len(first) - i]
+            nowhere = 2 * len(first)
+            near = min([abs(j - i) for j in good], default=nowhere)
+            far = min([*edges, *[abs(j - i) for j in bad]], default=nowhere)
+            label[i] = "good" if near < far + (SENTENCE_LEAD if ends else 0) + found[i].inside else "bad"
     return label
 
 
@@ -329,7 +337,7 @@ def main_text(page: str | None) -> str:
     marked = within > 0 and within >= outside
     if marked:  # the page shows where its article is: outside of it nothing is inherited
         first = [c if b.inside or c == "good" else "bad" for b, c in zip(found, first, strict=True)]
-    label = inherited(found, first, [b.barred or marked and not b.inside for b in found])
+    label = inherited(found, first, [b.barred or marked and not b.inside for b in found], marked)
     return "\n".join(b.text for b, c in zip(found, label, strict=True) if c == "good")
 
 
