@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 #: Rows that codebooks are fitted on at most, and centroids of a half at most.
-SAMPLE, MOST_CENTROIDS = 20_000, 256
+SAMPLE, MOST_CENTROIDS = 20_000, 1024
 #: Entries that one group of neighbouring cells holds, and queries that are compared with it at once.
 GROUP, ASKED = 8192, 256
 #: Queries that are compared with every entry to measure the budget, and the share of their true neighbours that it finds.
@@ -71,6 +71,20 @@ class Index:
         self.first, self.second, self.norm2, self.half = first, second, norm2, half
         self.counts = np.zeros((len(first), len(second)), np.int64)
 
+    def places(self) -> np.ndarray:
+        """The place from which on each cell's entries stand in the row of all cells, which keeps cells together that are near in both halves.
+
+        Centroids of a half are ranked along their main direction, and cells follow the interleaved bits of both ranks.
+        """
+        a, b = (np.argsort(np.argsort(_along(c), kind="stable"), kind="stable") for c in (self.first, self.second))
+        code = np.zeros(self.counts.shape, np.int64)
+        for bit in range(max(len(a), len(b)).bit_length()):
+            code |= (a[:, None] >> bit & 1) << (2 * bit + 1) | (b[None, :] >> bit & 1) << (2 * bit)
+        order, counts = np.argsort(code.reshape(-1), kind="stable"), self.counts.reshape(-1)
+        out = np.empty(len(counts), np.int64)
+        out[order] = np.cumsum(counts[order]) - counts[order]
+        return out
+
     def weights(self) -> np.ndarray:
         """What each cell counts in a budget: its entries, but for hot cells."""
         filled = max(1, int((self.counts > 0).sum()))
@@ -102,6 +116,12 @@ class Index:
         return out
 
 
+def _along(c: np.ndarray) -> np.ndarray:
+    """Where rows lie along their main direction."""
+    centred = c - c.mean(axis=0)
+    return centred @ np.linalg.svd(centred, full_matrices=False)[2][0]
+
+
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return values.reshape(len(column), width)
@@ -203,7 +223,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, entries: int = 4000
         wanted = max(wanted, measured(index, stored, queries, width, k, recall))
     wanted += 1
     weights, counts = index.weights(), index.counts.reshape(-1)
-    start = np.cumsum(counts) - counts  # a cell's entries have the places from here on, in the row of all cells
+    start = index.places()
     first, last = start // GROUP, (start + np.maximum(counts, 1) - 1) // GROUP
     shared = spark.sparkContext.broadcast(index)
 
@@ -220,6 +240,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, entries: int = 4000
                 spread = last[cells] - first[cells] + 1
                 each = np.repeat(cells, spread)
                 groups = np.arange(len(each)) - np.repeat(np.cumsum(spread) - spread, spread) + first[each]
+                by_group = np.argsort(groups, kind="stable")
+                each, groups = each[by_group], groups[by_group]
                 at = np.r_[0, np.flatnonzero(np.diff(groups)) + 1, len(groups)]
                 for lo, hi in zip(at[:-1], at[1:], strict=True):
                     for column, value in zip(out, (q, raw[i], groups[lo], each[lo:hi].astype("<i4").tobytes()), strict=True):
@@ -272,32 +294,46 @@ class _Group:
         self.ids.append(vec_id), self.raw.append(x), self.cells.append(cell)
 
     def ready(self) -> None:
-        """Arrays in place of the lists, once all entries are there."""
+        """Arrays in place of the lists, sorted by cell, once all entries are there."""
         if self.x is None:
-            self.x = np.frombuffer(b"".join(self.raw), np.float64).reshape(-1, self.width)
-            self.ids, self.raw = np.array(self.ids, np.int64), []
-            self.names, self.local = np.unique(np.array(self.cells, np.int64), return_inverse=True)
+            cells = np.array(self.cells, np.int64)
+            order = np.argsort(cells, kind="stable")
+            self.x = np.frombuffer(b"".join(self.raw), np.float64).reshape(-1, self.width)[order]
+            self.ids, self.raw = np.array(self.ids, np.int64)[order], []
+            self.names, self.begin = np.unique(cells[order], return_index=True)
+            self.sizes = np.diff(np.r_[self.begin, len(cells)])
 
     def nearest(self, ids: np.ndarray, y: np.ndarray, cells: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query, entry, score) of the ``k`` best visited entries of each query."""
+        """(query, entry, score) of the ``k`` best visited entries of each query. A cell's entries are multiplied with the queries that visit it, and with no others."""
         self.ready()
         if not len(self.x):
             return
         visited = np.zeros((len(ids), len(self.names)), bool)
         for i, c in enumerate(cells):
             visited[i, np.searchsorted(self.names, c[np.isin(c, self.names)])] = True
-        rough = np.where(visited[:, self.local] & (ids[:, None] != self.ids[None, :]), y @ self.x.T, -np.inf)
-        if (over := rough.shape[1] - self.k) > 0:
-            bar = np.partition(rough, over, axis=1)[:, over]
-            keep = rough >= (bar - 1e-9 * (1 + np.abs(np.where(np.isfinite(bar), bar, 0))))[:, None]
-        else:
-            keep = np.ones(rough.shape, bool)
-        keep &= rough > -np.inf
-        for i in np.flatnonzero(keep.any(axis=1)):
-            other = np.flatnonzero(keep[i])
-            s = (self.x[other] * y[i]).sum(axis=1)  # the exact measure, in one order of additions
-            order = np.lexsort((self.ids[other], -s))[: self.k]
-            yield np.full(len(order), ids[i]), self.ids[other][order], s[order]
+        # the scores of a query stand together, cell after cell
+        of = visited * self.sizes
+        ends = np.cumsum(of.sum(axis=1))
+        at = np.cumsum(of, axis=1) - of + np.r_[0, ends[:-1]][:, None]
+        rough, entry = np.empty(ends[-1]), np.empty(ends[-1], np.int32)
+        for j, (a, n) in enumerate(zip(self.begin.tolist(), self.sizes.tolist(), strict=True)):
+            asking = np.flatnonzero(visited[:, j])
+            if len(asking):
+                spots = at[asking, j][:, None] + np.arange(n)
+                rough[spots] = y[asking] @ self.x[a : a + n].T
+                entry[spots] = np.arange(a, a + n)
+        for i, (lo, hi) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
+            other, near = entry[lo:hi], rough[lo:hi]
+            own = self.ids[other] == ids[i]
+            if own.any():
+                other, near = other[~own], near[~own]
+            if (over := len(near) - self.k) > 0:
+                bar = np.partition(near, over)[over]
+                other = other[near >= bar - 1e-9 * (1 + abs(bar))]
+            if len(other):
+                s = (self.x[other] * y[i]).sum(axis=1)  # the exact measure, in one order of additions
+                order = np.lexsort((self.ids[other], -s))[: self.k]
+                yield np.full(len(order), ids[i]), self.ids[other][order], s[order]
 
 
 class _Block:
