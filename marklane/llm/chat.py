@@ -106,6 +106,8 @@ def format_turns(turns: DataFrame, role: str = "role", text: str = "text") -> Da
     A conversation's text is its turns' texts in order, with nothing between:
     each turn parses by itself, so no row needs its neighbours and a
     conversation of any length needs no more memory than its longest turn.
+    Null texts are rendered as empty ones, null and unknown roles by marks of their own; repeated rows are turns of their own, an empty table gives
+    none. Columns named formatted, loss_from or loss_to are replaced, all others stay.
     """
     r, t = turns.columns.index(role), turns.columns.index(text)
 

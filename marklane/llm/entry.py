@@ -23,22 +23,26 @@ END_ID, WORD_VOCABULARY = 1, 49_408
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per query (vec_id divisible by 20) and neighbour found; unusable vectors and null ids take no part, repeated ids are entries of their own, an empty table gives none."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
     return ann.search(vectors, F.col("vec_id") % 20 == 0)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per page; null and empty pages have an empty text, repeated rows stay."""
     out = html.extract(table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null texts count as empty, repeated rows stay, texts of any length are coded whole."""
     docs = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer("byte_bpe_50k.json"), exact=None)
     n = F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens")
     return docs.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document, from the stored streams; null texts are stored as empty ones, equal texts as equal streams."""
     stored = materialise(mpeg.store_text(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
     back = mpeg.restore(stored)
     size = F.octet_length("payload")
@@ -54,23 +58,26 @@ def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> classifi
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null and empty texts are scored as one empty passage, equal texts alike."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = classifier.score(docs, quality_model(spark, docs, sf_dir))
     return scored.select("doc_id", classifier.held_out().alias("held_out"), "score", (F.col("score") >= classifier.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per document, read back from the files alone."""
+    """A row per document, read back from the files alone; null texts count as empty, rows that repeat a doc_id have places of their own."""
     folder = ans.write_corpus(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), END_ID, WORD_VOCABULARY)
     return ans.read_corpus(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null ids are placed as the empty text, repeated ids share a shard."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
     return sharding.assign(docs, "doc_id", SHARDS, SLOTS)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per conversation, digested from the stored text; null texts count as empty, null roles are turns of their own kind, ties in turn follow the rendered text."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
@@ -89,6 +96,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document; null and empty texts have no shingles and are linked with nothing, repeated rows stay and share a group."""
     found = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.drop("group_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -116,6 +124,7 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage of ``corpus_pipeline`` over all documents; an empty table passes through."""
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)

@@ -30,7 +30,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
 
     Weights repeat along the sources in code point order, null last. What a full source leaves goes to the others by
     weight until none is above its limit: sources fill in the order of limit / weight, so running sums along that order tell which are full.
-    Slopes of the schedules run from rising to falling in source order. A row per source passes through one task, as sorted
+    Slopes of the schedules run from rising to falling in source order. Null is a source like any other; other columns of ``sizes`` are left out,
+    whatever their names; sources must not repeat; no sources give no rows. A row per source passes through one task, as sorted
     windows that stream.
     """
     spread = F.array(*[F.lit(w) for w in weights])
