@@ -44,7 +44,7 @@ def boundary_stats(pairs: DataFrame, groups: dict[str, list[str]] | None = None,
     named = named.unionByName(rows.select(F.lit("-ALL-").alias("name"), F.lit("group").alias("kind"), "a", "b", "diff"))
     if names:
         table = rows.sparkSession.createDataFrame(names, "name string, mark string")
-        named = named.unionByName(rows.join(F.broadcast(table), "mark").select("name", F.lit("group").alias("kind"), "a", "b", "diff"))
+        named = named.unionByName(rows.join(table, "mark").select("name", F.lit("group").alias("kind"), "a", "b", "diff"))
     d = F.col("diff")
     stats = [F.count(F.lit(1)).alias("n")]
     for c in ("a", "b"):

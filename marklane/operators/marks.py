@@ -14,12 +14,12 @@ from .selection import positional
 def map_marks(intervals: DataFrame, mapping: dict[str, str], ignore: list[str] | None = None, unmapped: str | None = None, replace_unmapped: bool = False, tiers: list[str] | None = None) -> DataFrame:
     """Look whole marks up in a mapping; marks in ``ignore`` stay ('' by default).
 
-    With ``replace_unmapped`` all other marks become ``unmapped`` (None: empty). The mapping is a parameter, a
-    small set of literals.
+    With ``replace_unmapped`` all other marks become ``unmapped`` (None: empty). Spark knows the mapping's size and broadcasts it
+    if it is small.
     """
     ignore = [""] if ignore is None else ignore
     rows = intervals.sparkSession.createDataFrame(list(mapping.items()) or [("", "")], "_from string, _to string").limit(len(mapping))
-    joined = intervals.join(F.broadcast(rows), F.col("mark") == F.col("_from"), "left")
+    joined = intervals.join(rows, F.col("mark") == F.col("_from"), "left")
     other = F.lit(unmapped or "") if replace_unmapped else F.col("mark")
     new = F.when(in_marks(ignore), F.col("mark")).when(F.col("_from").isNotNull(), F.col("_to")).otherwise(other)
     new = new if tiers is None else F.when(of_tiers(intervals, tiers), new).otherwise(F.col("mark"))
