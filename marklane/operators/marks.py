@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import COLUMNS, KEY, P, duration, in_marks, is_empty, of_tiers, text_of
+from ..model import COLUMNS, KEY, duration, in_marks, is_empty, of_tiers, text_of
 from .regex import found, substituted
 from .selection import positional
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from ..model import COLUMNS, KEY, duration, in_marks, text_of, written
 from .marks import assign_from
 from .orderstats import at_ranks
+from .regex import literal
 
 
 def vocabulary(intervals: DataFrame, ignore: list[str] = ("", " ")) -> DataFrame:
@@ -58,12 +58,7 @@ def symbol_table(intervals: DataFrame) -> DataFrame:
 
 def marks_text(intervals: DataFrame, sep: str = "|") -> DataFrame:
     """(grid_id, tier_idx, text): marks in order, escaped as in a Python string literal without quotes, joined by ``sep``."""
-
-    @F.pandas_udf("string")
-    def shown(marks: pd.Series) -> pd.Series:
-        return marks.map(lambda m: repr(m)[1:-1])
-
-    rows = intervals.withColumn("_m", shown(text_of()))
+    rows = intervals.withColumn("_m", literal(text_of()))
     marks = F.transform(F.array_sort(F.collect_list(F.struct("idx", "_m"))), lambda x: x["_m"])
     return rows.groupBy(*KEY).agg(F.array_join(marks, sep).alias("text"))
 

@@ -50,6 +50,12 @@ def test_patterns_of_both_engines(spark):
     assert [(r["t"], p, rep) for r in got for i, (p, rep) in enumerate(swaps) if r[f"p{i}"] != re.sub(p, rep, r["t"])] == []
 
 
+def test_literals_equal_python(spark):
+    texts = [*TEXTS, "it's", 'say "hi"', """it's "both\\" """, "a\\b", "\x00\x7f\xa0\xad", "\u200b\u2028\u3000", "\U000e0001\U0001f600\U0010ffff", "\r\n\t\x0b", "x" * 5000 + "\n"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", regex.literal(F.col("t")).alias("r")).collect()
+    assert [(r["t"], r["r"]) for r in got if r["r"] != repr(r["t"])[1:-1]] == []
+
+
 def test_common_patterns_need_no_workers(spark):
     d = frame(spark, tier(units(["ab", "cd"])))
     plan = selection.matching(d, r"^[a-c]\w+$", "both")._jdf.queryExecution().executedPlan().toString()

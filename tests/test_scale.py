@@ -92,9 +92,9 @@ def packed_model(rows, most, pauses):
 def test_packing_ticks_in_any_blocks(spark, monkeypatch, pauses, block, width):
     monkeypatch.setattr(packing, "BLOCK", block)
     rng = random.Random(block)
-    tiers = [ticked([rng.choice([1, 2, 3, 9]) for _ in range(n)], [rng.choice(["", " ", "x", "y", "z"]) for _ in range(n)], f"g{n}") for n in (1, 2, 7, 40, 60)]
+    tiers = [ticked([rng.choice([1, 2, 3, 9]) for _ in range(n)], [rng.choice(["", " ", "x", "y", "z"]) for _ in range(n)], f"g{n}") for n in (1, 2, 7, 60)]
     d = spark.createDataFrame([r for t in tiers for r in t], TICKS)
-    for most in (1, 5, 8):
+    for most in (1, 5, 8) if block == 2048 else (5,):
         got = times(joining.join_by_duration(d, most, include_pauses=pauses, width=width))
         assert got == [x for t in sorted(tiers) for x in packed_model(t, most, pauses)]
     assert len(times(joining.join_by_duration(d, math.inf, include_pauses=True))) == len(tiers)
@@ -163,7 +163,7 @@ def snap(edges, t, threshold):
         edges[at] = t
 
 
-@pytest.mark.parametrize("threshold", [1, 2, 3, 5, 12, math.inf])
+@pytest.mark.parametrize("threshold", [1, 2, 5, math.inf])
 def test_sweeps_of_islands_equal_one_pass_over_the_tier(spark, threshold):
     rng = random.Random(5)
     rows, want = [], []
