@@ -47,6 +47,17 @@ def asof(rows: DataFrame, points: DataFrame, by: list[str], at: Column, t: str =
     return found.select(*[F.col("_row").getField(c).alias(c) for c in rows.columns], F.col("_p").alias(out))
 
 
+def numbered(rows: DataFrame, by: list[str], t: str, out: str, width: float | None = None) -> DataFrame:
+    """Append ``out``, the place of each row of a key in order of time, from 0. With ``width`` rows are counted in time blocks, and the sums of the blocks before are added."""
+    if width is None:
+        return rows.withColumn(out, (F.row_number().over(W.partitionBy(*by).orderBy(t)) - 1).cast("long"))
+    blocked = rows.withColumn("_block", F.coalesce(F.floor(F.col(t) / width), F.lit(0)).cast("long"))
+    counts = blocked.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(*by, "_block", (F.sum("_n").over(W.partitionBy(*by).orderBy("_block")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*by, "_block").orderBy(t)) - 1
+    return blocked.withColumn("_inside", inside).join(before, [*by, "_block"]).withColumn(out, (F.col("_before") + F.col("_inside")).cast("long")).drop("_block", "_inside", "_before")
+
+
 def enclosing(points: DataFrame, intervals: DataFrame, t: str = "t", out: str = "_in", width: float | None = None) -> DataFrame:
     """Append ``out``: the interval (idx, t0, t1, mark) of the tier that holds each timepoint (grid_id, tier_idx, t), and whether it had to be clamped.
 

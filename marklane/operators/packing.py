@@ -10,11 +10,10 @@ about log2(n / BLOCK) small joins. Each block is then walked from the row at whi
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import KEY, written
-from .lookup import asof
+from .lookup import asof, numbered
 
 #: Rows of a block: the length of the arrays that are walked.
 BLOCK = 2048
@@ -26,8 +25,7 @@ def chunk_starts(rows: DataFrame, longest: float, width: float | None = None) ->
     From a chunk's first start to its last end it lasts ``longest`` at most, but for a single row that is longer. Times are exact numbers
     (long ticks) that rise along a tier. ``width`` (of time, see ``lookup.asof``) spreads a long tier over tasks.
     """
-    along = W.partitionBy(*KEY).orderBy("idx")
-    ranked = rows.select(*KEY, "t0", "t1", (F.row_number().over(along) - 1).cast("long").alias("k"))
+    ranked = numbered(rows.select(*KEY, "t0", "t1"), KEY, "t0", "k", width)
     reach = F.greatest(F.col("t0") + F.lit(longest).cast(rows.schema["t0"].dataType), F.col("t1"))
     ahead = asof(ranked, ranked.select(*KEY, F.col("t1").alias("t"), F.col("k").alias("next")), KEY, reach, "t", "_n", after=True, strict=True, width=width, ties=["next"])
     of_block = F.array_sort(F.collect_list(F.struct("k", F.col("_n.next").alias("next"), "t0")))
