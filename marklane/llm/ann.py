@@ -304,15 +304,22 @@ class _Group:
             self.sizes = np.diff(np.r_[self.begin, len(cells)])
 
     def nearest(self, ids: np.ndarray, y: np.ndarray, cells: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(query, entry, score) of the ``k`` best visited entries of each query. A cell's entries are multiplied with the queries that visit it, and with no others."""
+        """(query, entry, score) of the ``k`` best visited entries of each query. A cell's entries are multiplied with the queries that visit it; with all of them only where at least half is visited."""
         self.ready()
         if not len(self.x):
             return
         visited = np.zeros((len(ids), len(self.names)), bool)
         for i, c in enumerate(cells):
             visited[i, np.searchsorted(self.names, c[np.isin(c, self.names)])] = True
-        # the scores of a query stand together, cell after cell
         of = visited * self.sizes
+        if 2 * of.sum() >= len(ids) * len(self.x):  # most is visited: one product of all
+            whole = y @ self.x.T
+            there = np.repeat(visited, self.sizes, axis=1)
+            for i in range(len(ids)):
+                other = np.flatnonzero(there[i])
+                yield from self._best(ids[i], y[i], other, whole[i, other])
+            return
+        # the scores of a query stand together, cell after cell
         ends = np.cumsum(of.sum(axis=1))
         at = np.cumsum(of, axis=1) - of + np.r_[0, ends[:-1]][:, None]
         rough, entry = np.empty(ends[-1]), np.empty(ends[-1], np.int32)
@@ -323,17 +330,20 @@ class _Group:
                 rough[spots] = y[asking] @ self.x[a : a + n].T
                 entry[spots] = np.arange(a, a + n)
         for i, (lo, hi) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
-            other, near = entry[lo:hi], rough[lo:hi]
-            own = self.ids[other] == ids[i]
-            if own.any():
-                other, near = other[~own], near[~own]
-            if (over := len(near) - self.k) > 0:
-                bar = np.partition(near, over)[over]
-                other = other[near >= bar - 1e-9 * (1 + abs(bar))]
-            if len(other):
-                s = (self.x[other] * y[i]).sum(axis=1)  # the exact measure, in one order of additions
-                order = np.lexsort((self.ids[other], -s))[: self.k]
-                yield np.full(len(order), ids[i]), self.ids[other][order], s[order]
+            yield from self._best(ids[i], y[i], entry[lo:hi], rough[lo:hi])
+
+    def _best(self, query: int, y: np.ndarray, other: np.ndarray, near: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The ``k`` best of the entries ``other`` but the query's own, whose products are about ``near``."""
+        own = self.ids[other] == query
+        if own.any():
+            other, near = other[~own], near[~own]
+        if (over := len(near) - self.k) > 0:
+            bar = np.partition(near, over)[over]
+            other = other[near >= bar - 1e-9 * (1 + abs(bar))]
+        if len(other):
+            s = (self.x[other] * y).sum(axis=1)  # the exact measure, in one order of additions
+            order = np.lexsort((self.ids[other], -s))[: self.k]
+            yield np.full(len(order), query), self.ids[other][order], s[order]
 
 
 class _Block:

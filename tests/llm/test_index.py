@@ -51,6 +51,19 @@ def test_group_multiplies_only_visited_cells(monkeypatch):
         assert found.get(q, ([], []))[0] == want
 
 
+def test_group_that_is_mostly_visited_gives_the_same():
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(90, 8)), rng.normal(size=(4, 8))
+    group = ann._Group(8, 5, 0)
+    for i, v in enumerate(x):
+        group.add(i, v.tobytes(), i % 3)
+    cells = [np.array(c) for c in ([0, 1, 2], [0, 1], [2, 1, 0], [1])]
+    got = {int(q[0]): e.tolist() for q, e, _ in group.nearest(np.array([0, 101, 102, 103]), y, cells)}
+    for i, q in enumerate([0, 101, 102, 103]):
+        inside = [j for j in range(90) if j % 3 in cells[i] and j != q]
+        assert got[q] == sorted(inside, key=lambda j: (-float((x[j] * y[i]).sum()), j))[:5]
+
+
 def test_places_hold_every_entry_once():
     rng = np.random.default_rng(5)
     index = ann.Index(rng.normal(size=(7, 4)), rng.normal(size=(5, 5)), 1.0, 4)
