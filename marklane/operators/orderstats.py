@@ -26,16 +26,26 @@ def at_ranks(values: DataFrame, keys: list[str], v: str, ranks: list) -> DataFra
     pairs = values.where(F.col(v).isNotNull()).groupBy(*keys, F.col(v).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     key = F.struct(*[F.coalesce(F.to_json(F.struct(k)), F.lit("{}")).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.struct(F.lit(0).alias("k0"))
     pairs = written(pairs.withColumn("_key", key))
+    kind = pairs.schema["_v"].dataType
+    most = pairs.groupBy("_key").count().agg(F.max("count")).first()[0]
+    pick = (
+        "aggregate(_of, named_struct('at', {before}, 'v', cast(null as " + kind.simpleString() + ")), (s, x) -> "
+        "named_struct('at', s.at + x._c, 'v', if({rank} >= s.at and {rank} < s.at + x._c, x._v, s.v)), s -> s.v)"
+    )
+    whole = F.array_sort(F.collect_list(F.struct("_v", "_c"))).alias("_of")
+    asked = lambda n: F.array(*[r(n).cast("long") for r in ranks])
+    if (most or 0) <= SMALL:  # each group is put together at once
+        every = pairs.groupBy("_key").agg(whole, F.sum("_c").alias("n"), *[F.first(k).alias(k) for k in keys])
+        return every.withColumn("_ranks", asked(F.col("n"))).select(*keys, "n", F.expr(f"transform(_ranks, r -> {pick.format(before='0L', rank='r')})").alias("stats"))
     groups = pairs.groupBy("_key").agg(F.sum("_c").alias("n"), F.count(F.lit(1)).alias("_d"), *[F.first(k).alias(k) for k in keys])
-    wanted = groups.select("_key", "n", "_d", *keys, F.posexplode(F.array(*[r(F.col("n")).cast("long") for r in ranks])).alias("_i", "_rank"))
-    nothing = F.lit(None).cast(pairs.schema["_v"].dataType)
+    wanted = groups.select("_key", "n", "_d", *keys, F.posexplode(asked(F.col("n"))).alias("_i", "_rank"))
+    nothing = F.lit(None).cast(kind)
     open_ = written(wanted.withColumns({"_lo": nothing, "_hi": nothing, "_before": F.lit(0).cast("long")}))
-    while (most := open_.agg(F.max("_d")).first()[0]) and most > SMALL:
+    while open_.agg(F.max("_d")).first()[0] > SMALL:
         open_ = written(_narrowed(pairs, open_))
     inside = open_.join(pairs.select("_key", "_v", "_c"), "_key").where(_within())
-    ranged = inside.groupBy("_key", "_i").agg(F.first("_rank").alias("_rank"), F.first("_before").alias("_before"), F.array_sort(F.collect_list(F.struct("_v", "_c"))).alias("_of"))
-    picked = "aggregate(_of, named_struct('at', _before, 'v', cast(null as {0})), (s, x) -> named_struct('at', s.at + x._c, 'v', if(_rank >= s.at and _rank < s.at + x._c, x._v, s.v)), s -> s.v)"
-    one = ranged.select("_key", "_i", F.expr(picked.format(pairs.schema["_v"].dataType.simpleString())).alias("_x"))
+    ranged = inside.groupBy("_key", "_i").agg(F.first("_rank").alias("_rank"), F.first("_before").alias("_before"), whole)
+    one = ranged.select("_key", "_i", F.expr(pick.format(before="_before", rank="_rank")).alias("_x"))
     stats = one.groupBy("_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda s: s["_x"]).alias("stats"))
     return groups.join(stats, "_key").select(*keys, "n", "stats")
 
