@@ -88,22 +88,22 @@ def packed_model(rows, most, pauses):
 
 
 @pytest.mark.parametrize("pauses", [False, True])
-@pytest.mark.parametrize("block,width", [(2048, None), (4, None), (4, 25), (1, None)])
+@pytest.mark.parametrize("block,width", [(2048, None), (4, 25), (1, None)])
 def test_packing_ticks_in_any_blocks(spark, monkeypatch, pauses, block, width):
     monkeypatch.setattr(packing, "BLOCK", block)
     rng = random.Random(block)
     tiers = [ticked([rng.choice([1, 2, 3, 9]) for _ in range(n)], [rng.choice(["", " ", "x", "y", "z"]) for _ in range(n)], f"g{n}") for n in (1, 2, 7, 60)]
     d = spark.createDataFrame([r for t in tiers for r in t], TICKS)
-    for most in (1, 5, 8) if block == 2048 else (5,):
+    for most in (1, 5) if block == 2048 else (5,):
         got = times(joining.join_by_duration(d, most, include_pauses=pauses, width=width))
         assert got == [x for t in sorted(tiers) for x in packed_model(t, most, pauses)]
     assert len(times(joining.join_by_duration(d, math.inf, include_pauses=True))) == len(tiers)
 
 
 def test_packing_a_long_tier(spark):
-    """200,000 rows, some hundred blocks, against the fold of the same rows as doubles (whole numbers, so their sums are exact)."""
+    """60,000 rows, some thirty blocks, against the fold of the same rows as doubles (whole numbers, so their sums are exact)."""
     rng = np.random.default_rng(3)
-    rows = spark.createDataFrame(ticked(rng.integers(1, 60, 200_000).tolist(), ["x"] * 200_000), TICKS)
+    rows = spark.createDataFrame(ticked(rng.integers(1, 60, 60_000).tolist(), ["x"] * 60_000), TICKS)
     doubles = rows.withColumns({"t0": F.col("t0").cast("double"), "t1": F.col("t1").cast("double")})
     spans = lambda df: sorted((int(r["t0"]), int(r["t1"])) for r in df.select("t0", "t1").collect())
     assert spans(joining.join_by_duration(rows, 500, include_pauses=True, width=300_000)) == spans(joining.join_by_duration(doubles, 500, include_pauses=True))
@@ -112,7 +112,7 @@ def test_packing_a_long_tier(spark):
 # --- templates
 
 
-@pytest.mark.parametrize("block,blocks", [(2048, 1024), (3, 2), (1, 3)])
+@pytest.mark.parametrize("block,blocks", [(2048, 1024), (3, 2)])
 def test_template_in_any_blocks(spark, monkeypatch, block, blocks):
     monkeypatch.setattr(joining, "BLOCK", block)
     monkeypatch.setattr(joining, "BLOCKS", blocks)
@@ -163,7 +163,7 @@ def snap(edges, t, threshold):
         edges[at] = t
 
 
-@pytest.mark.parametrize("threshold", [1, 2, 5, math.inf])
+@pytest.mark.parametrize("threshold", [2, 5, math.inf])
 def test_sweeps_of_islands_equal_one_pass_over_the_tier(spark, threshold):
     rng = random.Random(5)
     rows, want = [], []
@@ -189,7 +189,7 @@ def test_two_points_near_one_edge():
 # --- order statistics
 
 
-@pytest.mark.parametrize("small,parts", [(20_000, 256), (10, 4), (1, 3)])
+@pytest.mark.parametrize("small,parts", [(20_000, 256), (10, 4)])
 def test_order_statistics_in_rounds(spark, monkeypatch, small, parts):
     monkeypatch.setattr(orderstats, "SMALL", small)
     monkeypatch.setattr(orderstats, "PARTS", parts)
