@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..model import duration, in_marks, text_of
+from ..model import duration, in_marks, text_of, written
+from .orderstats import at_ranks
 
 
 def paired(a: DataFrame, b: DataFrame, tier: str, ignore: list[str] = ()) -> DataFrame:
@@ -37,26 +38,32 @@ def boundary_stats(pairs: DataFrame, groups: dict[str, list[str]] | None = None,
     """One row per mark, per group of marks and for all (``-ALL-``): durations in both annotations and their absolute differences in whole ms.
 
     Grids with mismatches must be left out before. ``to_ms`` turns a duration into ms. Groups without a mark that occurs give no row.
+    A mark that a group names twice counts once. The pairs are computed once; medians are exact order statistics (``orderstats``), so no group is brought together.
     """
-    rows = pairs.select(F.col("mark_a").alias("mark"), (F.col("da") * to_ms).alias("a"), (F.col("db") * to_ms).alias("b"), F.abs(F.bround((F.col("da") - F.col("db")) * to_ms, 0)).alias("diff"))
-    names = [(g, m) for g, marks in (groups or {}).items() for m in marks]
-    named = rows.select(F.col("mark").alias("name"), F.lit("mark").alias("kind"), "a", "b", "diff")
-    named = named.unionByName(rows.select(F.lit("-ALL-").alias("name"), F.lit("group").alias("kind"), "a", "b", "diff"))
+    rows = written(pairs.select(F.col("mark_a").alias("mark"), (F.col("da") * to_ms).alias("a"), (F.col("db") * to_ms).alias("b"), F.abs(F.bround((F.col("da") - F.col("db")) * to_ms, 0)).alias("diff")))
+    entry = lambda name, kind: F.struct(name.alias("name"), F.lit(kind).alias("kind"))
+    own = F.array(entry(F.col("mark"), "mark"), entry(F.lit("-ALL-"), "group"))
+    names = [(g, m) for g, marks in (groups or {}).items() for m in dict.fromkeys(marks)]
     if names:
-        table = rows.sparkSession.createDataFrame(names, "name string, mark string")
-        named = named.unionByName(rows.join(table, "mark").select("name", F.lit("group").alias("kind"), "a", "b", "diff"))
+        table = rows.sparkSession.createDataFrame(names, "name string, mark string").groupBy("mark").agg(F.collect_list(entry(F.col("name"), "group")).alias("_groups"))
+        rows = rows.join(table, "mark", "left")
+        own = F.concat(own, F.coalesce("_groups", F.array().cast(table.schema["_groups"].dataType)))
+    named = rows.select(F.explode(own).alias("_of"), "a", "b", "diff").select("_of.*", "a", "b", "diff")
     d = F.col("diff")
     stats = [F.count(F.lit(1)).alias("n")]
     for c in ("a", "b"):
         stats += [F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}"), F.avg(c).alias(f"mean_{c}"), F.stddev_pop(c).alias(f"sd_{c}")]
-    stats += [F.min(d).alias("min_diff"), F.max(d).alias("max_diff"), F.median(d).alias("median_diff"), F.avg(d).alias("mean_diff"), F.stddev_pop(d).alias("sd_diff"), F.sum(d).alias("sum_diff")]
+    stats += [F.min(d).alias("min_diff"), F.max(d).alias("max_diff"), F.avg(d).alias("mean_diff"), F.stddev_pop(d).alias("sd_diff"), F.sum(d).alias("sum_diff")]
     bins = bins_of(list(limits), ignore_zero)
     if bins and not ignore_zero:
         bins = [("Match0ms", -1.0, 0.0), *bins]
     for name, lo, hi in bins:
         hit = (d > lo) & (d <= hi)
         stats += [F.sum(hit.cast("long")).alias(name), (F.sum(hit.cast("long")) * 100.0 / F.count(F.lit(1))).alias(f"{name}%")]
-    return named.groupBy("name", "kind").agg(*stats)
+    middle = at_ranks(named, ["name", "kind"], "diff", [lambda n: F.floor((n - 1) / 2), lambda n: F.ceil((n - 1) / 2)])
+    medians = middle.select(F.col("name").alias("_name"), F.col("kind").alias("_kind"), ((F.col("stats")[0] + F.col("stats")[1]) / 2).alias("median_diff"))
+    found = named.groupBy("name", "kind").agg(*stats)
+    return found.join(medians, F.col("name").eqNullSafe(F.col("_name")) & (F.col("kind") == F.col("_kind")), "left").drop("_name", "_kind")
 
 
 def equal_tiers(a: DataFrame, b: DataFrame) -> DataFrame:

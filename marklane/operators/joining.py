@@ -85,17 +85,19 @@ def join_by_boundary(intervals: DataFrame, boundary_tier: str, tiers: list[str],
     """Join between successive boundaries of another tier.
 
     A grid whose boundary tier has no interval, or some boundary that a target tier lacks, stays as it is
-    (``validation.missing_boundaries`` names those).
+    (``validation.missing_boundaries`` names those). As tiers have no gaps, a tier has all boundaries if an interval starts at each one
+    but the last, and the last is one's start or the tier's end; so this is counted in the pass that finds the chunks.
     """
-    bounds = boundaries(intervals, boundary_tier)
+    of_grid = W.partitionBy("grid_id")
+    bounds = boundaries(intervals, boundary_tier).withColumns({"_n": F.count(F.lit(1)).over(of_grid), "_end": F.max("t").over(of_grid)})
 
     def op(d: DataFrame) -> DataFrame:
-        have = d.select(*KEY, F.explode(F.array("t0", "t1")).alias("t")).distinct()
-        wanted = d.select(*KEY).distinct().join(bounds, "grid_id")
-        lacking = wanted.join(have, [*KEY, "t"], "left_anti").select(*KEY).distinct().withColumn("_lacks", F.lit(True))
-        some = bounds.select("grid_id").distinct().withColumn("_some", F.lit(True))
-        flagged = _at_boundary(d, bounds).join(lacking, KEY, "left").join(some, "grid_id", "left")
-        return merge_chunks(chunks_by(F.col("_bound") | F.col("_lacks").isNotNull() | F.col("_some").isNull(), flagged).select(*COLUMNS, "chunk"), join_with, keep_empty)
+        of_tier = W.partitionBy(*KEY)
+        rows = d.join(bounds.withColumnRenamed("t", "t0"), ["grid_id", "t0"], "left").withColumn("_bound", F.col("_n").isNotNull())
+        at_end = (F.max("t1").over(of_tier) == F.max("_end").over(of_tier)).cast("int")
+        has_all = F.sum(F.col("_bound").cast("int")).over(of_tier) + at_end == F.max("_n").over(of_tier)
+        flagged = rows.withColumn("_all", F.coalesce(has_all, F.lit(False)))
+        return merge_chunks(chunks_by(F.col("_bound") | ~F.col("_all"), flagged).select(*COLUMNS, "chunk"), join_with, keep_empty)
 
     return on_tiers(intervals, tiers, op)
 

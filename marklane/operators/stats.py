@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -123,18 +122,24 @@ def label_durations(intervals: DataFrame, tier: str, assign_tier: str, mark: str
     return assign_from(intervals, tier, assign_tier, select_durations(intervals, tier, marks, scope, lo, hi, **how), mark)
 
 
-def label_counts(intervals: DataFrame, tier: str, assign_tier: str, mark: str, marks: list[str], scope: list[str], lo: float, hi: float, **how) -> DataFrame:
+def label_counts(intervals: DataFrame, tier: str, assign_tier: str, mark: str, marks: list[str], scope: list[str], lo: float, hi: float, range_mode: str = "percentile", per_mark: bool = True, min_count: int = 1) -> DataFrame:
     """(counter, n) of a labelling: ``total`` intervals of the tier, ``considered`` ones with one of the marks, those whose
-    scope has ``enough`` of them, those of ``matching`` duration, and the marks ``changed`` on ``assign_tier``."""
-    rows = intervals.where(F.col("tier_name") == tier)
-    considered = rows.where(in_marks(marks)) if marks else rows
-    enough = _with_bounds(considered, scope, lo, hi, **how)
-    matching = enough.where((duration() >= F.col("lo")) & (duration() < F.col("hi")))
-    after = assign_from(intervals, tier, assign_tier, matching, mark).select(*KEY, "idx", text_of().alias("_new"))
-    changed = intervals.join(after, [*KEY, "idx"]).where(text_of() != F.col("_new"))
-    counters = {"total": rows, "considered": considered, "enough": enough, "matching": matching, "changed": changed}
-    counts = [d.agg(F.lit(name).alias("counter"), F.count(F.lit(1)).alias("n")) for name, d in counters.items()]
-    return reduce(DataFrame.unionByName, counts)
+    scope has ``enough`` of them, those of ``matching`` duration, and the marks ``changed`` on ``assign_tier``.
+
+    Each interval of the tier is judged once and written with its flags; the first four are sums over those, the last is counted
+    on ``assign_tier`` by a semi join with the times of the matching ones."""
+    rows = intervals.where(F.col("tier_name") == tier).withColumn("_asked", in_marks(marks) if marks else F.lit(True)).withColumn("mark", text_of())
+    keys = list(scope) if scope or per_mark else ["tier_name"]
+    bounds = duration_bounds(rows.where("_asked"), keys, lo, hi, range_mode, per_mark, min_count)
+    judged = rows.join(bounds, [*keys, *(["mark"] if per_mark else [])], "left").withColumn("_enough", F.col("_asked") & F.col("n").isNotNull())
+    fits = F.col("_enough") & (duration() >= F.col("lo")) & (duration() < F.col("hi"))
+    judged = written(judged.select("grid_id", "t0", "t1", "_asked", "_enough", F.coalesce(fits, F.lit(False)).alias("_fits")))
+    times = judged.where("_fits").select("grid_id", "t0", "t1").distinct()
+    changed = intervals.where((F.col("tier_name") == assign_tier) & (text_of() != mark)).join(times, ["grid_id", "t0", "t1"], "left_semi")
+    flags = {"considered": "_asked", "enough": "_enough", "matching": "_fits"}
+    sums = judged.agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(name) for name, c in flags.items()])
+    counts = sums.select(F.explode(F.array(*[F.struct(F.lit(name).alias("counter"), F.col(name).alias("n")) for name in ("total", *flags)])).alias("x")).select("x.*")
+    return counts.unionByName(changed.agg(F.lit("changed").alias("counter"), F.count(F.lit(1)).alias("n")))
 
 
 def run_log(durations: DataFrame, column: str = "duration") -> DataFrame:

@@ -1,6 +1,8 @@
 """Interval operators on small tiers with known results, and folds against plain models."""
 
 import math
+import random
+import statistics
 import wave
 
 import pytest
@@ -9,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marklane.model import COLUMNS, is_pause
-from marklane.operators import alignment, comparison, creation, dictionary, joining, marks, selection, splitting, stats, tiers, validation
+from marklane.operators import alignment, comparison, creation, dictionary, joining, marks, orderstats, selection, splitting, stats, tiers, validation
 from marklane.sources import audio, files, gridfile, tables
 
 SCHEMA = "grid_id string, tier_idx int, tier_name string, idx long, t0 double, t1 double, mark string"
@@ -116,6 +118,32 @@ def test_boundary_tier_without_match_changes_nothing(spark):
     assert out(joining.join_by_boundary(d, "b", ["a"])) == [(0.0, 2.0, "a b"), (2.0, 4.0, "c d")]
 
 
+def test_boundaries_against_brute_force(spark):
+    rng, wanted, tiers = random.Random(5), {}, []
+    for g in range(40):
+        cuts = sorted({0, 12, *rng.sample(range(1, 12), rng.randint(0, 10))})
+        some = sorted({0, 12, *rng.sample(cuts, rng.randint(0, len(cuts)))})
+        if g % 4 == 0:
+            some = sorted({*some, rng.randint(0, 12)})
+        if g % 5 == 0:
+            some = some[: rng.randint(2, len(some))]  # ends before the tier, or where it ends
+        if g % 7 == 0:
+            some = [*some, 15]
+        spans = [(a, b, rng.choice("xyz")) for a, b in zip(cuts, cuts[1:])]
+        tiers.append(tier(spans, grid=f"g{g}"))
+        if g != 3:
+            tiers.append(tier([(a, b, "p") for a, b in zip(some, some[1:])], "b", 1, grid=f"g{g}"))
+        chunks = []
+        for a, b, m in spans:
+            if g == 3 or a in some or not set(some) <= set(cuts) or not chunks:
+                chunks.append((a, b, m))
+            else:
+                chunks[-1] = (chunks[-1][0], b, f"{chunks[-1][2]} {m}")
+        wanted[f"g{g}"] = [(float(a), float(b), m) for a, b, m in chunks]
+    got = joining.join_by_boundary(frame(spark, *tiers), "b", ["a"]).where("tier_name = 'a'").orderBy("grid_id", "idx").collect()
+    assert {g: [(r["t0"], r["t1"], r["mark"]) for r in got if r["grid_id"] == g] for g in wanted} == wanted
+
+
 def test_split(spark):
     d = frame(spark, tier([(0, 0.5, ""), (0.5, 2, '"This test"'), (2, 2.5, ""), (2.5, 3, ""), (3, 5, "Is right."), (5, 6, None)]))
     got = out(splitting.split_intervals(d))
@@ -217,6 +245,22 @@ def test_comparison(spark):
     assert comparison.mismatches(comparison.paired(a, b.where("idx = 0"), "a")).first()["n"] == 1
 
 
+def test_boundary_medians_against_brute_force(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i % 3, i, rng.choice("xyz"), "x", float(rng.randint(0, 400)), float(rng.randint(0, 400))) for i in range(301)] + [(9, 0, None, "x", None, 5.0)]
+    pairs = spark.createDataFrame(rows, "grid_id long, k long, mark_a string, mark_b string, da double, db double")
+    for small in (orderstats.SMALL, 20):  # all at once, and in rounds
+        monkeypatch.setattr(orderstats, "SMALL", small)
+        got = {(r["name"], r["kind"]): r for r in comparison.boundary_stats(pairs, {"two": ["x", "y", "x"], "none": ["q"]}, [50], to_ms=1.0).collect()}
+        held = {("-ALL-", "group"): "xyz", ("two", "group"): "xy", **{(m, "mark"): m for m in "xyz"}}
+        assert set(got) == {*held, (None, "mark")}
+        for key, names in held.items():
+            diffs = [abs(a - b) for _, _, m, _, a, b in rows if m is not None and m in names]
+            assert got[key]["median_diff"] == statistics.median(diffs) and got[key]["sum_diff"] == sum(diffs)
+        assert got[None, "mark"]["n"] == 1 and got[None, "mark"]["median_diff"] is None and got["-ALL-", "group"]["n"] == 302
+    assert comparison.boundary_stats(pairs.where("false")).count() == 0
+
+
 def test_files_round_trip(spark, tmp_path):
     text = 'say "hi"\nthere'
     d = frame(spark, tier([(0, 0.0001, "a"), (0.0001, 2, text), (2, 3.5, None)]), tier([(0, 3.5, "")], 'b"c', 1))
