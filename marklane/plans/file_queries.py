@@ -98,11 +98,12 @@ def s12_incremental(spark, sf):
     rows = views.conversations(spark, sf)
     source, target, log = shared_folder(spark), shared_folder(spark), shared_folder(spark)
     op = lambda iv: iv.withColumn("mark", F.concat(F.lit("<"), "mark", F.lit(">")))
-    seen = []
+    ends = []
     for k in (0, 1):
         datasource.save(rows.where(F.col("grid_id") % 2 == k), source)
-        seen.append(incremental.run_new(spark, source, target, log, op))
-    first = seen[1].select("grid_id", F.when(F.col("batch") == 0, 0).otherwise(1).cast("long").alias("arrival"))
+        seen = incremental.run_new(spark, source, target, log, op)
+        ends.append(seen.agg(F.max("batch")).first()[0])  # a run has as many batches as its files need
+    first = seen.select("grid_id", F.when(F.col("batch") <= ends[0], 0).otherwise(1).cast("long").alias("arrival"))
     return datasource.load(spark, target).where("tier_name = 'text'").join(first, "grid_id").select("grid_id", "idx", "mark", "arrival")
 
 

@@ -1,5 +1,6 @@
 """Rounding, regular expressions, ranged audio, path lists, the data source and incremental runs, against Python's own results."""
 
+import functools
 import io
 import math
 import random
@@ -12,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marklane.operators import regex, rounding, selection
+from marklane.plans import catalog
 from marklane.sources import audio, datasource, gridfile, incremental, tables
 
 from .test_operators import frame, out, tier, units
@@ -187,3 +189,9 @@ def test_incremental_runs_equal_one_run(spark, tmp_path):
     again = incremental.run_new(spark, source, target, log, op)
     assert again.count() == 10 and sorted(map(str, datasource.load(spark, target).drop("error").collect())) == everything
     assert incremental.run_new(spark, source, target, log, op).count() == 10  # nothing new
+
+
+def test_arrivals_of_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(incremental, "run_new", functools.partial(incremental.run_new, files_per_batch=4))
+    rows = catalog.QUERIES["s12_incremental"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and [(r["grid_id"], r["arrival"]) for r in rows if r["arrival"] != int(r["grid_id"]) % 2] == []
