@@ -29,6 +29,8 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 _NONE = np.iinfo(np.int32).max
 #: Bytes that a task's cache of encoded pieces holds at most between two steps.
 CACHE_BYTES = 48 << 20
+#: Text bytes of one step: decoding needs some 30 times as many for its indices.
+STEP_BYTES = 1 << 20
 
 
 def byte_characters() -> list[str]:
@@ -221,7 +223,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
         cache = loaded(path).new_cache()
         return lambda batch: [_packed(*cache.ids(texts_of(batch, at)))]
 
-    return map_rows(df, make, [field(ids, T.BinaryType())], text)
+    return map_rows(df, make, [field(ids, T.BinaryType())], text, step=STEP_BYTES)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -238,7 +240,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
         return fn
 
-    return map_rows(df, make, [field(text, T.StringType())], ids)
+    return map_rows(df, make, [field(text, T.StringType())], ids, step=STEP_BYTES)
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = "decoded", exact: str | None = "exact") -> DataFrame:
@@ -266,4 +268,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text", ids: str = "ids", d
 
         return fn
 
-    return map_rows(df, make, fields, text, (text,))
+    return map_rows(df, make, fields, text, (text,), STEP_BYTES)

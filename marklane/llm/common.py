@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Text bytes that one step of an Arrow function handles at once; a longer single text is one step.
+#: Text bytes that one step of an Arrow function handles at once, and that Spark puts into a batch for it; a longer single text is one step.
 SLICE_BYTES = 4 << 20
 
 
@@ -54,12 +55,22 @@ def slices(batch: pa.RecordBatch, column: int | None, limit: int = SLICE_BYTES)
         yield batch.slice(a, b - a)
 
 
-def map_rows(df: DataFrame, make: Callable, fields: list[T.StructField], text: str | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+def release() -> None:
+    """Give freed memory back to the system: a worker that waits for its next task holds no buffers."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
+def map_rows(df: DataFrame, make: Callable, fields: list[T.StructField], text: str | None = None, drop: tuple[str, ...] = (), step: int = SLICE_BYTES) -> DataFrame:
     """Append ``fields`` to every row; ``make()`` gives a function from a record batch to the new arrays.
 
     Columns of ``df`` named like a new field or in ``drop`` give way; all others pass unchanged.
-    What ``make()`` sets up (caches of words or pieces) belongs to one task and goes with it.
+    What ``make()`` sets up (caches of words or pieces) belongs to one task and goes with it. A call gets texts of about
+    ``step`` bytes. The session's batches are bounded alike: 10,000 long rows at once would be held on both sides, in every task.
     """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", max(step, SLICE_BYTES))
     new = {f.name for f in fields}
     keep = [i for i, f in enumerate(df.schema.fields) if f.name not in new and f.name not in drop]
     names = [df.schema.fields[i].name for i in keep] + [f.name for f in fields]
@@ -68,9 +79,10 @@ def map_rows(df: DataFrame, make: Callable, fields: list[T.StructField], text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for part in slices(batch, at):
+            for part in slices(batch, at, step):
                 yield pa.RecordBatch.from_arrays([part.column(i) for i in keep] + list(fn(part)), names=names)
-        pa.default_memory_pool().release_unused()  # a worker that waits for its next task holds no buffers
+        del fn
+        release()
 
     return df.mapInArrow(run, T.StructType([df.schema.fields[i] for i in keep] + list(fields)))
 

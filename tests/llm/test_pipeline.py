@@ -4,9 +4,12 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tests.llm.test_operators import HARD, _brute, plain_targets
 
+from marklane.llm import common
 from marklane.llm.common import materialise
 from marklane.llm.entry import tokenizer
 
@@ -101,3 +104,10 @@ def test_odd_rows(spark):
         assert got.columns == docs.columns and all(r[c] == "mine" for r in got.collect() for c in names)
     coded = corpus_pipeline.tokens(spark, docs, SF).collect()
     assert len(coded) == len(rows) and all(r["exact"] for r in coded)
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    rows = spark.createDataFrame([(i, "x" * 10_000) for i in range(2_000)], "id long, text string").coalesce(1)
+    sized = common.map_rows(rows, lambda: lambda batch: [pa.array([batch.num_rows] * batch.num_rows, pa.int64())], [common.field("n", T.LongType())])
+    seen = [r["n"] for r in sized.select("id", "n").collect()]
+    assert len(seen) == 2_000 and max(seen) * 10_000 < 2 * common.SLICE_BYTES
