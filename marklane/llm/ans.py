@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -39,6 +40,10 @@ LANES = 1024
 BLOCK_IDS = 1 << 18
 #: Bytes that a worker's cache of encoded pieces holds at most between two steps.
 CACHE_BYTES = 160 << 20
+#: The same for its cache of encoded words, of which pieces are made.
+WORD_BYTES = 48 << 20
+#: Text bytes of one step of tokenising; a piece that repeats inside a step is looked up once.
+STEP_BYTES = 8 << 20
 FILE_IDS = 1 << 20
 _LOW = np.uint64(1 << 31)
 #: Ids (about) of a part, that is of one task's files; a file ends at FILE_IDS.
@@ -54,7 +59,7 @@ _TOKENIZERS: dict[str, PieceCache] = {}
 
 
 def library_ids(path: str) -> PieceCache:
-    """Ids by the tokenizers library, one encoding for each distinct space-separated piece.
+    """Ids by the tokenizers library, one encoding for each distinct word of the distinct space-separated pieces.
 
     Holds for tokenizers that compose and lower-case and whose pre-tokenizer is WORDS. Most pieces are cut into its words
     here, which go straight to the library's model: printable ASCII, and Latin letters with or without a stop. Others
@@ -83,8 +88,17 @@ def library_ids(path: str) -> PieceCache:
         stem, stop = (low[:-1], [low[-1]]) if low[-1] in ".," else (low, [])
         return [stem.encode().decode("latin-1").translate(shown_bytes), *stop] if stem.isalpha() and max(stem) < "\u0250" else None
 
+    def encode_words(cut: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, ends = [], [0]
+        for w in cut:
+            flat += [t.id for t in model(w)]
+            ends.append(len(flat))
+        return np.array(flat, np.int32), np.diff(ends)
+
+    known = PieceCache(lambda t: [t], encode_words, WORD_BYTES)
+
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        flat, ends, rest = [], [], []  # flat lists: a list for each piece would keep the garbage collector busy
+        cuts, counts, rest = [], [], []  # flat lists: a list for each piece would keep the garbage collector busy
         direct = np.ones(len(pieces), bool)
         for i, piece in enumerate(pieces):
             cut = words(piece)
@@ -92,12 +106,12 @@ def library_ids(path: str) -> PieceCache:
                 direct[i] = False
                 rest.append(piece)
                 continue
-            for w in cut:
-                flat += [t.id for t in model(w)]
-            ends.append(len(flat))
+            cuts += cut
+            counts.append(len(cut))
+        flat, ends = known.ids_of_parts(cuts, np.array(counts, np.int64))
         rest_ids, rest_sizes = encode_joined(rest) if rest else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         sizes = np.empty(len(pieces), np.int64)
-        sizes[direct], sizes[~direct] = np.diff([0, *ends]), rest_sizes
+        sizes[direct], sizes[~direct] = np.diff(ends), rest_sizes
         out, of_direct = np.empty(int(sizes.sum()), np.int32), np.repeat(direct, sizes)
         out[of_direct], out[~of_direct] = flat, rest_ids
         return out, sizes
@@ -122,8 +136,9 @@ def library_ids(path: str) -> PieceCache:
     probe = "Don't WE'LL !'s x1y22 a-b. Été, ŒUVRE."
     if encode(probe.split(" "))[0].tolist() != tok.encode(probe, add_special_tokens=False).ids:
         raise ValueError("this tokenizer cuts or changes words by other rules")
-    _TOKENIZERS[path] = PieceCache(lambda t: t.split(" "), encode, CACHE_BYTES)
-    return _TOKENIZERS[path]
+    cache = _TOKENIZERS[path] = PieceCache(lambda t: t.split(" "), encode, CACHE_BYTES)
+    cache.words = known
+    return cache
 
 
 def scaled(counts: np.ndarray, bits: int = SCALE_BITS) -> np.ndarray:
@@ -252,7 +267,7 @@ def tokenise(df: DataFrame, path: str, end_id: int, vocabulary: int, text: str =
         cache, end = library_ids(path), np.array([end_id], kind).tobytes()
 
         def fn(batch: pa.RecordBatch):
-            flat, ends = cache.ids_of(batch.column(at))
+            flat, ends = cache.ids_of(pc.replace_substring(batch.column(at), "\n", " "))  # white space of either kind parts words
             if len(flat) and int(flat.max()) >= vocabulary:
                 raise ValueError("an id lies outside of the vocabulary")
             flat = flat.astype(kind)
@@ -260,7 +275,7 @@ def tokenise(df: DataFrame, path: str, end_id: int, vocabulary: int, text: str =
 
         return fn
 
-    return map_rows(df, make, [field(ids, T.BinaryType())], text)
+    return map_rows(df, make, [field(ids, T.BinaryType())], text, step=STEP_BYTES)
 
 
 def histogram(df: DataFrame, vocabulary: int, ids: str = "ids") -> np.ndarray:

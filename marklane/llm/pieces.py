@@ -29,7 +29,6 @@ class _Index(dict):
     def __missing__(self, piece: str) -> int:
         n = self[piece] = len(self)
         self.new.append(piece)
-        self.held += PIECE_BYTES + 2 * len(piece)
         return n
 
 
@@ -81,6 +80,12 @@ class PieceCache:
         number = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
         return self._gathered(number[coded.indices.to_numpy()], parts.value_lengths().to_numpy())
 
+    def ids_of_parts(self, parts: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``ids`` of texts that are cut already: all their parts, and how many each text has."""
+        if self.index.held + 4 * self.used > self.limit:
+            self._clear()
+        return self._gathered(np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts)), counts)
+
     def _gathered(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of texts that have ``counts`` pieces each, ``at`` their numbers; new pieces are encoded first."""
         if self.index.new:
@@ -95,6 +100,7 @@ class PieceCache:
     def _add(self, pieces: list[str]) -> None:
         ids, sizes = self.encode(pieces)
         n = len(self.index)
+        self.index.held += PIECE_BYTES * len(pieces) + 2 * sum(map(len, pieces))
         self.flat = _grown(self.flat, self.used + len(ids))
         self.start, self.size = _grown(self.start, n), _grown(self.size, n)
         self.flat[self.used : self.used + len(ids)] = ids

@@ -582,3 +582,19 @@ def test_groups_of_cells_against_all_entries(spark, monkeypatch):
         s = (exact * exact[q]).sum(axis=1)
         s[q] = -np.inf
         assert [v for _, v in sorted(found[q])] == np.lexsort((np.arange(900), -s))[:20].tolist()
+
+
+def test_words_of_pieces_are_encoded_once():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from marklane.llm import ans
+
+    path = tokenizer("word_bpe_49k.json")
+    ans._TOKENIZERS.clear()
+    cache = ans.library_ids(path)
+    texts = ["Stone stone, STONE. stone's", "stone\nStone\n\n stones", None, "", "\n", "x\r\ny \u00e9t\u00e9\n<|endoftext|>\n1\x0b2"]
+    flat, ends = cache.ids_of(pa.array(texts))
+    tok = Tokenizer.from_file(path)
+    assert [flat[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [w for w in cache.words.index if "stone" in w] == ["stone", "stones"]
