@@ -149,10 +149,21 @@ def locate_audio(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_audio(spark: SparkSession, folder: str, with_content: bool = False) -> DataFrame:
     """(grid_id, sample_rate, n_samples, content) of the WAV files below ``folder``; content, the whole file, only if asked for. Foreign files get nulls."""
-    places = locate_audio(spark, folder)
     if not with_content:
-        return places.select("grid_id", "sample_rate", "n_samples", F.lit(None).cast("binary").alias("content"))
-    return places.join(_files(spark, folder).select("path", "content"), "path").select("grid_id", "sample_rate", "n_samples", "content")
+        return locate_audio(spark, folder).select("grid_id", "sample_rate", "n_samples", F.lit(None).cast("binary").alias("content"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            heads = []
+            for content in batch.column(1):
+                try:
+                    head = header_of(pa.BufferReader(content.as_buffer()))
+                    heads.append((head.rate, head.frames))
+                except ValueError:
+                    heads.append((None, None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[0] for h in heads], pa.int32()), pa.array([h[1] for h in heads], pa.int64()), batch.column(1)], names=["grid_id", "sample_rate", "n_samples", "content"])
+
+    return _files(spark, folder).select(_grid_id(folder).alias("grid_id"), "content").mapInArrow(run, SCHEMA)
 
 
 def _each(rows: DataFrame, make: Callable[[tuple], tuple[str, bytes | None]]) -> DataFrame:

@@ -195,3 +195,21 @@ def test_arrivals_of_several_batches(spark, monkeypatch):
     monkeypatch.setattr(incremental, "run_new", functools.partial(incremental.run_new, files_per_batch=4))
     rows = catalog.QUERIES["s12_incremental"](spark, "/root/testdata/sf0.001").collect()
     assert rows and [(r["grid_id"], r["arrival"]) for r in rows if r["arrival"] != int(r["grid_id"]) % 2] == []
+
+
+def test_contents_are_read_with_their_headers(spark, tmp_path):
+    (tmp_path / "bad.wav").write_bytes(b"nothing")
+    audio.write_audio(spark.createDataFrame([("a", audio.without(_recording(50), [])), ("b/c", audio.sliced(_recording(50), 1.0, 2.0))], "grid_id string, content binary"), str(tmp_path))
+    found = audio.read_audio(spark, str(tmp_path), with_content=True)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = {r["grid_id"]: (r["sample_rate"], r["n_samples"], bytes(r["content"])) for r in found.collect()}
+    assert rows == {"a": (10, 50, _recording(50)), "b/c": (10, 10, audio.sliced(_recording(50), 1.0, 2.0)), "bad": (None, None, b"nothing")}
+
+
+def _recording(n):
+    """A WAV file of ``n`` samples of one byte, ten a second."""
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setparams((1, 1, 10, n, "NONE", ""))
+        w.writeframes(bytes(range(n)))
+    return out.getvalue()
