@@ -133,10 +133,13 @@ class AnnotationReader(DataSourceReader):
 
     def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         system, _ = opened(self.folder)
-        for grid, path in partition.files:
-            with system.open_input_stream(path) as f:
-                raw = f.read()
-            yield from gridfile.rows_of(grid, raw, self.encoding, self.tiers)
+
+        def contents() -> Iterator[tuple[str, bytes]]:
+            for grid, path in partition.files:
+                with system.open_input_stream(path) as f:
+                    yield grid, f.read()
+
+        return gridfile.rows_of(contents(), self.encoding, self.tiers)
 
 
 @dataclass

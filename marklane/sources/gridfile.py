@@ -9,7 +9,7 @@ alone. Written files have the long layout.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
@@ -79,6 +79,9 @@ def _grid_id(folder: str):
     return F.regexp_replace(below, r"\.[^./]*$", "")
 
 
+TASKS_JOINED, TASKS_PER_CORE = 8, 4  # so many of Spark's input partitions become one, but for each core there stay so many
+
+
 def read_grids(spark: SparkSession, folder: str, encoding: str = "utf-8") -> DataFrame:
     """All tiers and intervals of the files below ``folder`` (SCHEMA).
 
@@ -86,11 +89,16 @@ def read_grids(spark: SparkSession, folder: str, encoding: str = "utf-8") -> Dat
     """
     "".encode(encoding)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", SUFFIX_GLOB).load(folder)
+    # Spark counts some MB for opening a file, so a task would take some thirty small ones and spend its time on being started
+    tasks, least = files.select("path").rdd.getNumPartitions(), TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    return parsed(files.coalesce(max(-(-tasks // TASKS_JOINED), min(tasks, least), 1)), folder, encoding)
+
+
+def parsed(files: DataFrame, folder: str, encoding: str) -> DataFrame:
+    """The rows (SCHEMA) of the files (path, content) below ``folder``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for grid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield from rows_of(grid, raw, encoding)
+        return rows_of(((grid.as_py(), raw.as_py()) for batch in batches for grid, raw in zip(batch.column(0), batch.column(1), strict=True)), encoding)
 
     return files.select(_grid_id(folder).alias("grid_id"), "content").mapInArrow(run, SCHEMA)
 
@@ -99,16 +107,32 @@ _NAMES = [c.split(" ")[0] for c in SCHEMA.split(", ")]
 _KINDS = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.string(), pa.float64(), pa.float64(), pa.string()]
 
 
-def rows_of(grid: str, raw: bytes, encoding: str, tiers: set[str] | None = None) -> Iterator[pa.RecordBatch]:
-    """The rows (SCHEMA) of one file; of the tiers of these names, if given. At most one batch."""
-    try:
-        rows = list(_rows(grid, parse(raw.decode(encoding))))
-    except (ValueError, UnicodeError) as e:
-        rows = [(grid, *[None] * 9, str(e))]
-    if tiers is not None:
-        rows = [r for r in rows if r[2] in tiers]
+# Small files share a batch until it has so many rows, or its files so many bytes; a larger file is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 10_000, 1 << 20
+
+
+def rows_of(files: Iterable[tuple[str, bytes]], encoding: str, tiers: set[str] | None = None) -> Iterator[pa.RecordBatch]:
+    """The rows (SCHEMA) of files (grid_id, content); of the tiers of these names, if given."""
+    rows, size = [], 0
+    for grid, raw in files:
+        if rows and size + len(raw) > BATCH_BYTES:
+            yield _batch(rows)
+            rows, size = [], 0
+        try:
+            found = list(_rows(grid, parse(raw.decode(encoding))))
+        except (ValueError, UnicodeError) as e:
+            found = [(grid, *[None] * 9, str(e))]
+        rows += found if tiers is None else [r for r in found if r[2] in tiers]
+        size += len(raw)
+        if len(rows) >= BATCH_ROWS:
+            yield _batch(rows)
+            rows, size = [], 0
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=_NAMES)
 
 
 def _rows(grid: str, found: dict) -> Iterator[tuple]:
@@ -213,7 +237,8 @@ def write_grids(rows: DataFrame, folder: str, changed: DataFrame | None = None,
     the source files. With ``dry`` nothing is written and the outcomes are those that a run would have.
     """
     spark = rows.sparkSession
-    rows = rows.withColumn("grid_id", F.col("grid_id").cast("string"))
+    taken = [F.col(c).cast("string") if c == "grid_id" or kind == "void" else F.col(c) for c, kind in rows.dtypes if c in (*FILE_COLUMNS, "error")]
+    rows = written(rows.select(*taken))  # used three times: what it takes to make them, such as reading files, is done once
     held = rows if "kind" not in rows.columns else intervals(rows)
     grids = rows.select("grid_id").distinct().join(invalid_grids(held), "grid_id", "left")
     try:

@@ -8,9 +8,8 @@ commit: the next run takes up the same files under the same number and writes th
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from . import gridfile
@@ -23,13 +22,7 @@ def arrivals(spark: SparkSession, folder: str, encoding: str = "utf-8", files_pe
     "".encode(encoding)
     reader = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
     files = reader.option("recursiveFileLookup", True).option("pathGlobFilter", gridfile.SUFFIX_GLOB).option("maxFilesPerTrigger", files_per_batch).load(folder)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for grid, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                yield from gridfile.rows_of(grid, raw, encoding)
-
-    return files.select(gridfile._grid_id(folder).alias("grid_id"), "content").mapInArrow(run, gridfile.SCHEMA)
+    return gridfile.parsed(files, folder, encoding)
 
 
 def run_new(spark: SparkSession, source: str, target: str, log: str, op: Callable[[DataFrame], DataFrame], encoding: str = "utf-8", files_per_batch: int = 10_000) -> DataFrame:

@@ -350,6 +350,49 @@ def test_writing_grids(spark, tmp_path):
     assert not [f for f in (tmp_path / "out").iterdir() if f.suffix != ".TextGrid"]
 
 
+def test_small_files_share_batches_and_large_ones_do_not(spark, monkeypatch):
+    short = lambda n: ('File type = "ooTextFile"\nObject class = "TextGrid"\n\n0\n9\n<exists>\n1\n"TextTier"\n"p"\n0\n9\n%d\n' % n + "".join(f'{i / n}\n"é{i}"\n' for i in range(n))).encode()
+    files = [("a", short(3)), ("bad", b"nothing"), ("b", short(2)), ("none", short(0)), ("utf", b"\xff"), ("large", short(50)), ("c", short(1))]
+    alone = [r for f in files for b in gridfile.rows_of([f], "utf-8") for r in b.to_pylist()]
+    assert [r["grid_id"] for r in alone] == [*"aaa", "bad", *"bb", "none", "utf", *["large"] * 50, "c"] and [r["grid_id"] for r in alone if r["error"]] == ["bad", "utf"]
+    for rows, size, want in ((10_000, 1 << 20, [59]), (10_000, 400, [8, 50, 1]), (4, 1 << 20, [4, 4, 50, 1]), (1, 1, [3, 1, 2, 1, 1, 50, 1])):
+        monkeypatch.setattr(gridfile, "BATCH_ROWS", rows)
+        monkeypatch.setattr(gridfile, "BATCH_BYTES", size)
+        batches = list(gridfile.rows_of(iter(files), "utf-8"))
+        assert [b.num_rows for b in batches] == want and [r for b in batches for r in b.to_pylist()] == alone
+    monkeypatch.undo()
+    assert [r["t0"] for b in gridfile.rows_of(files, "utf-8", {"p"}) for r in b.to_pylist() if r["grid_id"] == "b"] == [0.0, 0.5] and not list(gridfile.rows_of(files, "utf-8", {"q"}))
+
+
+def test_tasks_take_many_small_files(spark, tmp_path, monkeypatch):
+    for k in range(40):
+        (tmp_path / f"{k}.TextGrid").write_text(f'File type = "ooTextFile"\nObject class = "TextGrid"\n\n0\n1\n<exists>\n1\n"TextTier"\n"p"\n0\n1\n1\n0.5\n"{k}"\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # a file a task
+    try:
+        for cores, want in ((4, 16), (0, 5)):
+            monkeypatch.setattr(gridfile, "TASKS_PER_CORE", cores)
+            rows = gridfile.read_grids(spark, str(tmp_path))
+            assert rows.rdd.getNumPartitions() == want and sorted(int(r["mark"]) for r in rows.collect()) == list(range(40))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "empty").mkdir()
+    assert gridfile.read_grids(spark, str(tmp_path / "empty")).count() == 0
+
+
+def test_writing_makes_its_rows_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    d = frame(spark, tier([(0, 1, "x"), (1, 2, "y")], grid="p"), tier([(0, 1, "z")], grid="q"))
+    gridfile.write_grids(d.mapInArrow(run, d.schema), str(tmp_path / "out"))
+    assert made.value == 3 and {r["mark"] for r in gridfile.read_grids(spark, str(tmp_path / "out")).collect()} == set("xyz")
+
+
 def test_copy_files_all_or_none(spark, tmp_path):
     (tmp_path / "a").write_text("1")
     (tmp_path / "list.txt").write_text(f"{tmp_path}/b\n{tmp_path}/a\n\n{tmp_path}/b\n")
