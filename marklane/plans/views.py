@@ -36,8 +36,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_phases(iv: DataFrame) -> DataFrame:
     """The events tier and a second tier whose boundaries are the starts of 'signup' events and the edges."""
     from ..operators.joining import chunks_by, merge_chunks
-    from ..model import P
+    from ..model import P, written
 
+    iv = written(iv)  # used twice: else all that makes it, and the sorts of both uses, stand in one task side by side
     start = (F.col("mark") == "signup") | (F.row_number().over(P()) == 1)
     phases = merge_chunks(chunks_by(start, iv)).select("grid_id", F.lit(1).alias("tier_idx"), F.lit("phases").alias("tier_name"), "idx", "t0", "t1", F.lit("phase").alias("mark"))
     return iv.select(*COLUMNS).unionByName(phases)

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marklane.operators import alignment, joining, lookup, orderstats, packing, selection
+from marklane.operators import alignment, joining, lookup, orderstats, packing, selection, splitting
+from marklane.plans import views
 
 TICKS = "grid_id string, tier_idx int, tier_name string, idx long, t0 long, t1 long, mark string"
 
@@ -64,6 +65,23 @@ def test_last_span_in_time_blocks(spark):
     assert whole == blocks
 
 
+def test_phases_make_their_intervals_once(spark):
+    """Made twice, they are sorted twice in the same task; splitting by the phases then held all its sorts in one task."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    d = spark.createDataFrame(ticked([2, 3, 4, 1], ["click", "signup", "", "signup"]), TICKS)
+    both = views.with_phases(d.mapInArrow(run, d.schema))
+    assert times(both, "phases") == [("g", 0, 2, "phase"), ("g", 2, 9, "phase"), ("g", 9, 10, "phase")] and len(times(both, "a")) == 4
+    assert made.value == 4
+    got = splitting.split_grids(both, "phases").where("tier_name = 'a'").orderBy("grid_id", "idx").collect()
+    assert [(r["grid_id"], r["t0"], r["t1"], r["mark"]) for r in got] == [("g/0", 0, 2, "click"), ("g/1", 0, 3, "signup"), ("g/1", 3, 7, ""), ("g/2", 0, 1, "signup")]
+
+
 # --- packing
 
 
